@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import multiprobe, va_file
+from strandline.llm import mixing, multiprobe, va_file
 from strandline.llm.langid import identify
+from strandline.llm.line_dedup import line_dedup
 from strandline.llm.packing import pack
 from strandline.llm.simhash import near_duplicates
 from strandline.llm.suffix_dedup import suffix_dedup
@@ -25,6 +26,17 @@ def op5_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiprobe.search_every(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
 
 
+def op2_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = mixing.described(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"))
+    return mixing.mix(docs, mixing.LEVELS, mixing.WEIGHTS).select(*mixing.LEVELS, "doc_id", "tokens", "epoch", "taken")
+
+
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    spans = lambda c: F.array_join(F.transform(c, lambda s: F.concat(s["start"].cast("string"), F.lit("-"), s["end"].cast("string"))), ",")
+    return done.select("row.doc_id", "n_units", F.size("removed").alias("n_removed"), spans("removed").alias("removed"), spans("kept").alias("kept"), F.col("kept_text").alias("text"))
+
+
 def op4_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_duplicates(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -52,6 +64,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_va_file_top_k": op1_va_file_top_k,
     "op5_multiprobe_neighbours": op5_multiprobe_neighbours,
+    "op2_hierarchical_mixing": op2_hierarchical_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
@@ -59,7 +73,50 @@ QUERIES = {
     "op10_language_id": op10_language_id,
 }
 
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _split_sql(children: str, parent: str) -> str:
+    """SQL for the split of budgets among ``children`` (parent columns, budget, w, cap, and the rest by name)."""
+    over = f"PARTITION BY {parent}" if parent else ""
+    return f"""
+        (SELECT * EXCLUDE (before, rest, is_full, budget, w, cap),
+                CASE WHEN is_full THEN cap ELSE CAST((CAST(w AS HUGEINT) * (budget - coalesce(sum(CASE WHEN is_full THEN cap END) OVER ({over}), 0)))
+                     // sum(CASE WHEN NOT is_full THEN w END) OVER ({over}) AS BIGINT) END AS alloc
+         FROM (SELECT *, CAST(cap AS HUGEINT) * rest <= CAST(w AS HUGEINT) * (budget - before) AS is_full
+               FROM (SELECT *, coalesce(sum(cap) OVER ({over} ORDER BY cap / w, name ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+                            sum(w) OVER ({over} ORDER BY cap / w, name ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS rest
+                     FROM {children})))"""
+
+
+_WEIGH = {c: "CASE " + " ".join(f"WHEN {c} = '{v}' THEN {w}" for v, w in own.items()) + " ELSE 1 END" for c, own in mixing.WEIGHTS.items()}
+
 ORACLE_SQL: dict[str, str] = {
+    "op2_hierarchical_mixing": f"""
+        WITH base AS (SELECT 'd' || CAST(ascii(right(coalesce(source, ''), 1)) % 4 AS VARCHAR) AS domain, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                             doc_id, text, coalesce(len(regexp_extract_all(text, '{_WORDS}')), 0) AS tokens FROM documents),
+        leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM base GROUP BY ALL),
+        d1 AS (SELECT domain, domain AS name, CAST(sum(tokens) * {mixing.EPOCHS} AS BIGINT) AS cap, {_WEIGH["domain"]} AS w, (SELECT CAST(sum(tokens) AS BIGINT) FROM leaves) AS budget FROM leaves GROUP BY ALL),
+        a1 AS (SELECT domain, alloc FROM {_split_sql("d1", "")}),
+        d2 AS (SELECT domain, lang, lang AS name, CAST(sum(tokens) * {mixing.EPOCHS} AS BIGINT) AS cap, {_WEIGH["lang"]} AS w, any_value(alloc) AS budget FROM leaves JOIN a1 USING (domain) GROUP BY domain, lang),
+        a2 AS (SELECT domain, lang, alloc FROM {_split_sql("d2", "domain")}),
+        d3 AS (SELECT domain, lang, source, source AS name, tokens, tokens * {mixing.EPOCHS} AS cap, 1 AS w, alloc AS budget FROM leaves JOIN a2 USING (domain, lang)),
+        a3 AS (SELECT domain, lang, source, tokens AS size, alloc FROM {_split_sql("d3", "domain, lang")}),
+        met AS (SELECT b.domain, b.lang, b.source, doc_id, text, tokens, CASE WHEN size > 0 THEN alloc // size ELSE 0 END AS passes, CASE WHEN size > 0 THEN alloc % size ELSE 0 END AS more
+                FROM base b JOIN a3 USING (domain, lang, source)),
+        whole AS (SELECT domain, lang, source, doc_id, tokens, CAST(unnest(range(passes)) AS INTEGER) AS epoch, tokens AS taken FROM met WHERE passes > 0),
+        h AS (SELECT *, coalesce(sum(tokens) OVER (PARTITION BY domain, lang, source ORDER BY md5(concat_ws(':', '{mixing.SEED}', passes, doc_id)) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun FROM met WHERE more > 0 AND tokens > 0)
+        SELECT domain, lang, source, doc_id, CAST(tokens AS BIGINT) AS tokens, epoch, CAST(taken AS BIGINT) AS taken FROM whole
+        UNION ALL SELECT domain, lang, source, doc_id, CAST(tokens AS BIGINT), CAST(passes AS INTEGER), CAST(least(tokens, more - begun) AS BIGINT) FROM h WHERE begun < more""",
+    "op3_line_dedup": r"""
+        WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
+        o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM u),
+        w AS (SELECT *, a + length(line) AS b, len(string_split(norm, ' ')) >= 10 AS long FROM o),
+        f AS (SELECT *, long AND row_number() OVER (PARTITION BY norm, long ORDER BY doc_id, k) > 1 AS gone FROM w)
+        SELECT doc_id, CAST(count(*) AS INTEGER) AS n_units, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
+               coalesce(string_agg(a || '-' || b, ',' ORDER BY k) FILTER (gone), '') AS removed, coalesce(string_agg(a || '-' || b, ',' ORDER BY k) FILTER (NOT gone), '') AS kept,
+               coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
+        FROM f GROUP BY doc_id""",
     "op1_va_file_top_k": """
         WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
