@@ -1,18 +1,53 @@
-"""The corpus pipeline: language ID, near-dedup, suffix-array dedup, mixing and packing, one stage after another."""
+"""The corpus pipeline: language ID, near-dedup, suffix-array dedup, mixing and packing, one stage after another.
+
+Each stage takes (spark, docs, sf_dir) and the rows that its predecessor kept; all but the last return the columns of
+``documents``. ``sf_dir`` is there for stages that read other tables; none of these does.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
 from strandline.llm.common import stored
+from strandline.llm.langid import accepted
+from strandline.llm.mixing import remixed
+from strandline.llm.packing import pack
+from strandline.llm.simhash import one_of_each
 from strandline.llm.suffix_dedup import without_repeats
 
 
-def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is recognised; models are trained on this stage's own input."""
+    return accepted(docs)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the byte strings that stand in several places."""
     return without_repeats(docs)
 
 
-STAGES = [("suffix_array_dedup", drop_repeats)]
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in the target mix: a row for each pass that takes one, and none where no budget is left for it."""
+    return remixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of each document, with its place in a sequence."""
+    return pack(docs)
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("simhash_near_dedup", keep_one_of_each),
+    ("suffix_array_dedup", cut_repeats),
+    ("mixing", mix_sources),
+    ("best_fit_packing", pack_sequences),
+]
 
 #: Suffix arrays, hashing and tokenizers have no SQL; tests hold run() against a brute-force version.
 ORACLE_SQL = None

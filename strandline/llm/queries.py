@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandline.llm import mixing, multiprobe, va_file
+from strandline.llm.chat import REPLY, as_calls, link_calls
 from strandline.llm.langid import identify
 from strandline.llm.line_dedup import line_dedup
 from strandline.llm.packing import pack
@@ -52,6 +53,11 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return link_calls(as_calls(turns), {"reply": REPLY}).select("conv_id", "turn", "role", "call_id", "level", "linked_turn", "status", "errors", "json")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -69,6 +75,7 @@ QUERIES = {
     "op4_simhash_pigeonring": op4_simhash_pigeonring,
     "op6_warc_revisits": op6_warc_revisits,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_tool_call_linking": op8_tool_call_linking,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
 }
