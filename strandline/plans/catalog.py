@@ -1,10 +1,6 @@
 """All registered queries and the SQL that must give the same rows."""
 
-from __future__ import annotations
+from strandline.plans import document_queries, interval_queries, scalar_queries, table_queries  # noqa: F401
+from strandline.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
