@@ -113,7 +113,7 @@ def sql_dequoted(text: Column) -> Column:
 
 def sql_csv_items(text: Column) -> Column:
     """Pieces between commas, where commas inside quotes don't divide."""
-    return F.transform(F.regexp_extract_all(text, F.lit(r"((?:[^,']|'(?:[^']|'')*')+)"), F.lit(1)), F.trim)
+    return F.transform(F.regexp_extract_all(text, F.lit(r"((?:[^,']|'(?:[^']|'')*')+)"), F.lit(1)), lambda x: F.trim(x))
 
 
 def split_sql_type(text: Column) -> Column:

@@ -100,9 +100,9 @@ def salted_hash(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", hashing.salted(F.col("c_name"), "pepper", "md5").alias("m"), hashing.salted(F.col("c_name"), "pepper").alias("s"))
 
 
-@query("SELECT event_id, json_extract_string(props, '$.k') AS k, json_extract_string(props, '$.v') AS v FROM events")
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) % 7 AS week FROM events")
 def json_props(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), F.get_json_object("props", "$.v").alias("v"))
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), (convert.to_int(F.get_json_object("props", "$.k")) % 7).alias("week"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey < 26 THEN chr(CAST(65 + c_custkey AS INTEGER)) WHEN c_custkey < 702 THEN chr(CAST(64 + c_custkey // 26 AS INTEGER)) || chr(CAST(65 + c_custkey % 26 AS INTEGER)) ELSE chr(CAST(64 + (c_custkey - 26) // 676 AS INTEGER)) || chr(CAST(65 + ((c_custkey - 26) // 26) % 26 AS INTEGER)) || chr(CAST(65 + c_custkey % 26 AS INTEGER)) END AS letters, c_custkey AS back FROM customer WHERE c_custkey < 18278")

@@ -129,14 +129,14 @@ def dict_diff(spark, sf_dir):
     return lookup.table_diff(old, new, "s_suppkey")
 
 
-@query("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), '^(?:.*brass)') THEN 'brass' WHEN regexp_matches(lower(p_type), '^(?:.*steel)') THEN 'steel' WHEN regexp_matches(lower(p_type), '^(?:eco|pro)') THEN 'line' ELSE 'other' END AS label FROM part""")
+@query("""SELECT p_partkey, CASE WHEN regexp_matches(lower(p_name), '^(?:.*gear|.*bolt)') THEN 'part' WHEN regexp_matches(lower(p_name), '^(?:red|blue)') THEN 'coloured' WHEN regexp_matches(lower(p_name), '^(?:small .*)') THEN 'small' ELSE 'other' END AS label FROM part""")
 def regex_classify(spark, sf_dir):
-    return lookup.regex_classify(table(spark, sf_dir, "part").select("p_partkey", "p_type"), "p_type", [(".*brass", "brass"), (".*steel", "steel"), ("eco|pro", "line")], "other").drop("p_type")
+    return lookup.regex_classify(table(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", [(".*GEAR|.*bolt", "part"), ("red|blue", "coloured"), ("small .*", "small")], "other").drop("p_name")
 
 
-@query("SELECT p_partkey FROM part WHERE p_type LIKE '%BRASS%' OR p_name LIKE '%1%'")
+@query("SELECT p_partkey FROM part WHERE p_type LIKE '%SMALL%' OR p_name LIKE '%red%' OR p_name LIKE '%rod%'")
 def sql_like_any(spark, sf_dir):
-    test = lookup.like_any(F.col("p_type"), lookup.regex_to_like("BRASS")) | lookup.like_any(F.col("p_name"), ["%1%"])
+    test = lookup.like_any(F.col("p_type"), ["%SMALL%"]) | lookup.like_any(F.col("p_name"), lookup.regex_to_like("r[eo]d"))
     return table(spark, sf_dir, "part").filter(test).select("p_partkey")
 
 
