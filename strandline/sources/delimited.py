@@ -63,7 +63,7 @@ def cell(value: Column, kind: str, null_values: Sequence[str] = (), default=None
         text = nulls(text, null_values)
     number = text.try_cast("double")
     wrong = F.raise_error(F.concat(F.lit(f"not {kind}: "), text))
-    when = F.coalesce(F.try_to_timestamp(text).cast("timestamp_ntz"), F.when(number.isNotNull(), excel_datetime(number)))
+    when = F.when(number.isNotNull(), excel_datetime(number)).otherwise(F.try_to_timestamp(text).cast("timestamp_ntz"))
     forms = {
         "str": (text, "string"),
         "int": (F.when(number == F.floor(number), number.cast("bigint")), "bigint"),
