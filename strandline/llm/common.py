@@ -45,6 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_keys(table: DataFrame, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Column]:
+    """``table`` (with _id and _h first, any more columns after) renamed clear of ``docs``, and the test that a row is meant."""
+    free = {c: c for c in table.columns}
+    for c in table.columns:
+        while free[c] in docs.columns:
+            free[c] += "_"
+    table = table.withColumnsRenamed(free)
+    own = docs[f"`{doc_id}`"].cast("long")
+    return table, own.eqNullSafe(table[free["_id"]]) & (F.xxhash64(docs[f"`{text}`"]) == table[free["_h"]])
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """How many groups of about ``each`` rows hold ``rows``."""
     return max(least, -(-rows // each))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ascii_words, stored
+from strandline.llm.common import ascii_words, row_keys, stored
 
 SEED = 7
 EPOCHS = 2
@@ -109,5 +109,6 @@ def remixed(docs: DataFrame, epochs: int = EPOCHS) -> DataFrame:
     """``docs`` in the mix of ``WEIGHTS``: each row as often as the mix takes its document, with as many tokens as there were."""
     chosen = mix(described(docs), LEVELS, WEIGHTS, epochs=epochs).groupBy("doc_id", "h").agg(F.max("epoch").alias("last"), F.min("epoch").alias("first"))
     chosen = stored(chosen.select(F.col("doc_id").alias("_id"), F.col("h").alias("_h"), F.explode(F.expr("sequence(first, last)")).alias("_epoch")), "chosen")
-    met = docs.join(chosen, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_h")))
+    chosen, meant = row_keys(chosen, docs, "doc_id", "text")
+    met = docs.join(chosen, meant)
     return met.select(*[docs[c] for c in docs.columns])

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, local_components, parts, stored, text_arrays, whole_group
+from strandline.llm.common import components, local_components, parts, row_keys, stored, text_arrays, whole_group
 
 SHINGLE = 3
 SEED = 42
@@ -181,9 +181,11 @@ def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") ->
     """``docs`` with one row of each component: that of the smallest id (of equal ids, of the smallest text hash)."""
     found = near_duplicates(docs, text, doc_id)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
-    kept = stored(found.groupBy("root").agg(first.alias("f"), F.count(F.lit(1)).alias("n")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h"), "n"), "kept")
-    rows = docs.join(kept, F.col(f"`{doc_id}`").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_h")))
+    kept = stored(found.groupBy("root").agg(first.alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h")), "kept")
     again = found.groupBy("doc_id", "h").count().filter("count > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")
-    if again.limit(1).count():  # equal rows: one of them
-        rows = rows.dropDuplicates(["_id", "_h"])
-    return rows.select(*[docs[c] for c in docs.columns])
+    several = again.limit(1).count()
+    kept, meant = row_keys(kept, docs, doc_id, text)
+    rows = docs.join(kept, meant)
+    if several:  # equal rows: one of them
+        rows = rows.dropDuplicates(kept.columns)
+    return rows.select(*[docs[f"`{c}`"] for c in docs.columns])
