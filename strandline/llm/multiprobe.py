@@ -10,11 +10,10 @@ that the nearest by distance are those of the largest inner product; unit vector
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.vectors import BLOCK_ROWS, QUERY_ROWS, arrays, best, one_each, search_blocks, usable
+from strandline.llm.vectors import BLOCK_ROWS, GROUP_ROWS, QUERY_ROWS, best, one_each, search_groups, usable
 
 TABLES = 6
 HASHES = 8
@@ -41,13 +40,7 @@ def probing_scores(place: np.ndarray, slabs: np.ndarray) -> np.ndarray:
 
 
 def _search(k: int, largest: float, tables: int, hashes: int, width: float, probes: int, seed: int):
-    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())])
-
-    def work(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        if not len(vectors) or not len(queries):
-            return kind.empty_table()
-        ids, x = arrays(vectors)
-        query_ids, all_q = arrays(queries)
+    def work(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, all_q: np.ndarray) -> tuple[np.ndarray, ...]:
         n, dim = x.shape
         random = np.random.default_rng([seed, dim])
         lines, shift = random.standard_normal((tables, dim + 1, hashes)), random.random((tables, hashes))
@@ -87,12 +80,13 @@ def _search(k: int, largest: float, tables: int, hashes: int, width: float, prob
             place = np.arange(len(rows)) - np.searchsorted(rows, rows)
             top = place < k
             out.append((own_ids[rows[top]], ids[some[top]], exact[top]))
-        return pa.table([np.concatenate([x[i] for x in out]) for i in range(3)], schema=kind) if out else kind.empty_table()
+        out.append((query_ids[:0], ids[:0], np.zeros(0)))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
     return work
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, seed: int = SEED, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, hashes: int = HASHES, width: float = WIDTH, probes: int = PROBES, seed: int = SEED, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query the k largest inner products found, in double precision.
 
     Both tables have vec_id and v (array of double, usable, not zero). Only vectors of a query's dimension count, and none
@@ -101,8 +95,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     """
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     largest = vectors.agg(F.max(norm)).first()[0] or 1.0
-    found = search_blocks(vectors, queries, _search(k, largest, tables, hashes, width, probes, seed), "query_id long, vec_id long, score double", block_rows, query_rows)
-    return best(found, k)
+    search = _search(k, largest, tables, hashes, width, probes, seed)
+    return best(search_groups(vectors, queries, search, k, "double", block_rows, group_rows, query_rows), k)
 
 
 def candidates(table: DataFrame, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:

@@ -232,11 +232,16 @@ def common_prefixes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, orde
     return out
 
 
-def found_in(data: np.ndarray, wanted: np.ndarray, other: np.ndarray, order: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """Which windows of ``data`` at ``wanted`` stand in ``other``, by binary search in its sorted window starts ``order``.
+def distinct_windows(order: np.ndarray, left: np.ndarray, shared: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of sorted suffixes, the first of each group of equal windows, and those windows that have no equal."""
+    starts = order[left[order] >= length]
+    first = np.flatnonzero(shared[starts] < length)
+    size = np.diff(np.append(first, len(starts)))
+    return starts[first], starts[first[size == 1]]
 
-    Returns a flag for each wanted window and the places in ``order`` where equal windows begin.
-    """
+
+def found_in(data: np.ndarray, wanted: np.ndarray, other: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
+    """Which windows of ``data`` at ``wanted`` stand in ``other``, by binary search in its sorted window starts ``order``."""
     a, b = _words(data).byteswap(), _words(other).byteswap()  # the first byte counts most
     last = length - 8
     steps = [*range(0, last, 8), last]
@@ -260,7 +265,7 @@ def found_in(data: np.ndarray, wanted: np.ndarray, other: np.ndarray, order: np.
         equal = equal[b[order[low[equal]] + k] == a[wanted[equal] + k]]
     flag = np.zeros(len(wanted), bool)
     flag[equal] = True
-    return flag, np.unique(low[equal])
+    return flag
 
 
 def _spans(flags: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -281,9 +286,6 @@ _FOUND = "anchor long, digest binary, span_first long, span_n long"
 
 
 def _shard(length: int):
-    def windows(order: np.ndarray, left: np.ndarray) -> np.ndarray:
-        return order[left[order] >= length]
-
     def work(table: pa.Table) -> pa.Table:
         shard = whole_group(table, "shard").to_numpy()
         texts, digests, anchor = whole_group(table, "bytes"), whole_group(table, "digest"), whole_group(table, "anchor")
@@ -297,21 +299,19 @@ def _shard(length: int):
             starts = ends - sizes
             order, rank = suffix_array(data, starts, ends)
             left = np.repeat(ends, sizes + 1) - np.arange(len(data))
-            sides.append((rows, data, starts, ends, order, rank, left, np.zeros(len(data), bool)))
+            shared = common_prefixes(data, starts, ends, order, rank, length)
+            sides.append((rows, data, starts, ends, order, rank, left, shared, np.zeros(len(data), bool)))
         if len(sides) == 1:
-            rows, data, starts, ends, order, rank, left, flags = sides[0]
-            same = common_prefixes(data, starts, ends, order, rank, length) >= length
-            flags |= same
-            flags[order[rank[np.flatnonzero(same)] - 1]] = True
-        else:
-            (_, a, _, _, order_a, _, left_a, flags_a), (_, b, _, _, order_b, _, left_b, flags_b) = sides
-            mine, theirs = windows(order_a, left_a), windows(order_b, left_b)
-            hit, _ = found_in(a, mine, b, theirs, length)
-            flags_a[mine[hit]] = True
-            back, _ = found_in(b, theirs, a, mine, length)
-            flags_b[theirs[back]] = True
+            _, _, _, _, order, rank, _, shared, flags = sides[0]
+            flags |= shared >= length
+            flags[order[rank[np.flatnonzero(shared >= length)] - 1]] = True
+        else:  # windows that repeat in their own shard are known already
+            heads = [distinct_windows(order, left, shared, length) for _, _, _, _, order, _, left, shared, _ in sides]
+            for mine, theirs in ((0, 1), (1, 0)):
+                alone = heads[mine][1]
+                sides[mine][-1][alone[found_in(sides[mine][1], alone, sides[theirs][1], heads[theirs][0], length)]] = True
         out = []
-        for rows, _, starts, ends, _, _, _, flags in sides:
+        for rows, _, starts, ends, *_, flags in sides:
             string, first, n = _spans(flags, starts, ends)
             at = pa.array(rows[string])
             out.append(pa.table([anchor.take(at), digests.take(at), pa.array(first, pa.int64()), pa.array(n, pa.int64())], names=["anchor", "digest", "span_first", "span_n"]))

@@ -8,11 +8,10 @@ bound (the lower bound of distance), a batch at a time, until its kth score is a
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.vectors import BLOCK_ROWS, QUERY_ROWS, arrays, best, one_each, search_blocks, usable
+from strandline.llm.vectors import BLOCK_ROWS, GROUP_ROWS, QUERY_ROWS, best, one_each, search_groups, usable
 
 BITS = 6
 SCALE = 256
@@ -35,13 +34,7 @@ def upper_bounds(q: np.ndarray, cells: np.ndarray, low: np.ndarray, width: np.nd
 
 
 def _search(k: int, bits: int):
-    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
-
-    def work(vectors: pa.Table, queries: pa.Table) -> pa.Table:
-        if not len(vectors) or not len(queries):
-            return kind.empty_table()
-        ids, x = arrays(vectors)
-        query_ids, q = arrays(queries)
+    def work(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> tuple[np.ndarray, ...]:
         cells, low, width = approximation(x, bits)
         n, dim = x.shape
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -71,20 +64,19 @@ def _search(k: int, bits: int):
                     out.append((np.repeat(own_ids[lot[sure]], some.sum(axis=1)), ids[np.take_along_axis(near, sort, 1)][some], np.take_along_axis(score, sort, 1)[some]))
                 pending = np.concatenate(later)
                 read *= 4
-        return pa.table([np.concatenate([x[i] for x in out]) for i in range(3)], schema=kind)
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
 
     return work
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = BITS, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, bits: int = BITS, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query the k highest integer inner products.
 
     Both tables have vec_id and v (array of integers, not null, without nulls). Only vectors of a query's dimension count,
     and none with its id; equal rows count each; ties go to the smaller id. Fewer candidates than k: all of them. Scores
     are 64-bit sums, so components should stay under 2**28 in size. Empty tables give an empty table.
     """
-    found = search_blocks(vectors, queries, _search(k, bits), "query_id long, vec_id long, score long", block_rows, query_rows)
-    return best(found, k)
+    return best(search_groups(vectors, queries, _search(k, bits), k, "long", block_rows, group_rows, query_rows), k)
 
 
 def scaled(table: DataFrame, vector: str = "embedding", vec_id: str = "vec_id") -> DataFrame:

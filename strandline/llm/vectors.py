@@ -9,10 +9,14 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import parts
 
-#: Vectors in one block; each block is searched on its own.
+#: Vectors in one block; each block is an index of its own.
 BLOCK_ROWS = 2048
-#: Queries that meet a block at a time.
+#: Vectors in one group of blocks, which one task searches block by block, keeping the best so far.
+GROUP_ROWS = 16_384
+#: Queries that meet a group at a time, at most.
 QUERY_ROWS = 4096
+#: Queries are not spread thinner than this to keep all cores busy.
+LEAST_QUERIES = 64
 
 
 def usable(vector: Column) -> Column:
@@ -21,20 +25,44 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad
 
 
-def search_blocks(data: DataFrame, queries: DataFrame, work, schema: str, block_rows: int = BLOCK_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """``work(vectors, queries)`` for each block of vectors and each block of queries of equal dimension.
+def search_groups(data: DataFrame, queries: DataFrame, search, k: int, score: str, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Rows (query_id, vec_id, score): the k best of each query in each group of vectors.
 
-    Both tables have vec_id and v (an array). A vector goes to one block by a hash of its id and is copied once for each
-    block of queries; a query is copied once for each block of vectors. Both kinds of block are of bounded size.
+    Both tables have vec_id and v (an array); only vectors of a query's dimension count. A vector goes to one group by a
+    hash of its id and is copied once for each lot of queries; a query is copied once for each group. Both are of bounded
+    size. ``search(ids, vectors, query_ids, queries)`` returns arrays of query ids, vector ids and scores of one block.
     """
-    blocks, groups = parts(data.count(), block_rows), parts(queries.count(), query_rows)
+    groups, asked = parts(data.count(), group_rows), queries.count()
+    spread = parts(2 * data.sparkSession.sparkContext.defaultParallelism, groups)
+    lots = max(parts(asked, query_rows), min(spread, parts(asked, LEAST_QUERIES)))
     own = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     dim = F.size("v").alias("dim")
-    left = data.select(dim, own(blocks, 1).alias("block"), every(groups).alias("lot"), "vec_id", "v")
-    right = queries.select(dim, own(groups, 2).alias("lot"), every(blocks).alias("block"), "vec_id", "v")
-    keys = ("dim", "block", "lot")
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, schema)
+    left = data.select(dim, own(groups, 1).alias("part"), every(lots).alias("lot"), "vec_id", "v")
+    right = queries.select(dim, own(lots, 2).alias("lot"), every(groups).alias("part"), "vec_id", "v")
+    keys = ("dim", "part", "lot")
+    work = _block_by_block(search, k, score, block_rows)
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, f"query_id long, vec_id long, score {score}")
+
+
+def _block_by_block(search, k: int, score: str, block_rows: int):
+    kind = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64() if score == "long" else pa.float64())])
+
+    def work(vectors: pa.Table, queries: pa.Table) -> pa.Table:
+        if not len(vectors) or not len(queries):
+            return kind.empty_table()
+        (ids, x), (query_ids, q) = arrays(vectors), arrays(queries)
+        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64 if score == "long" else np.float64))
+        for block in np.array_split(np.arange(len(ids)), parts(len(ids), block_rows)):
+            found = search(ids[block], x[block], query_ids, q)
+            held = tuple(np.concatenate(z) for z in zip(held, found))
+            sort = np.lexsort((held[1], -held[2], held[0]))
+            held = tuple(z[sort] for z in held)
+            top = np.arange(len(sort)) - np.searchsorted(held[0], held[0]) < k
+            held = tuple(z[top] for z in held)
+        return pa.table(list(held), schema=kind)
+
+    return work
 
 
 def arrays(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
