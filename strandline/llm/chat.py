@@ -121,21 +121,41 @@ def _written(schemas: dict[str, dict]):
 
 
 def _depths(calls: DataFrame) -> DataFrame:
-    """Rows (conv_id, call_id, depth) of distinct calls: how long a chain of earlier calls each waits for. Rounds: the longest."""
-    own = calls.select("conv_id", "call_id")
-    edges = calls.select("conv_id", "call_id", F.explode("after").alias("waits")).distinct()
-    there = own.select("conv_id", F.col("call_id").alias("waits"))
-    edges = stored(edges.join(there, ["conv_id", "waits"]), "waits")
-    needed = edges.groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("needed"))
-    known = stored(own.join(needed, ["conv_id", "call_id"], "left_anti").withColumn("depth", F.lit(0)), "depths")
-    total, before = own.count(), -1
-    while before < (now := known.count()) < total:
-        before = now
-        met = edges.join(known.withColumnRenamed("call_id", "waits"), ["conv_id", "waits"]).groupBy("conv_id", "call_id").agg(F.count(F.lit(1)).alias("met"), (F.max("depth") + 1).alias("depth"))
-        ready = met.join(needed, ["conv_id", "call_id"]).filter("met = needed").select("conv_id", "call_id", "depth")
-        ready = ready.join(known, ["conv_id", "call_id"], "left_anti")
-        known = stored(known.union(ready), "depths")
-    return known
+    """Rows (conv_id, call_id, depth) of distinct calls: how long a chain of earlier calls each waits for.
+
+    A call that waits for just one other is led to the start of its chain, its reach doubling in each round. Only calls
+    that wait for several are settled level by level. Calls in or behind a ring are left out.
+    """
+    key = ["conv_id", "call_id"]
+    own = calls.select(*key)
+    edges = calls.select(*key, F.explode("after").alias("waits")).distinct()
+    edges = stored(edges.join(own.withColumnRenamed("call_id", "waits"), ["conv_id", "waits"]), "waits")
+    needed = edges.groupBy(*key).agg(F.count(F.lit(1)).alias("needed"), F.min("waits").alias("waits"))
+    nodes = own.join(needed, key, "left").withColumn("open", F.coalesce(F.col("needed") == 1, F.lit(False)))
+    top = F.when(F.col("open"), F.col("waits")).otherwise(F.col("call_id")).alias("top")
+    chains = stored(nodes.select(*key, F.coalesce("needed", F.lit(0)).alias("needed"), top, F.col("open").cast("int").alias("far"), "open"), "chains")
+    before = None
+    while (left := chains.filter("open").count()) and left != before:  # what no longer closes is in or behind a ring
+        before = left
+        there = chains.select("conv_id", F.col("call_id").alias("top"), F.col("top").alias("next"), F.col("far").alias("more"), F.col("open").alias("open2"))
+        led = chains.filter("open").join(there, ["conv_id", "top"])
+        led = led.select(*key, "needed", F.col("next").alias("top"), (F.col("far") + F.col("more")).alias("far"), F.col("open2").alias("open"))
+        chains = stored(chains.filter("not open").union(led), "chains")
+    known = chains.filter("needed = 0").select(*key, F.lit(0).alias("depth"))
+    several = chains.filter("needed > 1").select(*key, "needed")
+    if total := several.count():
+        ends = chains.select("conv_id", F.col("call_id").alias("waits"), "top", "far")
+        edges = stored(edges.join(several, key).join(ends, ["conv_id", "waits"]), "waits")
+        known, now, before = stored(known, "depths"), 0, -1
+        while before < now < total:
+            before = now
+            met = edges.join(known.withColumnRenamed("call_id", "top"), ["conv_id", "top"])
+            met = met.groupBy(*key).agg(F.count(F.lit(1)).alias("met"), F.max("needed").alias("needed"), F.max(F.col("depth") + F.col("far") + 1).alias("depth"))
+            settled = met.filter("met = needed").select(*key, "depth").join(known, key, "left_anti")
+            known = stored(known.union(settled), "depths")
+            now = known.join(several, key, "left_semi").count()
+    starts = known.select("conv_id", F.col("call_id").alias("top"), "depth")
+    return chains.filter("not open").join(starts, ["conv_id", "top"]).select(*key, (F.col("depth") + F.col("far")).alias("depth"))
 
 
 def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:

@@ -253,3 +253,17 @@ def test_tool_calls_query(spark):
             assert r.linked_turn == r.turn - 1 and json.loads(r.json) == {"role": "tool", "tool_call_id": f"{r.conv_id}-{r.turn - 1}", "content": own.text}
         else:
             assert json.loads(r.json) == {"role": own.role, "content": own.text}
+
+
+def test_depths(spark):
+    rng = random.Random(8)
+    after = {0: []}
+    for i in range(1, 120):  # chains, forks, calls that wait for several, waits for unknown calls
+        after[i] = rng.sample(range(max(0, i - 6), i), min(i, rng.choice([0, 1, 1, 1, 1, 1, 2, 3])))
+    after |= {200: [], **{i: [i - 1] for i in range(201, 270)}, 300: [302], 301: [300], 302: [301], 303: [302, 5], 304: [303], 305: [305], 306: [999]}
+    depth = {}
+    while more := {i: 1 + max((depth[w] for w in ws if w in after), default=-1) for i, ws in after.items() if i not in depth and all(w in depth or w not in after for w in ws)}:
+        depth |= more
+    df = spark.createDataFrame([(c, str(i), [str(w) for w in ws]) for c in (1, 2) for i, ws in after.items()], "conv_id long, call_id string, after array<string>")
+    got = chat._depths(df).collect()
+    assert sorted((r.conv_id, int(r.call_id), r.depth) for r in got) == sorted((c, i, d) for c in (1, 2) for i, d in depth.items())
