@@ -4,12 +4,15 @@ A 64-bit fingerprint is cut into four segments laid out in a ring. If two finger
 segment starts a chain whose first 1, 2, 3 and 4 segments differ in at most 0, 1, 2 and 3 bits: each part of the chain
 stays within its share of the budget. So candidates agree in one segment and differ in at most one bit of the next, are
 dropped as soon as a longer chain is over its share, and meet the full Hamming check as the chain of length four.
+
+The pipeline's stage looks wider: seven bits in eight segments, on shingles of five words. What those links connect is then
+checked pair by pair: only texts whose sets of shingles have a Jaccard similarity of at least 0.8 stay linked.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import combinations, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +26,8 @@ SHINGLE = 3
 SEED = 42
 DISTANCE = 3
 SEGMENTS = 4
-_BITS = 64 // SEGMENTS
+#: The pipeline's stage: words of a shingle, bits, segments, least Jaccard similarity of the shingles of two near copies.
+STAGE_SHINGLE, STAGE_DISTANCE, STAGE_SEGMENTS, STAGE_LEAST = 5, 7, 8, 0.8
 #: Keys dealt to one group of the candidate search.
 GROUP_ROWS = 20_000
 #: Fingerprints that may share one segment before their keys are dealt on by the next segment.
@@ -47,28 +51,43 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        data, offsets = text_arrays(batch.column("_text"))
-        raw, cut = memoryview(data), offsets.tolist()
-        found = [fingerprint(raw[a:b].tobytes()) for a, b in zip(cut, cut[1:])]
-        rest = [name for name in batch.schema.names if name != "_text"]
-        yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in rest), pa.array(np.array(found, np.uint64).view(np.int64))], names=[*rest, "fp"])
+def _fingerprints(shingle: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_arrays(batch.column("_text"))
+            raw, cut = memoryview(data), offsets.tolist()
+            found = [fingerprint(raw[a:b].tobytes(), shingle) for a, b in zip(cut, cut[1:])]
+            rest = [name for name in batch.schema.names if name != "_text"]
+            yield pa.RecordBatch.from_arrays([*(batch.column(name) for name in rest), pa.array(np.array(found, np.uint64).view(np.int64))], names=[*rest, "fp"])
+
+    return work
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE) -> DataFrame:
     """Rows (doc_id, h, fp): the id, a hash of the text, and the fingerprint."""
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("_text"))
-    return named.mapInArrow(_fingerprints, "doc_id long, h long, fp long")
+    return named.mapInArrow(_fingerprints(shingle), "doc_id long, h long, fp long")
 
 
-def _turned(fp: np.ndarray, start: np.ndarray) -> np.ndarray:
+def _turned(fp: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
     """Fingerprints with the ring turned so that segment ``start`` comes first, the others after it."""
-    shift = (np.uint64(_BITS) * start.astype(np.uint64)) & np.uint64(63)
+    shift = (np.uint64(bits) * start.astype(np.uint64)) & np.uint64(63)
     back = (np.uint64(64) - shift) & np.uint64(63)
     return np.where(shift == 0, fp, fp << shift | fp >> back)
 
 
+def _flips(distance: int, segments: int, ways: int, spent: int = 0, at: int = 2) -> Iterator[int]:
+    """What a key of ``ways`` segments may differ by: nothing in the first, then each chain within its share."""
+    if at > ways:
+        yield 0
+        return
+    bits = 64 // segments
+    for n in range(at * distance // segments - spent + 1):
+        for places in combinations(range(bits), n):
+            for rest in _flips(distance, segments, ways, spent + n, at + 1):
+                yield sum(1 << k for k in places) << bits * (ways - at) | rest
+
+
 class _Links:
     """Links between numbered fingerprints, kept as a forest."""
 
@@ -81,7 +100,7 @@ class _Links:
             self.label = local_components(len(self.label), np.concatenate([a, star]), np.concatenate([b, self.label[star]]))
 
 
-def _join(links: _Links, left: np.ndarray, key: np.ndarray, a: np.ndarray, right: np.ndarray, sorted_key: np.ndarray, b: np.ndarray) -> None:
+def _join(links: _Links, left: np.ndarray, key: np.ndarray, a: np.ndarray, right: np.ndarray, sorted_key: np.ndarray, b: np.ndarray, distance: int, segments: int) -> None:
     """Link fingerprints a and b whose keys agree and whose chains stay within budget. left, right: turned fingerprints."""
     low, high = np.searchsorted(sorted_key, key, "left"), np.searchsorted(sorted_key, key, "right")
     size = high - low
@@ -99,53 +118,68 @@ def _join(links: _Links, left: np.ndarray, key: np.ndarray, a: np.ndarray, right
             keep = a[i] != b[j]
             i, j = i[keep], j[keep]
             x = left[i] ^ right[j]
-            for length in range(2, SEGMENTS + 1):
-                near = np.bitwise_count(x >> np.uint64(64 - _BITS * length)) <= length * DISTANCE // SEGMENTS
+            for length in range(2, segments + 1):
+                near = np.bitwise_count(x >> np.uint64(64 - 64 // segments * length)) <= length * distance // segments
                 i, j, x = i[near], j[near], x[near]
             links.add(a[i], b[j])
         at = stop
 
 
-def _linked(table: pa.Table) -> pa.Table:
-    """Of keys (fp, start, near, own): links as stars (a, b) around the smallest of each local component.
+def _linked(distance: int, segments: int):
+    bits = 64 // segments
+    ways = max(2, 24 // bits)  # segments in a key: the more, the fewer candidates by chance
+    flips = list(_flips(distance, segments, ways))
+    beyond = sorted({f & (1 << bits * (ways - 2)) - 1 for f in flips})  # the same after the second segment
+    past, low = np.uint64(64 - bits * ways), np.uint64(bits * (ways - 2))
+    second = np.uint64((1 << bits) - 1) << low
+
+    def work(table: pa.Table) -> pa.Table:
+        """Of keys (fp, start, near, own): links as stars (a, b) around the smallest of each local component.
 
-    near null: the fingerprint's own next segment, to be met by those one bit off too; else the segment that this row
-    stands for in a hot group, own or one bit off.
+        near null: the fingerprint's own next segment, to be met by those one bit off too; else the segment that this row
+        stands for in a hot group, own or one bit off.
+        """
+        fp = whole_group(table, "fp").to_numpy().view(np.uint64)
+        start = whole_group(table, "start").to_numpy()
+        near = whole_group(table, "near")
+        hot = near.is_valid().to_numpy(zero_copy_only=False)
+        near = near.fill_null(0).to_numpy().astype(np.uint64)
+        own = whole_group(table, "own").to_numpy(zero_copy_only=False)
+        nodes, number = np.unique(fp, return_inverse=True)
+        links = _Links(len(nodes))
+        turned = _turned(fp, start, bits)
+        for s in range(segments):
+            rows = np.flatnonzero((start == s) & ~hot)
+            if len(rows):
+                rows = rows[np.argsort(turned[rows], kind="stable")]
+                key = turned[rows] >> past
+                for flip in flips:
+                    _join(links, turned[rows], key ^ np.uint64(flip), number[rows], turned[rows], key, number[rows], distance, segments)
+            rows = np.flatnonzero((start == s) & hot)
+            if len(rows):
+                key = turned[rows] >> past & ~second | near[rows] << low
+                mine = np.flatnonzero(own[rows])
+                mine = mine[np.argsort(key[mine], kind="stable")]
+                for flip in beyond:
+                    _join(links, turned[rows], key ^ np.uint64(flip), number[rows], turned[rows][mine], key[mine], number[rows][mine], distance, segments)
+        moved = np.flatnonzero(links.label != np.arange(len(nodes)))
+        return pa.table({"a": nodes[links.label[moved]].view(np.int64), "b": nodes[moved].view(np.int64)})
+
+    return work
+
+
+def links(fps: DataFrame, hot_segment: int = HOT_SEGMENT, group_rows: int = GROUP_ROWS, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+    """Of distinct fingerprints (column fp): rows (a, b) that connect just those within ``distance`` bits.
+
+    ``segments`` divides 64, is over ``distance`` and such that a chain of two may differ in at most one bit.
     """
-    fp = whole_group(table, "fp").to_numpy().view(np.uint64)
-    start = whole_group(table, "start").to_numpy()
-    near = whole_group(table, "near")
-    hot = near.is_valid().to_numpy(zero_copy_only=False)
-    near = near.fill_null(0).to_numpy().astype(np.uint64)
-    own = whole_group(table, "own").to_numpy(zero_copy_only=False)
-    nodes, number = np.unique(fp, return_inverse=True)
-    links = _Links(len(nodes))
-    turned = _turned(fp, start)
-    half = np.uint64(32)
-    for s in range(SEGMENTS):
-        rows = np.flatnonzero((start == s) & ~hot)
-        if len(rows):
-            rows = rows[np.argsort(turned[rows], kind="stable")]
-            key = turned[rows] >> half
-            for flip in [0, *(1 << k for k in range(_BITS))]:
-                _join(links, turned[rows], key ^ np.uint64(flip), number[rows], turned[rows], key, number[rows])
-        rows = np.flatnonzero((start == s) & hot)
-        if len(rows):
-            key = turned[rows] >> np.uint64(48) << np.uint64(16) | near[rows]
-            mine = np.flatnonzero(own[rows])
-            mine = mine[np.argsort(key[mine], kind="stable")]
-            _join(links, turned[rows], key, number[rows], turned[rows][mine], key[mine], number[rows][mine])
-    moved = np.flatnonzero(links.label != np.arange(len(nodes)))
-    return pa.table({"a": nodes[links.label[moved]].view(np.int64), "b": nodes[moved].view(np.int64)})
-
-
-def links(fps: DataFrame, hot_segment: int = HOT_SEGMENT, group_rows: int = GROUP_ROWS) -> DataFrame:
-    """Of distinct fingerprints (column fp): rows (a, b) that connect just those within ``DISTANCE`` bits."""
-    total = fps.count()
-    segment = lambda k: F.shiftrightunsigned("fp", 64 - _BITS) if k == 0 else F.shiftrightunsigned("fp", 64 - _BITS * (k + 1)).bitwiseAND(F.lit((1 << _BITS) - 1))
-    keys = fps.select("fp", F.posexplode(F.array(*[segment(k) for k in range(SEGMENTS)])).alias("start", "segment"))
-    following = F.element_at(F.array(*[segment((k + 1) % SEGMENTS) for k in range(SEGMENTS)]), F.col("start") + 1)
-    groups = parts(SEGMENTS * total, group_rows)
+    if 64 % segments or distance >= segments or 2 * distance // segments > 1:
+        raise ValueError(f"no ring of {segments} segments for {distance} bits")
+    total, bits = fps.count(), 64 // segments
+    segment = lambda k: F.shiftrightunsigned("fp", 64 - bits) if k == 0 else F.shiftrightunsigned("fp", 64 - bits * (k + 1)).bitwiseAND(F.lit((1 << bits) - 1))
+    keys = fps.select("fp", F.posexplode(F.array(*[segment(k) for k in range(segments)])).alias("start", "segment"))
+    following = F.element_at(F.array(*[segment((k + 1) % segments) for k in range(segments)]), F.col("start") + 1)
+    groups = parts(segments * total, group_rows)
     dealt = F.pmod(F.xxhash64("start", "segment"), F.lit(groups)).alias("lot")
     none, yes = F.lit(None).cast("long").alias("near"), F.lit(True).alias("own")
     if total <= hot_segment:
@@ -153,33 +187,84 @@ def links(fps: DataFrame, hot_segment: int = HOT_SEGMENT, group_rows: int = GROU
     else:
         full = keys.groupBy("start", "segment").count().filter(F.col("count") > hot_segment).select("start", "segment", F.lit(True).alias("is_hot"))
         marked = keys.join(full, ["start", "segment"], "left").withColumn("following", following)
-        flips = F.array(*[F.lit(k).cast("long") for k in (0, *(1 << b for b in range(_BITS)))])
+        flips = F.array(*[F.lit(k).cast("long") for k in (0, *(1 << b for b in range(bits)))])
         spread = marked.filter("is_hot").select("fp", "start", "segment", "following", F.explode(flips).alias("flip"))
         spread = spread.select("fp", "start", "segment", F.col("following").bitwiseXOR(F.col("flip")).alias("near"), (F.col("flip") == 0).alias("own"))
         rows = marked.filter("is_hot is null").select("fp", "start", none, yes, dealt).union(
             spread.select("fp", "start", "near", "own", F.pmod(F.xxhash64("start", "segment", "near"), F.lit(groups)).alias("lot"))
         )
-    return rows.groupBy("lot").applyInArrow(_linked, "a long, b long")
+    return rows.groupBy("lot").applyInArrow(_linked(distance, segments), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_segment: int = HOT_SEGMENT, group_rows: int = GROUP_ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", hot_segment: int = HOT_SEGMENT, group_rows: int = GROUP_ROWS, shingle: int = SHINGLE, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
     """One row for each of ``docs``: doc_id, h (hash of its text), fp and component_id, the smallest doc_id reachable.
 
     A null or empty text has fingerprint zero and links like any other; equal rows stay; a null id is never the smallest
     unless all ids of a component are null. An empty table gives an empty table.
     """
-    narrow = stored(fingerprints(docs, text, doc_id), "fingerprints")
+    narrow = stored(fingerprints(docs, text, doc_id, shingle), "fingerprints")
     fps = stored(narrow.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    reached = components(stored(links(fps.select("fp"), hot_segment, group_rows), "pairs"))
+    reached = components(stored(links(fps.select("fp"), hot_segment, group_rows, distance, segments), "pairs"))
     grouped = fps.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
     named = grouped.join(smallest, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id", "root")
     return narrow.join(named, F.col("fp") == F.col("fp2")).select("doc_id", "h", "fp", "component_id", "root")
 
 
+def _shingles(text: bytes, shingle: int) -> np.ndarray:
+    """The set of a text's word shingles, as sorted hashes; of fewer words, the text's words as one."""
+    words = text.lower().split()
+    grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, grams, repeat(SEED)), np.uint64))
+
+
+def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _checked(shingle: int, distance: int, least: float):
+    def work(table: pa.Table) -> pa.Table:
+        """Of the texts (h, fp, _text) of one group: h and the smallest h that it is linked to by similar pairs."""
+        order = np.argsort(whole_group(table, "h").to_numpy(), kind="stable")
+        table = table.take(pa.array(order))
+        h, fp = whole_group(table, "h").to_numpy(), whole_group(table, "fp").to_numpy().view(np.uint64)
+        data, offsets = text_arrays(table.column("_text"))
+        raw, at = memoryview(data), offsets.tolist()
+        sets = [_shingles(raw[a:b].tobytes(), shingle) for a, b in zip(at, at[1:])]
+        label = np.arange(len(h))
+        for i in range(len(h)):
+            for j in (np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= distance) & (label[i + 1 :] != label[i])) + i + 1).tolist():
+                if label[i] != label[j] and _alike(sets[i], sets[j], least):
+                    low, high = sorted((label[i], label[j]))
+                    label[label == high] = low
+        return pa.table({"h2": h, "group": h[label]})
+
+    return work
+
+
+def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, segments: int = STAGE_SEGMENTS, least: float = STAGE_LEAST) -> DataFrame:
+    """One row (doc_id, h, root) for each of ``docs``: equal root for texts linked by pairs that are within ``distance``
+    bits and whose sets of shingles have a Jaccard similarity of at least ``least``.
+
+    Only texts that their bits connect to another text are read again, one of each; those of one such group meet in a task.
+    """
+    found = stored(near_duplicates(docs, text, doc_id, shingle=shingle, distance=distance, segments=segments), "near")
+    one = found.groupBy("root", "fp", "h").agg(F.min("doc_id").alias("_id"))
+    several = one.groupBy("root").count().filter("count > 1").select(F.col("root").alias("root2"))
+    one = stored(one.join(several, F.col("root") == F.col("root2")).select("_id", F.col("h").alias("_h"), "fp", "root"), "candidates")
+    one, meant = row_keys(one, docs, doc_id, text)
+    _, h, fp, root = (one[c] for c in one.columns)
+    texts = docs.join(one, meant).select(root.alias("root"), h.alias("h"), fp.alias("fp"), docs[f"`{text}`"].alias("_text")).dropDuplicates(["root", "h"])
+    groups = stored(texts.groupBy("root").applyInArrow(_checked(shingle, distance, least), "h2 long, group long"), "groups")
+    return found.join(groups, F.col("h") == F.col("h2"), "left").select("doc_id", "h", F.coalesce("group", "h").alias("root"))
+
+
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (of equal ids, of the smallest text hash)."""
-    found = near_duplicates(docs, text, doc_id)
+    """``docs`` with one row of each group of ``similar``: that of the smallest id (of equal ids, of the smallest text hash)."""
+    found = stored(similar(docs, text, doc_id), "similar")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("h").alias("h")))
     kept = stored(found.groupBy("root").agg(first.alias("f")).select(F.col("f.id").alias("_id"), F.col("f.h").alias("_h")), "kept")
     again = found.groupBy("doc_id", "h").count().filter("count > 1").join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left_semi")

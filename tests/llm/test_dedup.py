@@ -106,6 +106,46 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.one_of_each(df.limit(0)).count() == 0
 
 
+def test_one_of_each_finds_similar_texts(spark):
+    rng = random.Random(11)
+    rows, pairs = [], []
+    for k in range(120):
+        words = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        other = list(words)
+        for at in rng.sample(range(300), rng.choice([1, 2, 3, 30])):
+            other[at] = "new"
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+        pairs.append((words, other))
+    kept = {r.doc_id for r in simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    grams = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    for k, (a, b) in enumerate(pairs):
+        bits = [simhash.fingerprint(" ".join(x).encode(), 5) for x in (a, b)]
+        same = len(grams(a) & grams(b)) >= 0.8 * len(grams(a) | grams(b)) and (bits[0] ^ bits[1]).bit_count() <= 7
+        assert 2 * k in kept and (2 * k + 1 in kept) != same
+    assert sum(2 * k + 1 not in kept for k, (a, b) in enumerate(pairs) if (shingle_print(" ".join(a)) ^ shingle_print(" ".join(b))).bit_count() > 3) > 5
+    # of few different words: near in bits, but not similar
+    rows = [(k, "a b c d e f g " * 60 + " ".join(f"x{k}y{i}" for i in range(7))) for k in range(8)]
+    prints = [simhash.fingerprint(t.encode(), 5) for _, t in rows]
+    assert all((p ^ q).bit_count() <= 7 for p in prints for q in prints)
+    assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 8
+
+
+def test_wide_links_lose_none(spark):
+    rng = np.random.default_rng(4)
+    prints = np.unique(np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 8), replace=False))) for b in rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(12)], np.uint64))
+    df = spark.createDataFrame([(int(x),) for x in prints.view(np.int64)], "fp long")
+    near = {(int(p), int(q)) for p in prints for q in prints[np.bitwise_count(prints ^ p) <= 7] if p < q}
+    root = {int(p): int(p) for p in prints}
+    for p, q in sorted(near) * 8:
+        root[p] = root[q] = min(root[p], root[q])
+    want = {frozenset(x for x in root if root[x] == r) for r in set(root.values())}
+    for hot in (10**6, 2):
+        got = defaultdict(set)
+        for r in components(simhash.links(df, hot, 400, 7, 8)).collect():
+            got[r.component].add(r.node & (1 << 64) - 1)
+        assert {frozenset(v) for v in got.values()} == {g for g in want if len(g) > 1}
+
+
 def removed_by_hand(rows, length):
     raw = [(t or "").encode() for _, t in rows]
     seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
