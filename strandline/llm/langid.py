@@ -2,7 +2,9 @@
 
 Training counts the character 4-grams of every labelled text, by language, as Spark aggregates. Lower orders, discounts
 and back-off weights follow from those counts; each language's model is a set of sorted arrays of packed n-grams that are
-looked up by binary search. A text goes to the language of lowest cross-entropy per character. How sure that is comes from
+looked up by binary search. Tables too large for one broadcast are cut into shares by the two middle characters of a 4-gram:
+all that an n-gram's probability needs is in its share, so each share is read by a pass of its own over the texts, and the
+passes' bits (whole numbers, so that their sum doesn't depend on the cuts) are added up. A text goes to the language of lowest cross-entropy per character. How sure that is comes from
 a monotone fit, over all labelled texts, of how often the choice was right at its lead over the runner-up.
 """
 
@@ -16,16 +18,17 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import row_keys, stored
+from strandline.llm.common import parts, row_keys, stored
 
 ORDER = 4
 BITS = 12
 _SYMBOLS = 1 << BITS
 #: A text is read in stretches of at most so many characters, each begun afresh.
 STRETCH = 500_000
-#: n-gram types that a set of models may hold (bounds what is sent to executors, about 100 bytes a type). Beyond it the rarest
-#: types of all languages go, by a common least count.
-MAX_TYPES = 1_500_000
+#: n-gram types of all languages in one share (bounds what a pass sends to executors, about 100 bytes a type).
+SHARE_TYPES = 1_500_000
+#: Parts of a bit in which n-grams' information is added.
+FINE = 1 << 20
 #: A text is rejected if its predicted language is less likely right than this, or ...
 LEAST_SCORE = 0.2
 #: ... its cross-entropy is over that of every labelled text of its language, and over their mean by so many standard
@@ -109,44 +112,62 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
+def _lower(code: np.ndarray, order: int) -> np.ndarray:
+    """The n-grams of ``order`` characters at the ends of longer ones."""
+    return code & ((1 << BITS * order) - 1)
+
+
+def _discount(ones: float, twos: float) -> float:
+    return min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+
 class Model:
-    """One language's n-gram model: sorted arrays of packed n-grams and contexts, for each order."""
+    """One language's n-gram model, or a share of it: sorted arrays of packed n-grams and contexts, for each order."""
 
-    def __init__(self, code: np.ndarray, count: np.ndarray):
-        sort = np.argsort(code)
-        code, count = code[sort].astype(np.int64), count[sort].astype(np.float64)
+    def __init__(self, code: np.ndarray, count: np.ndarray, lower: dict[int, tuple[np.ndarray, np.ndarray]] | None = None, discounts: dict[int, float] | None = None):
+        """code, count: 4-grams. For a share: lower has the n-grams and counts of orders 1 and 2, discounts those of all orders."""
         self.levels = []
         for order in range(ORDER, 0, -1):
-            ones, twos = (count == 1).sum(), (count == 2).sum()
-            discount = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+            if order < ORDER:
+                given = (lower or {}).get(order)
+                code, count = given or np.unique(_lower(code, order), return_counts=True)  # how many stand before it
+            sort = np.argsort(code)
+            code, count = code[sort].astype(np.int64), count[sort].astype(np.float64)
+            discount = discounts[order] if discounts else _discount((count == 1).sum(), (count == 2).sum())
             context, at = np.unique(code >> BITS, return_inverse=True)
             total, kinds = np.bincount(at, count), np.bincount(at)
             self.levels.append((code, (count - discount).clip(0) / total[at], context, discount * kinds / total))
-            code, count = np.unique(code & ((1 << BITS * (order - 1)) - 1), return_counts=True)  # how many stand before it
-            count = count.astype(np.float64)
         self.levels.reverse()
 
     def log2(self, code: np.ndarray) -> np.ndarray:
         """log2 of each n-gram's probability of its last character."""
         p = np.full(len(code), 1 / _SYMBOLS)
         for order, (grams, own, contexts, back) in enumerate(self.levels, 1):
-            key = code & ((1 << BITS * order) - 1)
+            key = _lower(code, order)
             p = _looked_up(contexts, back, key >> BITS, 1.0) * p + _looked_up(grams, own, key, 0.0)
         return np.log2(p)
 
 
 def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
+    if not len(keys):
+        return np.full(len(wanted), missing)
     at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
     return np.where(keys[at] == wanted, values[at], missing)
 
 
-def _scored(models):
+def _middle(code):
+    """A 4-gram's two middle characters, the third first: by ranges of it shares are cut."""
+    second, third = code >> 2 * BITS & _SYMBOLS - 1, code >> BITS & _SYMBOLS - 1
+    return third << BITS | second
+
+
+def _summed(share):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        langs, by_lang = models.value
+        by_lang, low, high = share.value
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            bits, letters = np.zeros((len(langs), len(texts))), np.zeros(len(texts), np.int64)
-            n = np.zeros(len(texts))
+            bits, letters = np.zeros((len(by_lang), len(texts)), np.int64), np.zeros(len(texts), np.int64)
+            n = np.zeros(len(texts), np.int64)
             for rows, held in _stretches(texts):
                 code, first = codes(held)
                 kinds = np.sort(code)
@@ -155,15 +176,31 @@ def _scored(models):
                 begin, rows = first[:-1], np.array(rows)
                 np.add.at(n, rows, np.diff(first))
                 np.add.at(letters, rows, np.add.reduceat((code & (_SYMBOLS - 1) != 0).astype(np.int64), begin))
+                own = np.flatnonzero((_middle(kinds) >= low) & (_middle(kinds) < high))
                 for k, model in enumerate(by_lang):
-                    np.add.at(bits[k], rows, -np.add.reduceat(model.log2(kinds)[at], begin))
-            known = (letters > 0) if len(langs) else np.zeros(len(texts), bool)
-            sort = np.argsort(bits, axis=0, kind="stable") if len(langs) else np.zeros((1, len(texts)), np.int64)
-            each = np.arange(len(texts))
+                    each = np.zeros(len(kinds), np.int64)
+                    each[own] = np.rint(-FINE * model.log2(kinds[own]))
+                    np.add.at(bits[k], rows, np.add.reduceat(each[at], begin))
+            rest = [name for name in batch.schema.names if name != "_text"]
+            sums = pa.FixedSizeListArray.from_arrays(pa.array(bits.T.ravel()), len(by_lang)).cast(pa.list_(pa.int64())) if len(by_lang) else pa.array([[]] * len(texts), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), pa.array(letters), pa.array(n), sums], names=[*rest, "letters", "n", "bits"])
+
+    return work
+
+
+def _judged(langs: list[str]):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = batch.num_rows
+            letters, n = batch.column("letters").to_numpy(), batch.column("n").to_numpy()
+            bits = batch.column("bits").flatten().to_numpy(zero_copy_only=False).reshape(rows, len(langs)).T / FINE
+            known = (letters > 0) if len(langs) else np.zeros(rows, bool)
+            sort = np.argsort(bits, axis=0, kind="stable") if len(langs) else np.zeros((1, rows), np.int64)
+            each = np.arange(rows)
             best = bits[sort[0], each] if len(langs) else n
-            lead = bits[sort[1], each] - best if len(langs) > 1 else np.full(len(texts), 1e3)
+            lead = bits[sort[1], each] - best if len(langs) > 1 else np.full(rows, 1e3)
             named = np.array([*langs, UNDECIDED], object)[np.where(known, sort[0], len(langs))]
-            rest = [name for name in batch.schema.names if name != "_text"]
+            rest = [name for name in batch.schema.names if name not in ("letters", "n", "bits")]
             out = [pa.array(named.tolist(), pa.string()), pa.array(best / np.maximum(n, 1)), pa.array(np.minimum(160, 8 * np.log2(1 + lead)).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in rest), *out], names=[*rest, "lang_pred", "entropy", "step"])
 
@@ -175,20 +212,63 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", max_types: int = MAX_TYPES) -> tuple[list[str], list[Model]]:
-    """Models of all languages in the labelled rows of ``docs``; rows with a null text or label teach nothing."""
-    labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = stored(labelled.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
-    if counts.count() > max_types:  # the least count that leaves few enough
-        size, least = 0, 0
-        for r in counts.filter("n <= 100000").groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-            size, least = size + r["count"], r["n"]
-            if size > max_types:
-                break
-        counts = counts.filter(F.col("n") > least)
-    table = counts.toPandas()
-    models = {x: Model(own["code"].to_numpy(), own["n"].to_numpy()) for x, own in table.groupby("lang")}
-    return sorted(models), [models[x] for x in sorted(models)]
+class Counts:
+    """The counts of all languages' n-grams as stored tables, of which shares are read."""
+
+    def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang", share_types: int = SHARE_TYPES):
+        """Of the labelled rows of ``docs``; rows with a null text or label teach nothing."""
+        labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+        table = stored(labelled.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
+        self.tables = {ORDER: table}
+        found = []
+        for order in range(ORDER, 0, -1):
+            if order < ORDER:
+                code = F.col("code").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("code")
+                table = table.select("lang", code).groupBy("lang", "code").agg(F.count(F.lit(1)).alias("n"))
+                self.tables[order] = table = stored(table, "ngrams")
+            found += [(order, r) for r in table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()]  # one for each language
+        self.discounts: dict[str, dict[int, float]] = {}
+        for order, r in found:
+            self.discounts.setdefault(r["lang"], {})[order] = _discount(r["ones"], r["twos"])
+        self.langs = sorted(self.discounts)
+        middle = lambda code: F.shiftleft(F.shiftright(code, BITS).bitwiseAND(F.lit(_SYMBOLS - 1)), BITS).bitwiseOR(F.shiftright(code, 2 * BITS).bitwiseAND(F.lit(_SYMBOLS - 1)))
+        self.tables[ORDER] = self.tables[ORDER].withColumn("middle", middle(F.col("code")))
+        shares = parts(self.tables[ORDER].count(), share_types)
+        cuts = self.tables[ORDER].approxQuantile("middle", [k / shares for k in range(1, shares)], 0.1 / shares) if shares > 1 else []
+        ends = [0, *sorted({int(x) for x in cuts} - {0}), 1 << 2 * BITS]
+        self.ranges = list(zip(ends, ends[1:]))
+
+    def share(self, low: int, high: int) -> list[Model]:
+        """Models of all languages, for n-grams whose middle is in low to high - 1."""
+        first = F.shiftright("code", BITS)  # of two characters: the third of a 4-gram
+        narrowed = {ORDER: self.tables[ORDER].filter((F.col("middle") >= low) & (F.col("middle") < high)), 2: self.tables[2].filter((first >= low >> BITS) & (first <= high - 1 >> BITS)), 1: self.tables[1]}
+        none = np.zeros(0, np.int64)
+        by_lang = {x: {order: (none, none) for order in narrowed} for x in self.langs}
+        for order, table in narrowed.items():
+            for x, own in table.select("lang", "code", "n").toPandas().groupby("lang"):
+                by_lang[x][order] = own["code"].to_numpy(), own["n"].to_numpy()
+        return [Model(*own.pop(ORDER), own, self.discounts[x]) for x, own in by_lang.items()]
+
+
+def _scored(docs: DataFrame, counts: Counts) -> DataFrame:
+    """``docs`` (columns of plain types, and _text) with lang_pred, entropy and step instead of _text, in any order."""
+    context, key = docs.sparkSession.sparkContext, [c for c in docs.columns if c != "_text"]
+    own = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in key)
+    passes = None
+    for low, high in counts.ranges:
+        shared = context.broadcast((counts.share(low, high), low, high))
+        sums = docs.mapInArrow(_summed(shared), f"{own}, letters long, n long, bits array<long>")
+        if len(counts.ranges) > 1:
+            sums = stored(sums, "pass")
+            shared.destroy()
+        passes = sums if passes is None else passes.union(sums)
+    if len(counts.ranges) > 1:  # equal rows have equal sums
+        rows = (F.count(F.lit(1)) / len(counts.ranges)).cast("long")
+        added = [F.sum(F.col("bits")[k]).alias(f"b{k}") for k in range(len(counts.langs))]
+        met = passes.groupBy(*key).agg(rows.alias("rows"), F.first("letters").alias("letters"), F.first("n").alias("n"), *added)
+        bits = F.array(*[F.expr(f"b{k} div rows") for k in range(len(counts.langs))]).alias("bits")
+        passes = met.select(*key, "letters", "n", bits, F.explode(F.expr("sequence(1L, rows)")).alias("_row")).drop("_row")
+    return passes.mapInArrow(_judged(counts.langs), f"{own}, lang_pred string, entropy double, step int")
 
 
 def _monotone(right: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -202,19 +282,17 @@ def _monotone(right: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.concatenate([np.full(int(k), a / b) for a, b, k in pools])
 
 
-def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:
+def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", share_types: int = SHARE_TYPES) -> DataFrame:
     """One row for each of ``docs``: doc_id, h (hash of the text), held_out, lang_pred, score, rejected.
 
     Only rows that aren't held out and have text and label teach; neither label nor id is an input of a prediction.
     Texts that are null or have no letter are ``und`` with score 0 and rejected, as is all if nothing teaches. score is
     the calibrated chance of being right. Equal rows are judged alike. An empty table gives an empty table.
     """
-    spark = docs.sparkSession
     teach = docs.filter(~held_out(doc_id) & F.col(doc_id).isNotNull())
-    langs, models = train(teach, text, lang)
-    shared = spark.sparkContext.broadcast((langs, models))
+    counts = Counts(teach, text, lang, share_types)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(lang).alias("_lang"), held_out(doc_id).alias("held_out"), F.col(text).alias("_text"))
-    scored = stored(named.mapInArrow(_scored(shared), "doc_id long, h long, _lang string, held_out boolean, lang_pred string, entropy double, step int"), "languages")
+    scored = stored(_scored(named, counts), "languages")
     known = scored.filter("not held_out and doc_id is not null and _lang is not null and lang_pred <> 'und'")
     right = (F.col("_lang") == F.col("lang_pred")).cast("int")
     steps = {r["step"]: r for r in known.groupBy("step").agg(F.sum(right).alias("right"), F.count(F.lit(1)).alias("n")).collect()}  # 161 at most

@@ -65,6 +65,26 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_shares_of_models_change_nothing(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(1, "das ist es", "de"), (1, "das ist es", "de"), (7000, None, "en"), (None, "the cat", None), (7001, "unu doi trei", "ro")]
+    docs = docs.union(spark.createDataFrame(odd, docs.schema))
+    key = lambda **most: sorted(map(tuple, langid.identify(docs, **most).collect()), key=str)
+    whole = key()
+    assert len(langid.Counts(docs, share_types=2000).ranges) > 5
+    assert key(share_types=2000) == whole and len(whole) == docs.count()
+    assert {r[3] for r in whole if r[0] == 7001} <= {"ro", "und"}  # a small language keeps its n-grams
+    text = "the cat sat on the mat and the dog sat too"
+    one = spark.createDataFrame([(text, "en")], "text string, lang string")
+    code, n = np.unique(langid.codes([text])[0], return_counts=True)
+    counts = langid.Counts(one, share_types=5)
+    assert sum(r.n for r in counts.tables[4].collect()) == n.sum()
+    want = langid.Model(code, n).log2(code)
+    for low, high in counts.ranges:
+        own = (langid._middle(code) >= low) & (langid._middle(code) < high)
+        assert np.array_equal(counts.share(low, high)[0].log2(code[own]), want[own])
+
+
 def test_unlabelled_columns_are_no_inputs(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     other = docs.withColumn("lang", F.when(langid.held_out(), F.lit("zz")).otherwise(F.col("lang"))).withColumn("source", F.lit(None).cast("string"))
