@@ -5,7 +5,7 @@ and back-off weights follow from those counts; each language's model is a set of
 looked up by binary search. Tables too large for one broadcast are cut into shares by the two middle characters of a 4-gram:
 all that an n-gram's probability needs is in its share, so each share is read by a pass of its own over the texts, and the
 passes' bits (whole numbers, so that their sum doesn't depend on the cuts) are added up. A text goes to the language of lowest cross-entropy per character. How sure that is comes from
-a monotone fit, over all labelled texts, of how often the choice was right at its lead over the runner-up.
+a monotone fit, over labelled texts that weren't counted, of how often the choice was right at its lead over the runner-up.
 """
 
 from __future__ import annotations
@@ -29,11 +29,15 @@ STRETCH = 500_000
 SHARE_TYPES = 1_500_000
 #: Parts of a bit in which n-grams' information is added.
 FINE = 1 << 20
-#: A text is rejected if its predicted language is less likely right than this, or ...
-LEAST_SCORE = 0.2
-#: ... its cross-entropy is over that of every labelled text of its language, and over their mean by so many standard
-#: deviations and so many bits.
-MOST_DEVIATIONS, MOST_BITS = 8.0, 1.5
+#: A text is rejected if the chance that its predicted language is right is not over that of a guess among the languages by
+#: this part of what is left to certainty, or ...
+LEAST_OVER_CHANCE = 0.1
+#: ... its cross-entropy is over this quantile of its language's texts by so many bits (an unlearned language or random
+#: letters are four bits and more over it).
+QUANTILE, MOST_BITS = 0.9, 2.0
+#: Where a language has so many rows to learn from, one in ``APART`` is set aside: it isn't counted, and score and ceiling are
+#: fitted on such rows. A language of fewer rows is fitted on those it learns from.
+MANY_ROWS, APART = 64, 8
 UNDECIDED = "und"
 
 
@@ -289,19 +293,24 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     Texts that are null or have no letter are ``und`` with score 0 and rejected, as is all if nothing teaches. score is
     the calibrated chance of being right. Equal rows are judged alike. An empty table gives an empty table.
     """
-    teach = docs.filter(~held_out(doc_id) & F.col(doc_id).isNotNull())
-    counts = Counts(teach, text, lang, share_types)
-    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(lang).alias("_lang"), held_out(doc_id).alias("held_out"), F.col(text).alias("_text"))
+    label = F.col(lang).cast("string")
+    teach = ~held_out(doc_id) & F.col(doc_id).isNotNull() & label.isNotNull() & F.col(text).isNotNull()
+    many = [r["lang"] for r in docs.filter(teach).groupBy(label.alias("lang")).count().filter(F.col("count") >= MANY_ROWS).collect()]  # languages
+    apart = label.isin(many) & (F.crc32(F.concat(F.lit("fit"), F.col(doc_id).cast("string"))) % APART == 0)
+    counts = Counts(docs.filter(teach & ~apart), text, lang, share_types)
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(lang).alias("_lang"), held_out(doc_id).alias("held_out"), (teach & (apart | ~label.isin(many))).alias("fit"), F.col(text).alias("_text"))
     scored = stored(_scored(named, counts), "languages")
-    known = scored.filter("not held_out and doc_id is not null and _lang is not null and lang_pred <> 'und'")
+    known = scored.filter("fit and lang_pred <> 'und'")
     right = (F.col("_lang") == F.col("lang_pred")).cast("int")
-    steps = {r["step"]: r for r in known.groupBy("step").agg(F.sum(right).alias("right"), F.count(F.lit(1)).alias("n")).collect()}  # 161 at most
-    fit = _monotone(np.array([steps[k]["right"] + 1 if k in steps else 0.5 for k in range(161)]), np.array([steps[k]["n"] + 2 if k in steps else 1 for k in range(161)]))
-    usual = known.filter("_lang = lang_pred").groupBy("lang_pred").agg(F.greatest(F.max("entropy"), F.avg("entropy") + MOST_DEVIATIONS * F.coalesce(F.stddev("entropy"), F.lit(0.0)) + MOST_BITS).alias("most"))
+    steps = known.groupBy("step").agg(F.sum(right).alias("right"), F.count(F.lit(1)).alias("n")).orderBy("step").collect()  # 161 at most
+    chance = 1 / max(1, len(counts.langs))
+    fit = np.interp(np.arange(161), [-1, *(r["step"] for r in steps)], _monotone(np.array([chance, *(r["right"] + 1 for r in steps)]), np.array([1, *(r["n"] + 2 for r in steps)])))
+    least = chance + LEAST_OVER_CHANCE * (1 - chance) if len(counts.langs) > 1 else 0.0
+    usual = known.filter("_lang = lang_pred").groupBy("lang_pred").agg((F.percentile(F.round("entropy", 3), F.lit(QUANTILE)) + MOST_BITS).alias("most"))
     ceiling = {r["lang_pred"]: r["most"] for r in usual.collect()}  # one for each language
     most = F.coalesce(*[F.when(F.col("lang_pred") == x, F.lit(float(y))) for x, y in ceiling.items()], F.lit(float(BITS)))
     score = F.when(F.col("lang_pred") == UNDECIDED, 0.0).otherwise(F.element_at(F.array(*[F.lit(float(x)) for x in fit]), F.col("step") + 1))
-    return scored.select("doc_id", "h", "held_out", "lang_pred", score.alias("score"), "entropy").withColumn("rejected", (F.col("score") < LEAST_SCORE) | (F.col("entropy") > most)).drop("entropy")
+    return scored.select("doc_id", "h", "held_out", "lang_pred", score.alias("score"), "entropy").withColumn("rejected", (F.col("lang_pred") == UNDECIDED) | (F.col("score") < least) | (F.col("entropy") > most)).drop("entropy")
 
 
 def accepted(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id") -> DataFrame:

@@ -65,6 +65,21 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in langid.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_foreign_texts_and_noise_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(2)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (60, 300, 2000) for _ in range(8)]
+    foreign = [
+        "Tämä on suomenkielinen lause, jota mallit eivät ole oppineet lainkaan.", "Это предложение написано по-русски и ни одна модель не знает таких букв.",
+        "To jest zdanie napisane w języku polskim, którego modele nigdy nie widziały.", "Bu cümle Türkçe yazılmıştır ve modeller bu dili hiç öğrenmedi.", "这是一个中文句子，模型没有学过。",
+    ]
+    rows = [(10**6 + k, x, None) for k, x in enumerate(foreign + noise)]
+    rows += [(2 * 10**6 + k, "".join(rng.choice("абвгджзклмн ") for _ in range(80)), lang) for k in range(4) for lang in ("en", "de", "fr", "es")]  # mislabelled
+    got = langid.identify(docs.union(spark.createDataFrame(rows, docs.schema))).collect()
+    assert all(r.rejected for r in got if 10**6 <= r.doc_id < 2 * 10**6)
+    assert np.mean([r.rejected for r in got if r.doc_id < 10**6]) < 0.005
+
+
 def test_shares_of_models_change_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
     odd = [(1, "das ist es", "de"), (1, "das ist es", "de"), (7000, None, "en"), (None, "the cat", None), (7001, "unu doi trei", "ro")]
