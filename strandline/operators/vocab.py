@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Sequence
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,21 +58,30 @@ def semi_anti(df: DataFrame, on: str, keep: DataFrame | None = None, drop: DataF
     return df
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, relationships: Sequence[str] | None = None, most: int = 20) -> DataFrame:
+def _ended(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, by a checkpoint in the shared folder; a local one is set only where none is named."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-"))
+    return df.checkpoint()
+
+
+def ancestors(edges: DataFrame, starts: DataFrame, relationships: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     """Rows (start, ancestor, generation) over edges (child, parent, relationship), each ancestor at its least generation.
 
-    Walks breadth first, one join a generation, and stops when nothing new is found; ``most`` bounds the generations.
+    Walks breadth first, one join a generation, and stops when nothing new is found, rings included; ``most``, where
+    given, bounds the generations. Each generation is checkpointed, as plans would double with every one.
     """
     own = edges if relationships is None else edges.filter(F.col("relationship").isin(list(relationships)))
     own = own.select(F.col("child").alias("_c"), F.col("parent").alias("_p")).distinct()
     at = starts.select(F.col(starts.columns[0]).alias("start")).distinct()
     front = at.select("start", F.col("start").alias("node"))
     found = None
-    for generation in range(1, most + 1):
+    for generation in count(1) if most is None else range(1, most + 1):
         step = front.join(own, F.col("node") == F.col("_c")).select("start", F.col("_p").alias("node")).distinct().filter("start <> node")
         if found is not None:
             step = step.join(found.select("start", F.col("ancestor").alias("node")), ["start", "node"], "left_anti")
-        step = step.persist()
+        step = _ended(step)
         if step.limit(1).count() == 0:
             break
         new = step.select("start", F.col("node").alias("ancestor"), F.lit(generation).alias("generation"))

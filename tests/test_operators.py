@@ -257,3 +257,10 @@ def test_streams(spark, tmp_path):
     assert [(r.k, r.n) for r in sorted(got)] == [("u", 2), ("u", 1)]
     assert len(drained(streams.first_of_each(stream(), "kind", "ts", "10 days"), "s2")) == 2
     assert {(r.kind, r.n) for r in drained(streams.windowed_counts(stream(), "ts", "kind", "v"), "s3")} == {("x", 2), ("y", 1)}
+
+
+def test_ancestors_of_deep_hierarchies(spark):
+    edges = spark.createDataFrame([(f"n{k}", f"n{k + 1}", "is a") for k in range(25)] + [("n25", "n23", "is a")], "child string, parent string, relationship string")
+    start = spark.createDataFrame([("n0",)], "child string")
+    assert sorted((r.generation, r.ancestor) for r in vocab.ancestors(edges, start).collect()) == [(k, f"n{k}") for k in range(1, 26)]
+    assert vocab.ancestors(edges, start, most=2).count() == 2
