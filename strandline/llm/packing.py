@@ -9,6 +9,8 @@ from functools import lru_cache
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -18,7 +20,9 @@ from strandline.llm.common import parts, text_arrays, whole_group
 LENGTH = 2048
 END = 0
 #: Sequences that are open at a time in one group.
-OPEN = 8192
+OPEN = 128
+#: Pieces that arrive together, the longest first.
+ARRIVAL = 512
 #: Documents whose pieces are packed together.
 GROUP_DOCS = 16_384
 #: Words whose ids a Python worker keeps.
@@ -62,24 +66,29 @@ def word_ids(path: str) -> WordIds:
 
 def _pieces(path: str, length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(path)
+        words, copies, task = word_ids(path), {}, TaskContext.get().partitionId()
         for batch in batches:
             data, offsets = text_arrays(batch.column("_text"))
             raw, at = memoryview(data), offsets.tolist()
-            rows, piece, size, crc = [], [], [], []
-            for d, (a, b) in enumerate(zip(at, at[1:])):
-                ids = words.text(raw[a:b].tobytes()) + END.to_bytes(4, "little")
+            rows, piece, size, crc, salt = [], [], [], [], []
+            for d, (a, b, doc) in enumerate(zip(at, at[1:], batch.column("doc_id").to_pylist())):
+                own = raw[a:b].tobytes()
+                ids = words.text(own) + END.to_bytes(4, "little")
+                key = doc, xxhash.xxh64_intdigest(own)
+                copies[key] = copy = copies.get(key, -1) + 1
+                mixed = xxhash.xxh64_intdigest(f"{key} {copy} {task}") >> 1
                 for k in range(0, len(ids), 4 * length):
                     part = ids[k : k + 4 * length]
                     rows.append(d)
                     piece.append(k // (4 * length))
                     size.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
+                    salt.append(mixed)
                 words.trim(KEPT_WORDS)
             piece = np.array(piece, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(size, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "piece", "start", "length", "ids_crc32"],
+                [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt, pa.int64())],
+                names=["doc_id", "piece", "start", "length", "ids_crc32", "salt"],
             )
 
     return cut
@@ -119,29 +128,31 @@ def best_fit(sizes: list[int], length: int, most_open: int) -> tuple[list[int],
     return bins, places
 
 
-def _packed(length: int, most_open: int):
+def _packed(length: int, most_open: int, arrival: int):
     def work(table: pa.Table) -> pa.Table:
-        table = table.sort_by([("length", "descending"), ("mix", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
-        sizes, lot = whole_group(table, "length").to_pylist(), whole_group(table, "lot").to_numpy()
-        bins, places = best_fit(sizes, length, most_open)
-        table = table.drop_columns(["lot", "mix"])
+        table = table.sort_by([("mix", "ascending"), ("doc_id", "ascending"), ("piece", "ascending")])
+        sizes, lot = whole_group(table, "length").to_numpy(), whole_group(table, "lot").to_numpy()
+        order = np.lexsort((-sizes, np.arange(len(sizes)) // arrival))
+        table = table.take(pa.array(order)).drop_columns(["lot", "mix"])
+        bins, places = best_fit(sizes[order].tolist(), length, most_open)
         table = table.append_column("sequence_id", pa.array((lot << 32) + np.array(bins, np.int64)))
         return table.append_column("offset", pa.array(places, pa.int64()))
 
     return work
 
 
-def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, length: int = LENGTH, most_open: int = OPEN, group_docs: int = GROUP_DOCS) -> DataFrame:
+def pack(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", tokenizer: str | None = None, length: int = LENGTH, most_open: int = OPEN, arrival: int = ARRIVAL, group_docs: int = GROUP_DOCS) -> DataFrame:
     """One row for each piece of each of ``docs``: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its token ids and the id 0 (a null or empty text: that alone), cut only if longer than ``length``, into
-    pieces of that length and a last one. Pieces are dealt to groups by a hash, and in each group the longest arrive first, so that short
-    ones fill what is left.
-    Equal rows are packed each; ids may be null. An empty table gives an empty table.
+    pieces of that length and a last one. Pieces are dealt to groups by a hash of document, text and piece (equal rows are
+    told apart by their number in the task that reads them) and arrive in that hash's order, ``arrival`` at a time, of
+    these the longest first. A group has ``most_open`` open sequences at most. Equal rows are packed each; ids may be null.
+    An empty table gives an empty table.
     """
     path = tokenizer or public_tokenizers.path("word_bpe_49k.json")
     groups = parts(docs.count(), group_docs)
     named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("_text"))
-    cut = named.mapInArrow(_pieces(path, length), "doc_id long, piece int, start long, length long, ids_crc32 long")
-    mixed = cut.withColumn("mix", F.xxhash64("doc_id", "piece")).withColumn("lot", F.pmod("mix", F.lit(groups).cast("long")))
-    return mixed.groupBy("lot").applyInArrow(_packed(length, most_open), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    cut = named.mapInArrow(_pieces(path, length), "doc_id long, piece int, start long, length long, ids_crc32 long, salt long")
+    mixed = cut.withColumn("mix", F.xxhash64("salt", "piece")).drop("salt").withColumn("lot", F.pmod("mix", F.lit(groups).cast("long")))
+    return mixed.groupBy("lot").applyInArrow(_packed(length, most_open, arrival), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
