@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Iterator
+from fractions import Fraction
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -16,13 +18,19 @@ CALL, RESULT = "call", "result"
 
 
 def canonical(value) -> str:
-    """JSON by the canonicalisation scheme of RFC 8785: keys by UTF-16 units, shortest numbers, no spaces."""
+    """JSON by the canonicalisation scheme of RFC 8785: keys by UTF-16 units, shortest numbers (all numbers are doubles), no
+    spaces. Half a surrogate pair and numbers beyond a double's range have no such form and are a ``ValueError``."""
     if isinstance(value, dict):
         return "{" + ",".join(f"{canonical(k)}:{canonical(value[k])}" for k in sorted(value, key=lambda k: k.encode("utf-16-be", "surrogatepass"))) + "}"
     if isinstance(value, list):
         return "[" + ",".join(map(canonical, value)) + "]"
-    if isinstance(value, float):
-        return _number(value)
+    if isinstance(value, int | float) and not isinstance(value, bool):
+        try:
+            return _number(float(value))
+        except OverflowError as e:
+            raise ValueError("a number beyond a double's range") from e
+    if isinstance(value, str):
+        value.encode()  # an error if it isn't whole Unicode
     return json.dumps(value, ensure_ascii=False)
 
 
@@ -61,32 +69,98 @@ _KINDS = {
 }
 
 
-def faults(value, schema: dict, at: str = "$") -> Iterator[str]:
-    """Where ``value`` breaks a JSON schema (types, enumerations, bounds, lengths, properties, items)."""
-    kinds = schema.get("type")
-    if kinds is not None and not any(_KINDS[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
-        yield f"{at}: not {kinds}"
+#: The keywords of JSON Schema that are tested, and those that only describe.
+_TESTED = {
+    "type", "enum", "const", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "items", "minItems", "maxItems",
+    "uniqueItems", "properties", "required", "additionalProperties", "minProperties", "maxProperties", "anyOf", "allOf", "oneOf", "not", "$ref",
+}
+_DESCRIPTIVE = {"title", "description", "default", "examples", "$schema", "$id", "$comment", "$defs", "definitions", "deprecated", "readOnly", "writeOnly", "format"}
+
+
+def check_schema(schema: dict | bool, at: str = "$") -> None:
+    """An error if a schema has a keyword that ``faults`` doesn't know, so that none passes untested."""
+    if isinstance(schema, bool):
         return
-    if "enum" in schema and value not in schema["enum"]:
-        yield f"{at}: not among the values"
+    if unknown := sorted(set(schema) - _TESTED - _DESCRIPTIVE):
+        raise ValueError(f"{at}: unknown keywords {unknown}")
+    for key in ("properties", "$defs", "definitions"):
+        for name, own in schema.get(key, {}).items():
+            check_schema(own, f"{at}.{key}.{name}")
+    for key in ("items", "additionalProperties", "not"):
+        check_schema(schema.get(key, True), f"{at}.{key}")
+    for key in ("anyOf", "allOf", "oneOf"):
+        for k, own in enumerate(schema.get(key, ())):
+            check_schema(own, f"{at}.{key}[{k}]")
+
+
+def _same(a, b) -> bool:
+    return canonical(a) == canonical(b)
+
+
+def _referred(root: dict, pointer: str):
+    if not pointer.startswith("#"):
+        raise ValueError(f"reference to another document: {pointer}")
+    out = root
+    for name in pointer[1:].split("/")[1:]:
+        out = out[name.replace("~1", "/").replace("~0", "~")]
+    return out
+
+
+def _bounds(value, schema: dict, at: str) -> Iterator[str]:
+    """Numbers, texts and lists against limits."""
     if _KINDS["number"](value):
-        if value < schema.get("minimum", value) or value > schema.get("maximum", value):
+        low, high = value < schema.get("minimum", value), value > schema.get("maximum", value)
+        if low or high or value <= schema.get("exclusiveMinimum", -math.inf) or value >= schema.get("exclusiveMaximum", math.inf):
             yield f"{at}: out of bounds"
+        if (step := schema.get("multipleOf")) and Fraction(str(value)) % Fraction(str(step)):
+            yield f"{at}: not a multiple of {step}"
     elif isinstance(value, str | list):
         low, high = ("minLength", "maxLength") if isinstance(value, str) else ("minItems", "maxItems")
         if not schema.get(low, 0) <= len(value) <= schema.get(high, len(value)):
             yield f"{at}: length {len(value)}"
+        if isinstance(value, str) and "pattern" in schema and not re.search(schema["pattern"], value):
+            yield f"{at}: not of the pattern"
+        if isinstance(value, list) and schema.get("uniqueItems") and len(set(map(canonical, value))) < len(value):
+            yield f"{at}: items repeat"
+    elif isinstance(value, dict) and not schema.get("minProperties", 0) <= len(value) <= schema.get("maxProperties", len(value)):
+        yield f"{at}: {len(value)} properties"
+
+
+def faults(value, schema: dict | bool, at: str = "$", root: dict | None = None, seen: frozenset[str] = frozenset()) -> Iterator[str]:
+    """Where ``value`` breaks a JSON schema (the keywords of ``_TESTED``; references into the schema itself)."""
+    if isinstance(schema, bool):
+        if not schema:
+            yield f"{at}: unknown"
+        return
+    root = schema if root is None else root
+    if "$ref" in schema:
+        if schema["$ref"] in seen:
+            raise ValueError(f"{schema['$ref']} refers to itself")
+        yield from faults(value, _referred(root, schema["$ref"]), at, root, seen | {schema["$ref"]})
+    kinds = schema.get("type")
+    if kinds is not None and not any(_KINDS[k](value) for k in ([kinds] if isinstance(kinds, str) else kinds)):
+        yield f"{at}: not {kinds}"
+        return
+    if "enum" in schema and not any(_same(value, x) for x in schema["enum"]) or "const" in schema and not _same(value, schema["const"]):
+        yield f"{at}: not among the values"
+    broken = lambda own: next(faults(value, own, at, root, seen), None) is not None
+    for own in schema.get("allOf", ()):
+        yield from faults(value, own, at, root, seen)
+    if "anyOf" in schema and all(map(broken, schema["anyOf"])):
+        yield f"{at}: none of the choices"
+    if "oneOf" in schema and sum(not broken(x) for x in schema["oneOf"]) != 1:
+        yield f"{at}: not just one of the choices"
+    if "not" in schema and not broken(schema["not"]):
+        yield f"{at}: excluded"
+    yield from _bounds(value, schema, at)
     if isinstance(value, list) and "items" in schema:
         for k, x in enumerate(value):
-            yield from faults(x, schema["items"], f"{at}[{k}]")
+            yield from faults(x, schema["items"], f"{at}[{k}]", root)
     if isinstance(value, dict):
         own = schema.get("properties", {})
         yield from (f"{at}.{k}: missing" for k in schema.get("required", ()) if k not in value)
         for k in sorted(value):
-            if k in own:
-                yield from faults(value[k], own[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
-                yield f"{at}.{k}: unknown"
+            yield from faults(value[k], own[k] if k in own else schema.get("additionalProperties", True), f"{at}.{k}", root)
 
 
 def _written(schemas: dict[str, dict]):
@@ -100,13 +174,10 @@ def _written(schemas: dict[str, dict]):
                     try:
                         value = json.loads(arguments)
                         arguments = canonical(value)
+                        found = list(faults(value, schemas[row["name"]])) if row["name"] in schemas else ["name: no such tool"]
                     except (ValueError, RecursionError):
-                        wrong.append("arguments: not JSON")
-                    else:
-                        if row["name"] in schemas:
-                            wrong += faults(value, schemas[row["name"]])
-                        else:
-                            wrong.append("name: no such tool")
+                        found = ["arguments: not JSON"]
+                    wrong += found
                     message = {"role": "assistant", "tool_calls": [{"id": row["call_id"], "type": "function", "function": {"name": row["name"], "arguments": arguments}}]}
                 elif role == RESULT:
                     message = {"role": "tool", "tool_call_id": row["call_id"], "content": row["content"]}
@@ -167,8 +238,11 @@ def link_calls(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     alike. status: answered, unanswered, linked, orphan, duplicate or message. Sorting a conversation by level, then turn,
     puts every call after the results it waits for and every result after its call. Waits for unknown calls don't count;
     a call in or behind a ring of waits has level null and an error, as has its result. A null id links to nothing. Null
-    arguments are an empty object. An empty table gives an empty table.
+    arguments are an empty object; those that aren't JSON or have no canonical form (half a surrogate pair, a number beyond
+    a double) stay as they are, with an error. A schema with an unknown keyword is an error. An empty table gives an empty table.
     """
+    for name, schema in schemas.items():
+        check_schema(schema, name)
     messages = messages.select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "call_id", "name", "arguments", "after", "content")
     earliest = F.min(F.struct("turn", "name", F.coalesce("after", F.array().cast("array<string>")).alias("after"))).alias("m")
     usable = messages.filter("conv_id is not null and call_id is not null")
