@@ -82,3 +82,27 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def one_each(vectors: DataFrame) -> DataFrame:
     """Queries with one vector for each id: of several the smallest."""
     return vectors.groupBy("vec_id").agg(F.min("v").alias("v"))
+
+
+def by_blocks(k: int):
+    """A search for ``search_groups``: the k largest inner products in double precision, by comparing all."""
+
+    def work(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, all_q: np.ndarray) -> tuple[np.ndarray, ...]:
+        x, all_q = x.astype(np.float64), all_q.astype(np.float64)
+        out = [(query_ids[:0], ids[:0], np.zeros(0))]
+        for at in range(0, len(all_q), 256):
+            q, own_ids = all_q[at : at + 256], query_ids[at : at + 256]
+            score = q @ x.T
+            score[ids[None, :] == own_ids[:, None]] = -np.inf
+            most = min(k, len(ids))
+            cut = -np.partition(-score, most - 1, axis=1)[:, most - 1 :][:, :1]
+            with np.errstate(invalid="ignore"):
+                rows, some = np.nonzero((score > -np.inf) & ((score >= cut - 1e-9 * (1 + np.abs(cut))) | (cut == -np.inf)))
+            exact = np.einsum("pd,pd->p", q[rows], x[some])
+            sort = np.lexsort((ids[some], -exact, rows))
+            rows, some, exact = rows[sort], some[sort], exact[sort]
+            top = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+            out.append((own_ids[rows[top]], ids[some[top]], exact[top]))
+        return tuple(np.concatenate([o[i] for o in out]) for i in range(3))
+
+    return work

@@ -1,12 +1,14 @@
 """Both vector searches against brute force."""
 
+from itertools import product
+
 import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.llm import multiprobe, queries, va_file
-from strandline.llm.multiprobe import buckets, probing_scores
+from strandline.llm.multiprobe import Hashes, probes
 from strandline.llm.va_file import approximation, upper_bounds
 
 SF = "/root/testdata/sf0.001"
@@ -61,28 +63,74 @@ def test_va_file_query_equals_sql(spark):
 
 
 def test_probing_order():
-    place = np.array([[0.1, 0.9]])
-    slabs, members, begin = buckets(np.array([[0.5, 0.5], [-0.5, 0.5], [0.5, 1.5], [3.5, 0.5], [0.6, 0.6]]))
-    assert begin[-1] == 5 and sorted(members.tolist()) == list(range(5))
-    order = slabs[np.argsort(probing_scores(place, slabs)[0])]
-    assert order.tolist() == [[0, 0], [0, 1], [-1, 0], [3, 0]] or order.tolist() == [[0, 0], [-1, 0], [0, 1], [3, 0]]
+    hashes = Hashes(5, 2, 6, 3.0, 1)
+    place = hashes.places(1, np.random.default_rng(3).standard_normal((4, 6)))
+    got = probes(place, hashes.mix[1], 30)
+    for q, own in zip(place, got):
+        part, cost = q - np.floor(q), {}
+        for moves in product((-1, 0, 1), repeat=6):
+            x = (np.floor(q) + moves + 0.5)[None] - hashes.shift[1]
+            # the middle of the perturbed bucket, hashed as a vector would be
+            name = int(hashes.buckets(1, np.linalg.lstsq(hashes.lines[1].T, x[0] * hashes.width, rcond=None)[0][None])[0])
+            cost[name] = min(cost.get(name, 9), sum(0 if m == 0 else (1 - p) ** 2 if m == 1 else p**2 for m, p in zip(moves, part)))
+        want = sorted(cost.values())[:30]
+        assert np.allclose([cost[x] for x in own.tolist()], want) and len(set(own.tolist())) == 30
+
+
+def searched(df, **settings):
+    vectors = multiprobe.candidates(df.select("vec_id", "embedding"))
+    return multiprobe.nearest(vectors, vectors.filter("vec_id % 20 = 0"), 20, **settings)
+
+
+def truth(df, nth=20, k=20):
+    pdf = df.toPandas().sort_values("vec_id")
+    x, ids = np.vstack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
+    score = x[ids % nth == 0] @ x.T
+    score[np.arange(len(score)), np.flatnonzero(ids % nth == 0)] = -INF
+    return ids, score, {q: set(ids[np.lexsort((ids, -s))[:k]].tolist()) for q, s in zip(ids[ids % nth == 0].tolist(), score)}
 
 
 def test_multiprobe_recall(spark):
     df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    ids, score, want = truth(df)
     got = multiprobe.search_every(df.select("vec_id", "embedding")).toPandas()
-    pdf = df.toPandas().sort_values("vec_id")
-    x, ids = np.vstack(pdf.embedding).astype(float), pdf.vec_id.to_numpy()
-    hits = total = 0
-    for q in ids[ids % 20 == 0]:
-        score = x @ x[ids == q][0]
-        score[ids == q] = -INF
-        top = set(ids[np.lexsort((ids, -score))[:20]].tolist())
+    hits = 0
+    for s, (q, top) in zip(score, want.items()):
         own = got[got.query_id == q].sort_values("rank")
-        assert len(own) == 20 and own["rank"].tolist() == list(range(1, 21))
-        assert np.allclose(own.score, [score[ids == i][0] for i in own.vec_id], atol=1e-12)
-        hits, total = hits + len(top & set(own.vec_id.tolist())), total + 20
-    assert hits / total >= 0.9
+        assert own["rank"].tolist() == list(range(1, 21))
+        assert np.allclose(own.score, [s[ids == i][0] for i in own.vec_id], atol=1e-12)
+        hits += len(top & set(own.vec_id.tolist()))
+    assert hits / (20 * len(want)) >= 0.9
+
+
+def test_multiprobe_visits_buckets_only(spark):
+    """With few probes the search sees a small part of the vectors, and finds neighbours that share a bucket with the query."""
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((60, 32))
+    x = np.repeat(centres, 50, axis=0) + 0.25 * rng.standard_normal((3000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "vec_id long, embedding array<double>")
+    ids, _, want = truth(df)
+    found = {}
+    for name, own in {"whole": {}, "split": {"lot_rows": 300, "lot_visits": 40}}.items():
+        got = searched(df, most=30, tables=8, hashes=18, **own).toPandas()
+        found[name] = sorted(map(tuple, got.to_numpy().tolist()))
+        assert sum(len(want[q] & set(g.vec_id.tolist())) for q, g in got.groupby("query_id")) / (20 * len(want)) >= 0.9
+    assert [r[:3] for r in found["whole"]] == [r[:3] for r in found["split"]]
+    hashes = Hashes(32, 8, 18, multiprobe.WIDTH, multiprobe.SEED)
+    y = np.hstack([np.vstack(df.toPandas().embedding), np.zeros((3000, 1))])
+    seen = np.zeros((150, 3000), bool)
+    for t in range(8):
+        bucket, asked = hashes.buckets(t, y), probes(hashes.places(t, y[::20]), hashes.mix[t], 30)
+        seen |= (bucket[None, None, :] == asked[:, :, None]).any(axis=1)
+    assert seen.mean() < 0.1
+
+
+def test_multiprobe_many_copies(spark):
+    rows = [(i, [1.0, 0.5]) for i in range(300)] + [(i, [1.0, -float(i)]) for i in range(300, 340)] + [(20, [1.0, 0.5])] * 30
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    usable = [(i, v) for i, v in rows if i != 20] + [(20, [1.0, 0.5])] * 31
+    got = sorted(map(tuple, multiprobe.search_every(df).select("query_id", "rank", "vec_id", "score").collect()))
+    assert got == brute(usable, 20, 20)
 
 
 def test_multiprobe_odd_rows(spark):
