@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+from collections.abc import Callable
+from contextlib import suppress
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -15,26 +19,35 @@ CHECKPOINT_DIR = "spark.checkpoint.dir"
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a local one is set only where none is named (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``. In local mode a folder of the driver's does where none is named."""
     context = spark.sparkContext
+    named = context.getConf().get(CHECKPOINT_DIR)
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get(CHECKPOINT_DIR) or tempfile.mkdtemp(prefix="strandline-"))
-    return context.getConf().get(CHECKPOINT_DIR) or context.getCheckpointDir()
+        if named is None and not re.match(r"local(\[|$)", context.master):
+            raise ValueError(f"{CHECKPOINT_DIR} must name a folder that driver and executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
+    return named or context.getCheckpointDir()
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, removed when the driver ends."""
+    """A fresh path in the shared folder, removed when the driver ends if it wasn't before."""
     path = f"{scratch_dir(spark).rstrip('/')}/strandline-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    context = spark.sparkContext
+    where = context._jvm.org.apache.hadoop.fs.Path(path)
+    remove = partial(where.getFileSystem(context._jsc.hadoopConfiguration()).delete, where, True)
+    _folders[path] = remove
+    if len(_folders) == 1:
+        atexit.register(_remove_all)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    context = spark.sparkContext
-    if context._jsc is None or context._jsc.sc().isStopped():
-        return
-    where = context._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(context._jsc.hadoopConfiguration()).delete(where, True)
+_folders: dict[str, Callable[[], bool]] = {}
+
+
+def _remove_all() -> None:
+    while _folders:
+        with suppress(Exception):  # the store or the JVM may be gone by now
+            _folders.popitem()[1]()
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -42,7 +55,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stored = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Remove tables made by ``stored`` that no later action reads: what was made of them is stored itself."""
+    for table in tables:
+        _folders.pop(table._stored)()
 
 
 def row_keys(table: DataFrame, docs: DataFrame, doc_id: str, text: str) -> tuple[DataFrame, Column]:
@@ -104,19 +125,19 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components by alternating large-star and small-star steps.
 
     ``edges`` has the columns a and b (long, any order, repeats and loops allowed). Returns one row (node,
     component) for each node that has an edge to another; component is the smallest node reachable. Each round is
-    two joins on aggregated minima, so the star of a hot node is split like any skewed join, and each round is stored.
+    two joins on aggregated minima, so the star of a hot node is split like any skewed join. A round is stored and the
+    one before it removed; rounds end when links no longer change.
     """
-    spark = edges.sparkSession
     now = stored(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links"
     )
     last = None
-    for _ in range(most_rounds):
+    while True:
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if state == last:
             break
@@ -132,9 +153,8 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
             .filter("u <> v")
             .distinct()
         )
-        now = stored(small, "links")
-    else:
-        raise RuntimeError("components did not settle")
+        before, now = now, stored(small, "links")
+        forget(before)
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("component"))).groupBy("node").agg(F.min("component").alias("component"))
 

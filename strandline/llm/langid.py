@@ -280,72 +280,6 @@ def _scored(docs: DataFrame, counts: Counts) -> DataFrame:
     return met.mapInArrow(judged, out)
 
 
-def held_out(doc_id: str = "doc_id") -> Column:
-    """crc32 of the id as text leaves 1 when divided by 3; a null id doesn't."""
-    return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
-
-
-class Counts:
-    """The counts of all languages' n-grams as stored tables, of which shares are read."""
-
-    def __init__(self, docs: DataFrame, text: str = "text", lang: str = "lang", share_types: int = SHARE_TYPES):
-        """Of the labelled rows of ``docs``; rows with a null text or label teach nothing."""
-        labelled = docs.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-        table = stored(labelled.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "ngrams")
-        self.tables = {ORDER: table}
-        found = []
-        for order in range(ORDER, 0, -1):
-            if order < ORDER:
-                code = F.col("code").bitwiseAND(F.lit((1 << BITS * order) - 1)).alias("code")
-                table = table.select("lang", code).groupBy("lang", "code").agg(F.count(F.lit(1)).alias("n"))
-                self.tables[order] = table = stored(table, "ngrams")
-            found += [(order, r) for r in table.groupBy("lang").agg(F.count_if(F.col("n") == 1).alias("ones"), F.count_if(F.col("n") == 2).alias("twos")).collect()]  # one for each language
-        self.discounts: dict[str, dict[int, float]] = {}
-        for order, r in found:
-            self.discounts.setdefault(r["lang"], {})[order] = _discount(r["ones"], r["twos"])
-        self.langs = sorted(self.discounts)
-        middle = lambda code: F.shiftleft(F.shiftright(code, BITS).bitwiseAND(F.lit(_SYMBOLS - 1)), BITS).bitwiseOR(F.shiftright(code, 2 * BITS).bitwiseAND(F.lit(_SYMBOLS - 1)))
-        self.tables[ORDER] = self.tables[ORDER].withColumn("middle", middle(F.col("code")))
-        shares = parts(self.tables[ORDER].count(), share_types)
-        cuts = self.tables[ORDER].approxQuantile("middle", [k / shares for k in range(1, shares)], 0.1 / shares) if shares > 1 else []
-        ends = [0, *sorted({int(x) for x in cuts} - {0}), 1 << 2 * BITS]
-        self.ranges = list(zip(ends, ends[1:]))
-
-    def share(self, low: int, high: int) -> list[Model]:
-        """Models of all languages, for n-grams whose middle is in low to high - 1."""
-        first = F.shiftright("code", BITS)  # of two characters: the third of a 4-gram
-        narrowed = {ORDER: self.tables[ORDER].filter((F.col("middle") >= low) & (F.col("middle") < high)), 2: self.tables[2].filter((first >= low >> BITS) & (first <= high - 1 >> BITS)), 1: self.tables[1]}
-        none = np.zeros(0, np.int64)
-        by_lang = {x: {order: (none, none) for order in narrowed} for x in self.langs}
-        for order, table in narrowed.items():
-            for x, own in table.select("lang", "code", "n").toPandas().groupby("lang"):
-                by_lang[x][order] = own["code"].to_numpy(), own["n"].to_numpy()
-        return [Model(*own.pop(ORDER), own, self.discounts[x]) for x, own in by_lang.items()]
-
-
-def _scored(docs: DataFrame, counts: Counts) -> DataFrame:
-    """``docs`` (columns of plain types, and _text) with lang_pred, entropy and step instead of _text, in any order."""
-    context, key = docs.sparkSession.sparkContext, [c for c in docs.columns if c != "_text"]
-    own = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in key)
-    judged, out = _judged(counts.langs), f"{own}, lang_pred string, entropy double, step int"
-    passes = None
-    for low, high in counts.ranges:
-        shared = context.broadcast((counts.share(low, high), low, high))
-        summed = _summed(shared)
-        if len(counts.ranges) == 1:  # in one Python worker
-            return docs.mapInArrow(lambda batches: judged(summed(batches)), out)
-        sums = stored(docs.mapInArrow(summed, f"{own}, letters long, n long, bits array<long>"), "pass")
-        shared.destroy()
-        passes = sums if passes is None else passes.union(sums)
-    if len(counts.ranges) > 1:  # equal rows have equal sums
-        rows = (F.count(F.lit(1)) / len(counts.ranges)).cast("long")
-        added = [F.sum(F.col("bits")[k]).alias(f"b{k}") for k in range(len(counts.langs))]
-        met = passes.groupBy(*key).agg(rows.alias("rows"), F.first("letters").alias("letters"), F.first("n").alias("n"), *added)
-        bits = F.array(*[F.expr(f"b{k} div rows") for k in range(len(counts.langs))]).alias("bits")
-        passes = met.select(*key, "letters", "n", bits, F.explode(F.expr("sequence(1L, rows)")).alias("_row")).drop("_row")
-    return passes.mapInArrow(_judged(counts.langs), f"{own}, lang_pred string, entropy double, step int")
-
-
 def _monotone(right: np.ndarray, n: np.ndarray) -> np.ndarray:
     """Non-decreasing fit of right/n by pooling neighbours that go down."""
     pools: list[list[float]] = []

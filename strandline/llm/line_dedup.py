@@ -1,13 +1,12 @@
 """Removal of repeated lines or paragraphs across documents.
 
-Units are normalised (lower case, runs of white space as one space) and hashed; digests are grouped over all documents with
-map-side sums, the earliest occurrence by rank stays, and the others are cut from their documents. Only digests and offsets
-are shuffled until each document meets the list of its removed units.
+Units are normalised (lower case, runs of white space as one space) and hashed by Spark's own functions; digests are grouped
+over all documents with map-side sums, the earliest occurrence by rank stays, and the others are cut from their documents.
+Only digests and unit numbers are shuffled until each document meets the list of its removed units.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
@@ -17,9 +16,10 @@ from pyspark.sql import functions as F
 
 from strandline.llm.common import stored
 
-#: Units of fewer words stay wherever they are: short lines repeat by chance.
-LEAST_WORDS = 10
-DIVIDERS = {"line": r"\n", "paragraph": r"\n[^\S\n]*\n\s*"}
+#: Units of fewer words stay wherever they are: only blank ones.
+LEAST_WORDS = 1
+#: Alike for Python and Java.
+DIVIDERS = {"line": r"\n", "paragraph": r"\n[ \t\r\f]*\n[ \t\r\f\n]*"}
 
 
 def units(text: str, divider: re.Pattern) -> Iterator[tuple[int, int]]:
@@ -31,22 +31,14 @@ def units(text: str, divider: re.Pattern) -> Iterator[tuple[int, int]]:
     yield at, len(text)
 
 
-def _hashed(pattern: str, least_words: int):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        divider = re.compile(pattern)
-        for batch in batches:
-            rows, number, digest = [], [], []
-            for d, text in enumerate(batch.column("_text").to_pylist()):
-                for k, (a, b) in enumerate(units(text, divider)):
-                    words = text[a:b].lower().split()
-                    if len(words) >= least_words:
-                        rows.append(d)
-                        number.append(k)
-                        digest.append(hashlib.blake2b(" ".join(words).encode(), digest_size=16).digest())
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(at) for c in ("rank", "_id", "_h")), pa.array(number, pa.int32()), pa.array(digest, pa.binary())], names=["rank", "_id", "_h", "unit", "digest"])
-
-    return work
+def hashed(named: DataFrame, pattern: str, least_words: int) -> DataFrame:
+    """Rows (rank, _id, _h, unit, digest) of the units of ``_text`` that have words enough."""
+    each = named.select("rank", "_id", "_h", F.posexplode(F.split("_text", pattern, -1)).alias("unit", "_unit"))
+    words = F.trim(F.regexp_replace(F.lower("_unit"), r"\s+", " "))
+    each = each.select("rank", "_id", "_h", "unit", words.alias("_words")).filter("_words <> ''")
+    if least_words > 1:
+        each = each.filter(F.size(F.split("_words", " ")) >= least_words)
+    return each.select("rank", "_id", "_h", "unit", F.unhex(F.md5("_words")).alias("digest"))
 
 
 def _cut(pattern: str):
@@ -84,11 +76,10 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rank
     """
     pattern = DIVIDERS[unit]
     key = [F.coalesce(F.col(rank or doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(doc_id, text).alias("_h")]
-    hashed = docs.select(*key, F.col(text).alias("_text")).filter("_text is not null").mapInArrow(_hashed(pattern, least_words), "rank long, _id long, _h long, unit int, digest binary")
-    hashed = stored(hashed, "units")
+    found = stored(hashed(docs.select(*key, F.col(text).alias("_text")).filter("_text is not null"), pattern, least_words), "units")
     first = F.min(F.struct("rank", "_id", "_h", "unit")).alias("first")
-    several = hashed.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = hashed.join(several, "digest").filter(F.struct("rank", "_id", "_h", "unit") != F.col("first"))
+    several = found.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    later = found.join(several, "digest").filter(F.struct("rank", "_id", "_h", "unit") != F.col("first"))
     gone = later.groupBy("_id", "_h").agg(F.collect_set("unit").alias("gone")).withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     named = docs.select(*key[1:], F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
     joined = named.join(gone, (F.col("_id") == F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left").select("row", "_text", "gone")

@@ -50,7 +50,7 @@ def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    return suffix_dedup(docs).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return suffix_dedup(docs, as_text=True).select("row.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept").alias("text"))
 
 
 def op8_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +96,10 @@ def _split_sql(children: str, parent: str) -> str:
                      FROM {children})))"""
 
 
+#: The letters of base32. SHA-1 in hex is cut into eight numbers of five digits, each of which is four letters.
+_LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
+_BASE32 = "||".join(f"substr('{_LETTERS}', CAST(1 + (CAST('0x' || substr(h, {5 * k + 1}, 5) AS BIGINT) >> {shift}) % 32 AS INTEGER), 1)" for k in range(8) for shift in (15, 10, 5, 0))
+
 _WEIGH = {c: "CASE " + " ".join(f"WHEN {c} = '{v}' THEN {w}" for v, w in own.items()) + " ELSE 1 END" for c, own in mixing.WEIGHTS.items()}
 
 ORACLE_SQL: dict[str, str] = {
@@ -118,12 +122,16 @@ ORACLE_SQL: dict[str, str] = {
     "op3_line_dedup": r"""
         WITH u AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS k FROM documents WHERE text IS NOT NULL),
         o AS (SELECT *, CAST(coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS a, trim(regexp_replace(lower(line), '\s+', ' ', 'g')) AS norm FROM u),
-        w AS (SELECT *, a + length(line) AS b, len(string_split(norm, ' ')) >= 10 AS long FROM o),
+        w AS (SELECT *, a + length(line) AS b, norm <> '' AS long FROM o),
         f AS (SELECT *, long AND row_number() OVER (PARTITION BY norm, long ORDER BY doc_id, k) > 1 AS gone FROM w)
         SELECT doc_id, CAST(count(*) AS INTEGER) AS n_units, CAST(count(*) FILTER (gone) AS INTEGER) AS n_removed,
                coalesce(string_agg(a || '-' || b, ',' ORDER BY k) FILTER (gone), '') AS removed, coalesce(string_agg(a || '-' || b, ',' ORDER BY k) FILTER (NOT gone), '') AS kept,
                coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '') AS text
-        FROM f GROUP BY doc_id""",
+        FROM f GROUP BY doc_id UNION ALL SELECT doc_id, 0, 0, '', '', NULL FROM documents WHERE text IS NULL""",
+    "op6_warc_revisits": f"""
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
+        r AS (SELECT *, CASE WHEN page_id IS DISTINCT FROM max(page_id) OVER (PARTITION BY h, n) THEN max(page_id) OVER (PARTITION BY h, n) END AS refers_to FROM p)
+        SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
     "op1_va_file_top_k": """
         WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),

@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 from strandline.llm.common import new_folder, parts, stored, text_arrays, whole_group
 
 LENGTH = 400
+#: Bytes of the strings whose smallest hash is a window's anchor, at most; a quarter of the window's where that is less.
 GRAM = 96
 #: Bytes of text in one shard; a shard's arrays take about 100 times as much.
 SHARD_BYTES = 1_200_000
@@ -348,7 +349,7 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     _id and _h (doc_id and a hash of id and text) name a document; equal rows share one entry.
     """
-    gram = min(gram, max(1, length // 2))
+    gram = min(gram, max(1, length // 4))
     named = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(doc_id, text).alias("_h"), F.col(text).alias("_text")).filter(F.octet_length("_text") >= length)
     runs = stored(named.mapInArrow(_runs(length, gram), "anchor long, digest binary, _id long, _h long, first long, n long, twice boolean"), "runs")
     classes = stored(

@@ -1,13 +1,17 @@
 """Deduplicated WARC archives: records of equal payload become revisits of one response.
 
-Headers (id, digest, size) are shuffled by payload digest and the id of the response joined to each; then every record is
-written with fresh headers. Spark's text writer makes the archives: one value is one record, records are divided by the
-two line ends that WARC asks for, and each file is compressed as a whole. They are read back by content length.
+Headers (id, digest, size) are shuffled by payload digest and the id of the response joined to each; pages meet what was
+found by their own ids, which no two payloads share, so a payload that many pages have doesn't gather in one task. Then
+every record is written with fresh headers. Spark's text writer makes the archives: one value is one record, records are
+divided by the two line ends that WARC asks for, and each file is compressed as a whole (the writer has no other way, so a
+reader can't seek to a record inside). They are read back by content length, and payloads are hashed again.
 """
 
 from __future__ import annotations
 
+import base64
 import gzip
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -15,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import new_folder, stored
+from strandline.llm.common import forget, new_folder, stored
 
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -43,18 +47,26 @@ def headers(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").cast("long").alias("size"))
 
 
-def originals(heads: DataFrame, least_bytes: int = 0) -> DataFrame:
+def originals(heads: DataFrame) -> DataFrame:
     """Rows (digest, size, first) for each payload that several headers share: first is the largest id."""
-    shared = heads.filter(F.col("size") >= least_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    shared = heads.groupBy("digest", "size").agg(F.max("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     return shared.filter("n > 1").drop("n")
 
 
-def records(pages: DataFrame, firsts: DataFrame, date: str = DATE) -> DataFrame:
-    """``pages`` (page_id, url, payload) as WARC records: a column ``record`` of text. firsts: of ``originals``."""
-    firsts = firsts.select(F.col("digest").alias("digest2"), F.col("size").alias("size2"), "first")
+def revisits(heads: DataFrame) -> DataFrame:
+    """Rows (page_id, digest, size, first) of the headers that another response stands for: first is its id."""
+    firsts = originals(heads).select(F.col("digest").alias("digest2"), F.col("size").alias("size2"), "first")
+    met = heads.distinct().join(firsts, (F.col("digest") == F.col("digest2")) & (F.col("size") == F.col("size2")))
+    return met.filter(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))).select("page_id", "digest", "size", "first")
+
+
+def records(pages: DataFrame, found: DataFrame, date: str = DATE) -> DataFrame:
+    """``pages`` (page_id, url, payload) as WARC records: a column ``record`` of text. found: of ``revisits``."""
+    found = found.select(F.col("page_id").alias("page_id2"), F.col("digest").alias("digest2"), F.col("size").alias("size2"), "first")
     own = pages.withColumns({"digest": F.sha1("payload"), "size": F.octet_length("payload").cast("long")})
-    found = own.join(firsts, (F.col("digest") == F.col("digest2")) & (F.col("size") == F.col("size2")), "left")
-    again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
+    same = F.col("page_id").eqNullSafe(F.col("page_id2")) & (F.col("digest") == F.col("digest2")) & (F.col("size") == F.col("size2"))
+    found = own.join(found, same, "left")
+    again = F.col("first").isNotNull()
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{_LINE}Content-Type: text/html; charset=UTF-8{_LINE}Content-Length: "), F.col("size"), F.lit(_LINE * 2))
     block = F.concat(http, F.when(again, F.lit("")).otherwise(F.col("payload")))
     lines = [
@@ -83,8 +95,9 @@ def write_archives(pages: DataFrame, path: str, page_id: str = "page_id", url: s
     heads = stored(headers(named), "headers")
     total, n = heads.agg(F.sum("size"), F.count(F.lit(1))).first()
     each = max(1, file_bytes * n // max(1, total or 0)) if n else 1
-    made = records(named, stored(originals(heads, least_bytes), "originals"), date)
-    made.write.option("lineSep", _LINE * 2).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    found = stored(revisits(heads.filter(F.col("size") >= least_bytes)), "revisits")
+    records(named, found, date).write.option("lineSep", _LINE * 2).option("compression", "gzip").option("maxRecordsPerFile", each).text(path)
+    forget(heads, found)
 
 
 _FIELD = re.compile(rb"^([^:\r\n]+):[ \t]*(.*?)\r?$", re.M)
@@ -118,8 +131,11 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 http = {k.decode().lower(): v.decode() for k, v in _FIELD.findall(body[:head])}
                 refers = fields.get("warc-refers-to")
                 rows["page_id"].append(_page(fields["warc-record-id"]))
-                rows["payload_bytes"].append(int(http["content-length"]))
-                rows["payload_digest"].append(fields["warc-payload-digest"].removeprefix("sha1:"))
+                digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(http["content-length"])
+                if fields["warc-type"] == "response" and (len(body) - head - 4, base64.b32encode(hashlib.sha1(body[head + 4 :]).digest()).decode()) != (size, digest):
+                    raise ValueError(f"payload of {fields['warc-record-id']} is not what its headers say")
+                rows["payload_bytes"].append(size)
+                rows["payload_digest"].append(digest)
                 rows["record_type"].append(fields["warc-type"])
                 rows["refers_to"].append(_page(refers) if refers else None)
                 rows["url"].append(fields.get("warc-target-uri"))
