@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm.common import stored
+from strandline.llm.common import forget, stored
 from strandline.llm.langid import accepted
 from strandline.llm.mixing import remixed
 from strandline.llm.packing import pack
@@ -16,6 +16,10 @@ from strandline.llm.simhash import one_of_each
 from strandline.llm.suffix_dedup import without_repeats
 
 
+#: Bytes of a passage that goes if it stands in several places: about 40 words, so that one of 50 words is whole inside.
+PASSAGE = 240
+
+
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; models are trained on this stage's own input."""
     return accepted(docs)
@@ -27,8 +31,8 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the byte strings that stand in several places."""
-    return without_repeats(docs)
+    """Texts without the strings of ``PASSAGE`` bytes that stand in several places."""
+    return without_repeats(docs, length=PASSAGE)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's rows are stored before the next reads them."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each stage's rows are stored before the next reads them, and then those before go."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir), name)
+        if before is not None:
+            forget(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
