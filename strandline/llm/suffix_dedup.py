@@ -23,15 +23,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import new_folder, parts, stored, text_arrays, whole_group
+from strandline.llm.common import forget, parts, stored, text_arrays, whole_group
 
 LENGTH = 400
 #: Bytes of the strings whose smallest hash is a window's anchor, at most; a quarter of the window's where that is less.
 GRAM = 96
 #: Bytes of text in one shard; a shard's arrays take about 100 times as much.
-SHARD_BYTES = 1_200_000
+SHARD_BYTES = 1_000_000
 #: Window starts scanned at a time.
-SCAN_BYTES = 1_000_000
+SCAN_BYTES = 500_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -368,15 +368,16 @@ def repeated_spans(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     paired = cut.select("*", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("other"))
     found = paired.groupBy("lot", F.least("shard", "other").alias("left"), F.greatest("shard", "other").alias("right")).applyInArrow(_shard(length), _FOUND)
     partly = found.groupBy("anchor", "digest").agg(F.collect_set(F.struct(F.col("span_first").alias("first"), F.col("span_n").alias("n"))).alias("spans"))
-    known = (
+    known = stored(
         classes.filter("copies > 1").select("anchor", "digest", F.array(F.struct(F.lit(0).cast("long").alias("first"), F.col("at.n").alias("n"))).alias("spans"))
-        .union(partly.join(classes.filter("copies > 1"), ["anchor", "digest"], "left_anti").select("anchor", "digest", "spans"))
-    )
-    return (
-        runs.join(known, ["anchor", "digest"])
-        .groupBy("_id", "_h")
-        .agg(F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), s["n"].alias("n")))))).alias("spans"))
+        .union(partly.join(classes.filter("copies > 1"), ["anchor", "digest"], "left_anti").select("anchor", "digest", "spans")),
+        "repeats",
     )
+    forget(classes, open_)
+    spans = F.array_distinct(F.flatten(F.collect_list(F.transform("spans", lambda s: F.struct((F.col("first") + s["first"]).alias("first"), s["n"].alias("n"))))))
+    out = stored(runs.join(known, ["anchor", "digest"]).groupBy("_id", "_h").agg(spans.alias("spans")), "spans")
+    forget(runs, known)
+    return out
 
 
 def _removed(length: int, as_text: bool):
