@@ -68,6 +68,18 @@ def nhs_from_first_nine(nine: Column) -> Column:
     return F.when(digit < 10, F.concat(nine, digit.cast("string")).cast("bigint"))
 
 
+def is_test_nhs(number: Column) -> Column:
+    """Valid, and of the range that is kept for tests."""
+    return is_valid_nhs(number) & number.cast("string").startswith("999")
+
+
+def random_nhs(*key: Column, test_range: bool = True, seed: int = 0) -> Column:
+    """A valid number drawn by a hash of the key, of the range kept for tests or of any."""
+    low, many = (999 * 10**6, 10**6) if test_range else (10**8, 9 * 10**8)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: (F.pmod(F.xxhash64(*key, F.lit(seed), k), F.lit(many)) + F.lit(low)).cast("string"))
+    return F.get(F.filter(F.transform(drawn, nhs_from_first_nine), lambda n: n.isNotNull()), F.lit(0))
+
+
 def nhs_from_text(text: Column) -> Column:
     bare = F.regexp_replace(text, r"\s", "")
     return F.when(is_valid_nhs(bare), bare.try_cast("bigint"))
@@ -111,6 +123,48 @@ def sql_dequoted(text: Column) -> Column:
     return F.when(text.rlike("(?s)^'.*'$"), F.replace(F.substring(text, 2, F.length(text) - 2), F.lit("''"), F.lit("'"))).otherwise(bad)
 
 
+def quoted_identifier(name: Column, mark: str = "`") -> Column:
+    """A name between quotation marks, those inside it doubled."""
+    return F.concat(F.lit(mark), F.replace(name, F.lit(mark), F.lit(mark * 2)), F.lit(mark))
+
+
+def is_field_name(name: Column) -> Column:
+    """Not empty, and printable ASCII only."""
+    return F.coalesce(name.rlike("^[ -~]+$"), F.lit(False))
+
+
+def strings_to_csv(items: Column) -> Column:
+    """An array of texts as one line of quoted cells; null and none are both the empty text."""
+    quoted = F.transform(items, lambda x: F.concat(F.lit('"'), F.replace(F.coalesce(x, F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')))
+    return F.coalesce(F.array_join(quoted, ","), F.lit(""))
+
+
+def strings_from_csv(line: Column) -> Column:
+    """Inverse of ``strings_to_csv``; a line that isn't of that form gives no items."""
+    good = line.rlike(r'(?s)^"([^"]|"")*"(,"([^"]|"")*")*$')
+    cells = F.regexp_extract_all(line, F.lit(r'(?s)"((?:[^"]|"")*)"'), F.lit(1))
+    return F.when(good, F.transform(cells, lambda c: F.replace(c, F.lit('""'), F.lit('"')))).otherwise(F.array().cast("array<string>"))
+
+
+def ints_to_csv(items: Column) -> Column:
+    return F.coalesce(F.array_join(items.cast("array<string>"), ","), F.lit(""))
+
+
+def ints_from_csv(line: Column) -> Column:
+    """Whole numbers between commas; none if any of them isn't one."""
+    items = F.transform(F.split(line, ","), lambda x: x.try_cast("bigint"))
+    return F.when(line.isNotNull() & ~F.exists(items, lambda x: x.isNull()), items).otherwise(F.array().cast("array<bigint>"))
+
+
+def version(text: Column) -> Column:
+    """A semantic version as a struct that sorts as versions do, ``label`` apart: of equal numbers one without is the last. Null is 0.0.0."""
+    shape = r"^(\d+)\.(\d+)\.(\d+)(?:-([0-9A-Za-z.-]+))?(?:\+[0-9A-Za-z.-]+)?$"
+    own = F.coalesce(text, F.lit("0.0.0"))
+    number = lambda k: F.regexp_extract(own, shape, k).try_cast("int")
+    label = F.regexp_extract(own, shape, 4)
+    return F.when(own.rlike(shape), F.struct(number(1).alias("major"), number(2).alias("minor"), number(3).alias("patch"), (label == "").alias("released"), label.alias("label")))
+
+
 def sql_csv_items(text: Column) -> Column:
     """Pieces between commas, where commas inside quotes don't divide."""
     return F.transform(F.regexp_extract_all(text, F.lit(r"((?:[^,']|'(?:[^']|'')*')+)"), F.lit(1)), lambda x: F.trim(x))
@@ -129,6 +183,20 @@ SQL_INTEGER = ["INT", "INTEGER", "TINYINT", "SMALLINT", "MEDIUMINT", "BIGINT", "
 SQL_NUMBER = [*SQL_INTEGER, "DOUBLE", "FLOAT", "DEC", "DECIMAL", "NUMERIC", "REAL"]
 
 
+def is_sql_type(text: Column) -> Column:
+    """Among the known names, in capitals."""
+    return sql_type_is(text, sorted({*SQL_DATE, *SQL_TEXT, *SQL_BINARY, *SQL_NUMBER}))
+
+
+def merits_fulltext(text: Column, length: int = 1000) -> Column:
+    """Text types long enough for an index of words."""
+    return sql_text_at_least(text, length)
+
+
+def without_collation(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"(?i)\s+COLLATE\s+\S+", ""))
+
+
 def sql_type_is(text: Column, family: Sequence[str]) -> Column:
     return split_sql_type(text)["name"].isin(list(family))
 

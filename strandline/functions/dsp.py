@@ -39,6 +39,29 @@ def bandpass(n: int, low_hz: float, high_hz: float, sampling_hz: float) -> list[
     return taps(n, normalized(low_hz, sampling_hz), normalized(high_hz, sampling_hz))
 
 
+def notch(hz: float, sampling_hz: float, quality: float) -> tuple[list[float], list[float]]:
+    """Feed-forward and feedback coefficients of a second-order filter that stops one frequency; -3 dB at a band of hz / quality."""
+    angle = np.pi * normalized(hz, sampling_hz)
+    gain = 1 / (1 + np.tan(angle / quality / 2))
+    ahead = [gain, -2 * gain * np.cos(angle), gain]
+    return [float(x) for x in ahead], [1.0, float(ahead[1]), float(2 * gain - 1)]
+
+
+def recursive_filtered(df: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, ahead: Sequence[float], back: Sequence[float]) -> DataFrame:
+    """Each key's signal through a filter with feedback, both of three coefficients. A key's signal is one array."""
+    own = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("_x")))).alias("_s"))
+    zero = F.struct(*[F.lit(0.0).alias(c) for c in ("x1", "x2", "y1", "y2")], F.array().cast("array<double>").alias("out"))
+
+    def step(s, e):
+        x = e["_x"].cast("double")
+        y = F.lit(ahead[0]) * x + F.lit(ahead[1]) * s["x1"] + F.lit(ahead[2]) * s["x2"] - F.lit(back[1]) * s["y1"] - F.lit(back[2]) * s["y2"]
+        return F.struct(x.alias("x1"), s["x1"].alias("x2"), y.alias("y1"), s["y1"].alias("y2"), F.concat(s["out"], F.array(y)).alias("out"))
+
+    done = own.select(*keys, "_s", F.aggregate("_s", zero, step, lambda s: s["out"]).alias("_y"))
+    each = done.select(*keys, F.explode(F.arrays_zip("_s", "_y")).alias("_e"))
+    return each.select(*keys, *[F.col(f"_e._s.{c}").alias(c) for c in order], F.col("_e._s._x").alias(value), F.col("_e._y").alias("filtered"))
+
+
 def filtered(df: DataFrame, keys: Sequence[str], order: Sequence, value: str, coefficients: Sequence[float]) -> DataFrame:
     """Each key's signal, in order, through a filter; what lies before the first sample is zero."""
     w = Window.partitionBy(*keys).orderBy(*order)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.sqlops import running_sum
+
 _LOW = float("-inf")
 
 
@@ -71,8 +73,10 @@ def log_odds_update(log_prior_odds: Column, seen: Column, p_given_h: Column, p_g
 
 
 def running_log_odds(df: DataFrame, keys: Sequence[str], order: Sequence, seen: Column, p_given_h: float, p_given_not_h: float, prior: float = 0.0) -> DataFrame:
-    """Log odds after each row of a key, in order: updates are a running sum."""
+    """Log odds after each row of a key, in order: updates are a running sum. Without keys the sum runs over all rows, by ranges."""
     step = log_odds_update(F.lit(0.0), seen, F.lit(p_given_h), F.lit(p_given_not_h))
+    if not keys:
+        return running_sum(df, order, step, "_sum").withColumn("log_odds", F.lit(prior) + F.col("_sum")).drop("_sum")
     w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return df.withColumn("log_odds", F.lit(prior) + F.sum(step).over(w))
 
@@ -86,10 +90,17 @@ def inv_logistic(y: Column, k: float, theta: float) -> Column:
 
 
 def softmax(df: DataFrame, keys: Sequence[str], value: str, b: float = 1.0) -> DataFrame:
-    """exp(b x) over its sum within each key, steadied by the key's mean; one-hot at the largest where that overflows."""
-    w = Window.partitionBy(*keys)
-    power = F.exp(F.lit(b) * F.col(value) - F.avg(value).over(w))
-    out = df.withColumn("_e", power).withColumns({"_s": F.sum("_e").over(w), "_m": F.max(value).over(w), "_n": F.count(F.lit(1)).over(w)})
+    """exp(b x) over its sum within each key, steadied by the key's mean; one-hot at the largest where that overflows.
+
+    Keys' sums are aggregates that rows are joined to, so a key may have any number of rows.
+    """
+    own = lambda t: t.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    means = own(df.groupBy(*keys).agg(F.avg(value).alias("_a"), F.max(value).alias("_m"), F.count(F.lit(1)).alias("_n")))
+    out = df.join(means, same).withColumn("_e", F.exp(F.lit(b) * F.col(value) - F.col("_a"))).drop(*[f"_{k}" for k in keys], "_a")
+    out = out.join(own(out.groupBy(*keys).agg(F.sum("_e").alias("_s"))), same).drop(*[f"_{k}" for k in keys])
     share = F.when(F.col("_s") == float("inf"), (F.col(value) == F.col("_m")).cast("double")).when(F.col("_s") == 0, 1 / F.col("_n")).otherwise(F.col("_e") / F.col("_s"))
     return out.withColumn("softmax", share).drop("_e", "_s", "_m", "_n")
 
@@ -102,6 +113,15 @@ def pick(df: DataFrame, keys: Sequence[str], order: Sequence, probability: str,
     return met.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy("_upto"))).filter("_r = 1").drop("_upto", "_r")
 
 
+def probability_from_log(log_p: Column) -> Column:
+    return F.exp(log_p)
+
+
+def coin(p: Column, *key: Column, seed: int = 0) -> Column:
+    """True with the given probability: a draw that is a hash of key and seed, so that it can be repeated."""
+    return F.pmod(F.xxhash64(*key, F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53)) < p
+
+
 def sum_of_range(a: Column, b: Column) -> Column:
     """Sum of the integers from a to b."""
     return (b - a + 1) * (a + b) / 2

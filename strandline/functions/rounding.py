@@ -37,6 +37,12 @@ def round_sf(x: Column, n: int = 2) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / unit) * unit)
 
 
+def plain_decimal(x: Column) -> Column:
+    """A decimal as text without exponent or needless zeros."""
+    text = F.format_string("%s", x.cast("decimal(38,18)").cast("string"))
+    return F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", "")
+
+
 def decimal_places(x: Column) -> Column:
     """Digits after the point of a number written as text."""
     return F.length(F.regexp_extract(x, r"\.(\d*)$", 1))

@@ -82,13 +82,93 @@ def size_text(n: Column, suffix: str = "B") -> Column:
     return out
 
 
+#: Symbols of powers of 1024 in several styles.
+SYMBOLS = {
+    "customary": ["B", "K", "M", "G", "T", "P", "E", "Z", "Y"],
+    "customary_ext": ["byte", "kilo", "mega", "giga", "tera", "peta", "exa", "zetta", "iotta"],
+    "iec": ["Bi", "Ki", "Mi", "Gi", "Ti", "Pi", "Ei", "Zi", "Yi"],
+    "iec_ext": ["byte", "kibi", "mebi", "gibi", "tebi", "pebi", "exbi", "zebi", "yobi"],
+}
+
+
+def bytes_text(n: Column, symbols: str = "customary", form: str = "%.1f %s") -> Column:
+    """A number of bytes, rounded down, with the symbol of the largest power of 1024 in it; negative numbers are an error."""
+    whole = F.floor(n).cast("double")
+    out = F.format_string(form, whole, F.lit(SYMBOLS[symbols][0]))
+    for k, symbol in enumerate(SYMBOLS[symbols][1:], 1):
+        out = F.when(whole >= 1024.0**k, F.format_string(form, whole / 1024.0**k, F.lit(symbol))).otherwise(out)
+    return F.when(n < 0, F.raise_error("a negative number of bytes").cast("string")).otherwise(out)
+
+
+def bytes_from_text(text: Column) -> Column:
+    """Inverse of ``bytes_text`` in any style, ``k`` standing for ``K``; null if it is none of them."""
+    number, symbol = F.regexp_extract(text, r"^\s*([0-9.]+)", 1).try_cast("double"), F.trim(F.regexp_replace(text, r"^\s*[0-9.]+", ""))
+    power = F.lit(None).cast("double")
+    for own in SYMBOLS.values():
+        for k, s in enumerate(own):
+            power = F.when(symbol == s, F.lit(1024.0**k)).otherwise(power)
+    power = F.when(symbol == "k", F.lit(1024.0)).otherwise(power)
+    return F.floor(number * power).cast("bigint")
+
+
+def numbered(prefix: str, number: Column, suffix: str = "") -> Column:
+    """Prefix, number and suffix as one text."""
+    return F.concat(F.lit(prefix), number.cast("string"), F.lit(suffix))
+
+
+def numbered_all(prefix: str, numbers: Column, suffix: str = "") -> Column:
+    """``numbered`` for each number of an array."""
+    return F.transform(numbers, lambda n: numbered(prefix, n, suffix))
+
+
+def numbered_range(prefix: str, first: Column, last: Column, suffix: str = "") -> Column:
+    """``numbered`` for the numbers from first to last; none if last is before first."""
+    return F.when(first <= last, numbered_all(prefix, F.sequence(first, last), suffix)).otherwise(F.array().cast("array<string>"))
+
+
+def whole_as_integer(x: Column) -> Column:
+    """A number as text, without a fraction where that is nought."""
+    return F.when(x == F.floor(x), F.floor(x).cast("string")).otherwise(x.cast("string"))
+
+
+def line_endings(text: Column, windows: bool = False) -> Column:
+    """All ends of lines as LF, or as CR and LF."""
+    return F.regexp_replace(text, r"\r\n|\r|\n", "\r\n" if windows else "\n")
+
+
+def characters_of(text: Column, category: str) -> Column:
+    """The characters of a Unicode category (such as L, Lu or Nd), in order."""
+    return F.array_join(F.regexp_extract_all(text, F.lit(rf"(\p{{{category}}})"), F.lit(1)), "")
+
+
+def wrapped(width: int):
+    """Arrow UDF: text as one line, broken between words to lines of at most ``width`` characters (0: as it is)."""
+    import textwrap
+
+    def work(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda s: s if s is None or not width else "\n".join(textwrap.wrap(" ".join(s.split("\n")), width, break_long_words=False, break_on_hyphens=False)))
+
+    return F.pandas_udf(work, "string")
+
+
+def csv_block(lines: DataFrame, key: str, header: str, quote: str = '"') -> DataFrame:
+    """Rows (key, line_no, row) of a block of comma-separated lines inside a text: from the line that is the header (its
+    fields name the struct's) to the next blank line."""
+    start = lines.filter(F.col("line").startswith(header)).groupBy(key).agg(F.min("line_no").alias("_from"))
+    met = lines.join(start, key).filter("line_no > _from")
+    stop = met.filter(F.trim("line") == "").groupBy(key).agg(F.min("line_no").alias("_to"))
+    inside = met.join(stop, key, "left").filter("_to is null or line_no < _to")
+    schema = ", ".join(f"`{name}` string" for name in header.split(","))
+    return inside.select(key, "line_no", F.from_csv("line", schema, {"quote": quote, "escape": quote}).alias("row"))
+
+
 def column_letters(number: Column) -> Column:
-    """0 as A, 25 as Z, 26 as AA."""
-    n = number.cast("bigint")
-    letter = lambda x: F.char(F.lit(65) + F.pmod(x, F.lit(26)))
-    one, two = letter(n), F.concat(letter(F.floor(n / 26) - 1), letter(n))
-    three = F.concat(letter(F.floor((n - 26) / 676) - 1), letter(F.floor((n - 26) / 26)), letter(n))
-    return F.when(n < 26, one).when(n < 702, two).otherwise(three)
+    """0 as A, 25 as Z, 26 as AA, and so on for any number of letters; null for negative numbers."""
+    none = F.struct((number.cast("bigint") + 1).alias("left"), F.lit("").alias("text"))
+    step = lambda s, _: F.when(
+        s["left"] > 0, F.struct(F.floor((s["left"] - 1) / 26).cast("bigint").alias("left"), F.concat(F.char(F.lit(65) + F.pmod(s["left"] - 1, F.lit(26))), s["text"]).alias("text"))
+    ).otherwise(s)
+    return F.when(number >= 0, F.aggregate(F.sequence(F.lit(1), F.lit(14)), none, step, lambda s: s["text"]))
 
 
 def column_number(letters: Column) -> Column:

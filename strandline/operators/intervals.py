@@ -120,6 +120,59 @@ def longest_and_shortest(df: DataFrame, keys: Sequence[str], start: str = START,
     return out.select(*keys, (-F.col("l.d")).alias("longest_seconds"), F.col("l.s").alias("longest_start"), F.col("s.d").alias("shortest_seconds"), F.col("s.s").alias("shortest_start"))
 
 
+def shortest_gap(df: DataFrame, keys: Sequence[str], start: str = START, end: str = END) -> DataFrame:
+    """Of each key the shortest gap (the earliest of equals) and its seconds; keys without gaps are left out."""
+    found = gaps(df, keys, start, end).withColumn("_d", whole_seconds(start, end))
+    least = found.groupBy(*keys).agg(F.min(F.struct("_d", F.col(start).alias("s"), F.col(end).alias("e"))).alias("g"))
+    return least.select(*keys, F.col("g.s").alias(start), F.col("g.e").alias(end), F.col("g._d").alias("seconds"))
+
+
+def gap_subset(df: DataFrame, keys: Sequence[str], lower: Column, upper: Column, flexibility: int = 2, start: str = START, end: str = END) -> DataFrame:
+    """``subset`` of the gaps of coalesced input."""
+    return subset(gaps(df, keys, start, end), lower, upper, flexibility, start, end)
+
+
+def first_starting(df: DataFrame, keys: Sequence[str], when: Column, start: str = START, end: str = END) -> DataFrame:
+    """Of each key the first interval (by its end) that starts at a time."""
+    return df.filter(F.col(start) == when).groupBy(*keys).agg(F.min(end).alias(end)).select(*keys, when.alias(start), end)
+
+
+def first_ending(df: DataFrame, keys: Sequence[str], when: Column, start: str = START, end: str = END) -> DataFrame:
+    """Of each key the first interval (by its start) that ends at a time."""
+    return df.filter(F.col(end) == when).groupBy(*keys).agg(F.min(start).alias(start)).select(*keys, start, when.alias(end))
+
+
+def whole_day(day: Column) -> Column:
+    """From the day's midnight to the next."""
+    return day_span(day, F.date_add(day, 1), include_end=False)
+
+
+def day_span(first: Column, last: Column, include_end: bool = True) -> Column:
+    """From the first day's midnight to the end (or, without it, the start) of the last; null if reversed, or if both are one
+    day and its end is included."""
+    low, high = first.cast("date").cast("timestamp_ntz"), F.date_add(last, 1 if include_end else 0).cast("timestamp_ntz")
+    return F.when((first < last) | F.lit(not include_end) & (first == last), F.struct(low.alias(START), high.alias(END)))
+
+
+def day_time(day: Column, daybreak: int = DAY_START_HOUR, nightfall: int = DAY_END_HOUR) -> Column:
+    """From daybreak to nightfall of a day."""
+    at = lambda hour: day.cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(hour))
+    return F.struct(at(daybreak).alias(START), at(nightfall).alias(END))
+
+
+def is_saturday(day: Column) -> Column:
+    return F.weekday(day) == 5
+
+
+def is_sunday(day: Column) -> Column:
+    return F.weekday(day) == 6
+
+
+def saturday_of_weekend(day: Column) -> Column:
+    """The Saturday of the weekend that a day belongs to; null on weekdays."""
+    return F.when(is_saturday(day), day).when(is_sunday(day), F.date_sub(day, 1))
+
+
 def pair_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], start: str = START, end: str = END, touching: bool = True, bucket: str = "1 day") -> DataFrame:
     """Intersections of the intervals of two lists with equal keys.
 
@@ -136,9 +189,9 @@ def pair_overlaps(left: DataFrame, right: DataFrame, keys: Sequence[str], start:
 
 
 def subset(df: DataFrame, lower: Column, upper: Column, flexibility: int = 2, start: str = START, end: str = END) -> DataFrame:
-    """Intervals inside [lower, upper] (0), overlapping it (1), or overlapping or touching it (2)."""
+    """Intervals inside [lower, upper] and off its ends (0), overlapping it (1), or overlapping or touching it (2)."""
     a0, a1 = F.col(start), F.col(end)
-    test = {0: within(a0, a1, lower, upper), 1: overlaps(a0, a1, lower, upper), 2: contiguous(a0, a1, lower, upper)}
+    test = {0: within(a0, a1, lower, upper, inclusive=False), 1: overlaps(a0, a1, lower, upper), 2: contiguous(a0, a1, lower, upper)}
     if flexibility not in test:
         raise ValueError("flexibility is 0, 1 or 2")
     return df.filter(test[flexibility])
@@ -219,8 +272,13 @@ def sufficient_gaps(df: DataFrame, keys: Sequence[str], every_n_days: int, requi
     high = F.date_add(F.when(short, F.col("_last")).otherwise(F.date_add("_first", F.col("_k") + every_n_days)), 1)
     spans = spans.select(*keys, "_k", low.cast("timestamp_ntz").alias("_low"), high.cast("timestamp_ntz").alias("_high"))
     free = gaps(df, keys, start, end).select(*keys, F.col(start).alias("_g0"), F.col(end).alias("_g1"))
-    met = spans.join(free, list(keys), "left")
-    touch = contiguous(F.col("_g0"), F.col("_g1"), F.col("_low"), F.col("_high"))
+    free = free.filter(whole_seconds("_g0", "_g1") >= min(need, default=0))  # shorter ones never count
+    block = lambda c: F.floor(F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date")) / every_n_days)
+    blocks = lambda df, a, b: df.withColumn("_block", F.explode(F.sequence(block(a), block(b))))
+    pairs = blocks(spans, "_low", "_high").join(blocks(free, "_g0", "_g1"), [*keys, "_block"])  # neighbours in time only
+    touch = contiguous(F.col("_g0"), F.col("_g1"), F.col("_low"), F.col("_high")) & (F.greatest(block("_low"), block("_g0")) == F.col("_block"))
+    met = spans.select(*keys, "_k").join(pairs.filter(touch).select(*keys, "_k", "_g0", "_g1"), [*keys, "_k"], "left")
+    touch = F.col("_g0").isNotNull()
     longest = F.sort_array(F.collect_list(F.when(touch, whole_seconds("_g0", "_g1"))), asc=False)
     lists = met.groupBy(*keys, "_k").agg(longest.alias("_d"))
     good = F.size("_d") >= len(need)

@@ -7,13 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a lookup table that may be broadcast; a larger one is joined as Spark sees fit.
-BROADCAST_ROWS = 10_000
+#: Rows and bytes of a lookup table that may be broadcast; a larger one is joined as Spark sees fit.
+BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16_000_000
 
 
 def small(table: DataFrame) -> DataFrame:
-    """The table with a broadcast hint, if it is counted to be small."""
-    return F.broadcast(table) if table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else table
+    """The table with a broadcast hint, if it is counted and measured to be small."""
+    width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))) if table.columns else F.lit(0)
+    rows, size = table.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
+    return F.broadcast(table) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else table
 
 
 def map_value(value: Column, rules: Sequence[tuple[Sequence, object]], default=None, pass_null: bool = True, required: bool = False) -> Column:
@@ -34,32 +36,39 @@ def range_lookup(df: DataFrame, value: str, ranges: DataFrame, how: str = "left"
 
     ``ranges`` has ordinal, low, high and label. how: left keeps rows without a range, inner doesn't, semi only tests.
     """
-    ranges = small(ranges)
-    test = (F.col(value) >= F.col("low")) & (F.col(value) < F.col("high"))
+    parts = disjoint(ranges).withColumnsRenamed({c: f"_{c}_of_range" for c in ("low", "high", "label")})
+    test = (F.col(value) >= F.col("_low_of_range")) & (F.col(value) < F.col("_high_of_range"))
     if how == "semi":
-        return df.join(ranges, test, "left_semi")
-    behind = F.max("high").over(Window.partitionBy(F.lit(0)).orderBy("low", "high").rowsBetween(Window.unboundedPreceding, -1))
-    met = df.join(ranges, test, how)
-    if not ranges.withColumn("_behind", behind).filter("low < _behind").limit(1).count():  # no two overlap
-        return met.select(*df.columns, "label")
-    keyed = df.withColumn("_row", F.monotonically_increasing_id())
-    met = keyed.join(ranges, test, how)
-    best = met.groupBy("_row").agg(F.min_by(F.struct(*df.columns, "label"), F.coalesce("ordinal", F.lit(0))).alias("r"))
-    return best.select("r.*")
+        return df.join(small(parts), test, "left_semi")
+    return df.join(small(parts), test, how).select(*[df[f"`{c}`"] for c in df.columns], F.col("_label_of_range").alias("label"))
+
+
+def disjoint(ranges: DataFrame) -> DataFrame:
+    """Rows (low, high, label) without overlaps: each piece between two ends has the label of its first range by ordinal.
+
+    Pieces are made on the table of ranges alone, each range meeting the ends inside it.
+    """
+    ends = ranges.select(F.explode(F.array("low", "high")).alias("_at")).distinct()
+    own = ranges.select("ordinal", "low", "high", "label").join(ends, (F.col("_at") >= F.col("low")) & (F.col("_at") < F.col("high")))
+    first = own.groupBy("_at").agg(F.min(F.struct("ordinal", "label")).alias("_first"))
+    until = own.groupBy("ordinal", "low", "high", "label").agg(F.sort_array(F.collect_set("_at")).alias("_ats"))
+    stop = until.select("high", F.explode(F.arrays_zip("_ats", F.slice("_ats", F.lit(2), F.size("_ats")).alias("_next"))).alias("_p"))
+    stop = stop.select(F.col("_p._ats").alias("_at2"), F.coalesce(F.col("_p._next"), F.col("high")).alias("_to")).groupBy("_at2").agg(F.min("_to").alias("high"))
+    return first.join(stop, F.col("_at") == F.col("_at2")).select(F.col("_at").alias("low"), "high", F.col("_first.label").alias("label"))
 
 
 def ci_lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str) -> DataFrame:
     """Value of the key that is equal when case is ignored (the first by key of several), and whether there is one."""
-    first = table.groupBy(F.lower(table_key).alias("_k")).agg(F.min_by(value, table_key).alias("value"))
-    met = df.join(small(first), F.lower(key) == F.col("_k"), "left")
-    return met.select(*df.columns, "value", F.col("_k").isNotNull().alias("found"))
+    first = table.groupBy(F.lower(table_key).alias("_k")).agg(F.min_by(value, table_key).alias("_value"))
+    met = df.join(small(first), F.lower(df[f"`{key}`"]) == F.col("_k"), "left")
+    return met.select(*[df[f"`{c}`"] for c in df.columns], F.col("_value").alias("value"), F.col("_k").isNotNull().alias("found"))
 
 
 def map_keys(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str, default=None, omit_missing: bool = False) -> DataFrame:
     """Exact lookup: rows with the table's value, a default for missing keys, or without them."""
-    known = small(table.select(F.col(table_key).alias("_k"), F.col(value).alias("value")))
-    met = df.join(known, F.col(key) == F.col("_k"), "inner" if omit_missing else "left")
-    return met.select(*df.columns, F.when(F.col("_k").isNull(), F.lit(default)).otherwise(F.col("value")).alias("value"))
+    known = small(table.select(F.col(table_key).alias("_k"), F.col(value).alias("_value")))
+    met = df.join(known, df[f"`{key}`"] == F.col("_k"), "inner" if omit_missing else "left")
+    return met.select(*[df[f"`{c}`"] for c in df.columns], F.when(F.col("_k").isNull(), F.lit(default)).otherwise(F.col("_value")).alias("value"))
 
 
 def regex_classify(df: DataFrame, text: str, rules: Sequence[tuple[str, str]], unknown=None) -> DataFrame:
@@ -130,9 +139,10 @@ def params_around_centre(spark, **params: Sequence) -> DataFrame:
 
 
 def natural_key(text: Column) -> Column:
-    """A string that sorts runs of digits by value: digits are padded, everything else stays."""
+    """A string that sorts runs of digits by value, however long: leading zeros go and the number of digits comes first."""
     pieces = F.regexp_extract_all(text, F.lit(r"(\d+|\D+)"), F.lit(1))
-    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.lpad(p, 20, "0")).otherwise(p)), "")
+    bare = lambda p: F.regexp_replace(p, r"^0+(?=\d)", "")
+    return F.array_join(F.transform(pieces, lambda p: F.when(p.rlike(r"^\d"), F.concat(F.lpad(F.length(bare(p)).cast("string"), 9, "0"), bare(p))).otherwise(p)), "")
 
 
 def first_by(df: DataFrame, keys: Sequence[str], order: Sequence) -> DataFrame:

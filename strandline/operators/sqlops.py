@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.storage import ended
+
 
 def _all(criteria: Sequence[Column]) -> Column:
     out = F.lit(True)
@@ -35,9 +37,14 @@ def exists_flag(df: DataFrame, *criteria: Column) -> DataFrame:
     return found.agg(F.count(F.lit(1)).cast("int").alias("found"))
 
 
+def first_column(df: DataFrame) -> DataFrame:
+    """The first column as ``value``."""
+    return df.select(F.col(f"`{df.columns[0]}`").alias("value"))
+
+
 def first_values(df: DataFrame) -> list:
     """All values of the first column, for results that fit the driver."""
-    return [r[0] for r in df.select(df.columns[0]).toLocalIterator()]
+    return [r[0] for r in first_column(df).toLocalIterator()]
 
 
 def rows_and_names(spark: SparkSession, sql: str, **args) -> tuple[list, list[str]]:
@@ -49,9 +56,12 @@ def rows_and_names(spark: SparkSession, sql: str, **args) -> tuple[list, list[st
 
 
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Rows of ``new`` replace those of ``old`` with equal keys or are added; columns that ``new`` lacks stay."""
+    """Rows of ``new`` replace those of ``old`` with equal keys or are added; columns that ``new`` lacks stay.
+
+    Of several new rows with one key the largest counts (as a struct of the columns, in the old table's order).
+    """
     value = [c for c in old.columns if c not in key and c in new.columns]
-    fresh = new.select(*[F.col(k).alias(f"_{k}") for k in key], F.struct(*value).alias("_new"))
+    fresh = new.groupBy(*[F.col(k).alias(f"_{k}") for k in key]).agg(F.max(F.struct(*value)).alias("_new"))
     test = F.lit(True)
     for k in key:
         test = test & (F.col(k) == F.col(f"_{k}"))
@@ -71,15 +81,23 @@ def get_or_create(table: DataFrame, wanted: DataFrame, key: Sequence[str], defau
 
 
 def new_keys(source: DataFrame, key: str, above: int) -> DataFrame:
-    """Rows (old_key, new_key): new integers after ``above``, without gaps, in the order of the old keys.
+    """Rows (old_key, new_key): new integers after ``above``, without gaps, in the order of the old keys."""
+    keys = source.select(F.col(key).alias("old_key")).filter("old_key is not null").distinct()
+    return running_sum(keys, ["old_key"], F.lit(1), "_n").select("old_key", (F.col("_n") + above).cast("long").alias("new_key"))
+
+
+def running_sum(df: DataFrame, order: Sequence[str], value: Column, name: str) -> DataFrame:
+    """``df`` with the sum of ``value`` over all rows up to each, in order.
 
-    Numbers are given within ranges of keys and offset by the ranges' sizes, so no single task sorts all rows.
+    Sums are made within ranges of the order and offset by the sums of the ranges before (a row for each of Spark's
+    shuffle partitions), so no single task sorts all rows.
     """
-    ranged = source.select(F.col(key).alias("old_key")).filter("old_key is not null").distinct().repartitionByRange("old_key").withColumn("_part", F.spark_partition_id()).persist()
-    sizes = ranged.groupBy("_part").count()
-    before = sizes.withColumn("_before", F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    place = F.row_number().over(Window.partitionBy("_part").orderBy("old_key"))
-    return ranged.withColumn("_n", place).join(F.broadcast(before), "_part").select("old_key", (F.col("_n") + F.col("_before") + above).cast("long").alias("new_key"))
+    ranged = ended(df.withColumn("_value", value).repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.sum("_value").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = F.broadcast(sizes.select("_part", before.alias("_before")))
+    own = F.sum("_value").over(Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return ranged.withColumn("_own", own).join(offsets, "_part").select(*df.columns, (F.col("_own") + F.col("_before")).alias(name))
 
 
 def merge_tables(target: DataFrame, source: DataFrame, key: str, references: dict[str, DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Sequence
 from itertools import count
 
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from strandline.operators.storage import ended
+
 CONCEPT = T.StructType(
     [
         T.StructField("concept_id", T.IntegerType()),
@@ -58,14 +59,6 @@ def semi_anti(df: DataFrame, on: str, keep: DataFrame | None = None, drop: DataF
     return df
 
 
-def _ended(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, by a checkpoint in the shared folder; a local one is set only where none is named."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="strandline-"))
-    return df.checkpoint()
-
-
 def ancestors(edges: DataFrame, starts: DataFrame, relationships: Sequence[str] | None = None, most: int | None = None) -> DataFrame:
     """Rows (start, ancestor, generation) over edges (child, parent, relationship), each ancestor at its least generation.
 
@@ -81,7 +74,7 @@ def ancestors(edges: DataFrame, starts: DataFrame, relationships: Sequence[str]
         step = front.join(own, F.col("node") == F.col("_c")).select("start", F.col("_p").alias("node")).distinct().filter("start <> node")
         if found is not None:
             step = step.join(found.select("start", F.col("ancestor").alias("node")), ["start", "node"], "left_anti")
-        step = _ended(step)
+        step = ended(step)
         if step.limit(1).count() == 0:
             break
         new = step.select("start", F.col("node").alias("ancestor"), F.lit(generation).alias("generation"))

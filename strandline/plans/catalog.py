@@ -1,6 +1,6 @@
 """All registered queries and the SQL that must give the same rows."""
 
-from strandline.plans import document_queries, interval_queries, scalar_queries, table_queries  # noqa: F401
+from strandline.plans import calendar_queries, document_queries, interval_queries, number_queries, scalar_queries, table_queries, value_queries  # noqa: F401
 from strandline.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

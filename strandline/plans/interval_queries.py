@@ -53,12 +53,11 @@ def interval_longest_shortest(spark, sf_dir):
     return I.longest_and_shortest(_merged(spark, sf_dir), ["user_id"])
 
 
-@query(f"""WITH {_IV}, p AS (SELECT user_id, s, e, event_type, dense_rank() OVER (ORDER BY event_type) AS k FROM iv)
+@query(f"""WITH {_IV}, p AS (SELECT user_id, ts AS s, ts + interval '6' hour AS e, CASE WHEN value > 50 THEN 1 WHEN value <= 50 THEN 2 END AS k FROM events)
     SELECT a.user_id, greatest(a.s, b.s) AS start, least(a.e, b.e) AS "end" FROM p a JOIN p b ON a.user_id = b.user_id AND a.k = 1 AND b.k = 2 AND a.s <= b.e AND a.e >= b.s""")
 def interval_overlap_pairs(spark, sf_dir):
-    kinds = [r[0] for r in table(spark, sf_dir, "events").select("event_type").distinct().orderBy("event_type").limit(2).collect()]
-    spans = _spans(spark, sf_dir, "event_type")
-    return I.pair_overlaps(spans.filter(F.col("event_type") == kinds[0]), spans.filter(F.col("event_type") == kinds[1]), ["user_id"])
+    spans = _spans(spark, sf_dir, "value")
+    return I.pair_overlaps(spans.filter("value > 50"), spans.filter("value <= 50"), ["user_id"])
 
 
 @query(f"""WITH {_IV}, x AS (SELECT user_id, s > lag(e) OVER (PARTITION BY user_id ORDER BY s, e) AS apart FROM iv)
@@ -81,7 +80,7 @@ def _subset(flexibility, test):
     query(f"WITH {_ISLANDS} SELECT user_id, s AS start, e AS \"end\", n FROM m WHERE {test.format(low=low, high=high)}")(f)
 
 
-for _flexibility, _test in enumerate(("s >= {low} AND e <= {high}", "s < {high} AND e > {low}", "s <= {high} AND e >= {low}")):
+for _flexibility, _test in enumerate(("s > {low} AND e < {high}", "s < {high} AND e > {low}", "s <= {high} AND e >= {low}")):
     _subset(_flexibility, _test)
 
 _PART = "greatest(s, CAST(day AS TIMESTAMP)) AS p0, least(e, CAST(day AS TIMESTAMP) + interval 1 day) AS p1"
@@ -128,6 +127,32 @@ def sufficient_gaps(spark, sf_dir):
     return I.sufficient_gaps(_merged(spark, sf_dir), ["user_id"], 14, [86400, 172800])
 
 
+@query(f"WITH {_GAPS}, r AS (SELECT user_id, g0, g1, {_SEC.format(a='g0', b='g1')} AS d, row_number() OVER (PARTITION BY user_id ORDER BY {_SEC.format(a='g0', b='g1')}, g0) AS k FROM g) SELECT user_id, g0 AS start, g1 AS \"end\", d AS seconds FROM r WHERE k = 1")
+def interval_shortest_gap(spark, sf_dir):
+    return I.shortest_gap(_merged(spark, sf_dir), ["user_id"])
+
+
+@query(f"WITH {_GAPS} SELECT user_id, g0 AS start, g1 AS \"end\" FROM g WHERE g0 < TIMESTAMP '{_HIGH}' AND g1 > TIMESTAMP '{_LOW}'")
+def interval_gap_subset(spark, sf_dir):
+    low, high = (F.lit(datetime.fromisoformat(x)).cast("timestamp_ntz") for x in (_LOW, _HIGH))
+    return I.gap_subset(_merged(spark, sf_dir), ["user_id"], low, high, flexibility=1)
+
+
+@query(f"""WITH h AS (SELECT user_id, date_trunc('day', ts) AS s, date_trunc('day', ts) + (1 + event_id % 3) * interval 1 day AS e FROM events)
+    SELECT user_id, TIMESTAMP '{_LOW}' AS start, min(e) AS "end", 'starting' AS which FROM h WHERE s = TIMESTAMP '{_LOW}' GROUP BY user_id UNION ALL SELECT user_id, min(s), TIMESTAMP '{_HIGH}', 'ending' FROM h WHERE e = TIMESTAMP '{_HIGH}' GROUP BY user_id""")
+def interval_first_at(spark, sf_dir):
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    spans = table(spark, sf_dir, "events").select("user_id", day.alias("start"), (day + F.make_dt_interval((1 + F.col("event_id") % 3).cast("int"))).alias("end"))
+    low, high = (F.lit(datetime.fromisoformat(x)).cast("timestamp_ntz") for x in (_LOW, _HIGH))
+    return I.first_starting(spans, ["user_id"], low).withColumn("which", F.lit("starting")).unionByName(I.first_ending(spans, ["user_id"], high).withColumn("which", F.lit("ending")))
+
+
+@query(f"""WITH {_IV}, x AS (SELECT user_id, s >= max(e) OVER (PARTITION BY user_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS apart FROM iv)
+    SELECT user_id, coalesce(bool_or(NOT apart), false) AS any_overlap FROM x GROUP BY user_id""")
+def interval_any_true_overlap(spark, sf_dir):
+    return I.any_overlap(_spans(spark, sf_dir), ["user_id"])
+
+
 _AT = ["2024-01-05 00:00:00", "2024-01-12 00:00:00", "2024-01-20 12:00:00", "2023-12-20 00:00:00"]
 _START = "2024-01-01 00:00:00"
 

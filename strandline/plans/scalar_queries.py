@@ -45,16 +45,16 @@ def softmax_by_group(spark, sf_dir):
     return probability.softmax(events, ["event_type"], "x").select("event_id", F.round("softmax", 9).alias("softmax"))
 
 
-@query("SELECT event_id, round(1 / (1 + exp(-0.05 * (value - 50))), 9) AS y, round(ln(value / 100 / (1 - value / 100)), 6) AS logit FROM events WHERE value > 0 AND value < 100")
+@query("SELECT event_id, round(1 / (1 + exp(-0.05 * (value - 50))), 9) AS y, CASE WHEN value < 0 OR value > 100 THEN NULL WHEN value = 0 THEN CAST('-inf' AS DOUBLE) WHEN value = 100 THEN CAST('inf' AS DOUBLE) ELSE round(ln(value / 100 / (1 - value / 100)), 6) END AS logit FROM events")
 def logistic(spark, sf_dir):
-    events = table(spark, sf_dir, "events").filter("value > 0 and value < 100")
+    events = table(spark, sf_dir, "events")
     return events.select("event_id", F.round(probability.logistic(F.col("value"), 0.05, 50.0), 9).alias("y"), F.round(probability.safe_logit(F.col("value") / 100), 6).alias("logit"))
 
 
-@query("SELECT doc_id, round(sum(CASE WHEN toxic = 1 THEN ln(CAST(0.8 AS DOUBLE)) - ln(CAST(0.1 AS DOUBLE)) ELSE ln(CAST(0.2 AS DOUBLE)) - ln(CAST(0.9 AS DOUBLE)) END) OVER (ORDER BY doc_id), 6) AS log_odds FROM labels WHERE toxic IS NOT NULL AND doc_id < 100")
+@query("SELECT doc_id, round(sum(CASE WHEN toxic = 1 THEN ln(CAST(0.8 AS DOUBLE)) - ln(CAST(0.1 AS DOUBLE)) ELSE ln(CAST(0.2 AS DOUBLE)) - ln(CAST(0.9 AS DOUBLE)) END) OVER (ORDER BY doc_id), 6) AS log_odds FROM labels WHERE toxic IS NOT NULL")
 def log_odds_update(spark, sf_dir):
-    labels = table(spark, sf_dir, "labels").filter("toxic is not null and doc_id < 100").withColumn("all", F.lit(1))
-    out = probability.running_log_odds(labels, ["all"], ["doc_id"], F.col("toxic") == 1, 0.8, 0.1)
+    labels = table(spark, sf_dir, "labels").filter("toxic is not null").select("doc_id", "toxic")
+    out = probability.running_log_odds(labels, [], ["doc_id"], F.col("toxic") == 1, 0.8, 0.1)
     return out.select("doc_id", F.round("log_odds", 6).alias("log_odds"))
 
 
@@ -105,10 +105,13 @@ def json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").alias("k"), (convert.to_int(F.get_json_object("props", "$.k")) % 7).alias("week"))
 
 
-@query("SELECT c_custkey, CASE WHEN c_custkey < 26 THEN chr(CAST(65 + c_custkey AS INTEGER)) WHEN c_custkey < 702 THEN chr(CAST(64 + c_custkey // 26 AS INTEGER)) || chr(CAST(65 + c_custkey % 26 AS INTEGER)) ELSE chr(CAST(64 + (c_custkey - 26) // 676 AS INTEGER)) || chr(CAST(65 + ((c_custkey - 26) // 26) % 26 AS INTEGER)) || chr(CAST(65 + c_custkey % 26 AS INTEGER)) END AS letters, c_custkey AS back FROM customer WHERE c_custkey < 18278")
+_LETTERS = " || ".join(f"CASE WHEN c_custkey >= {sum(26**j for j in range(1, k + 1))} THEN chr(CAST(65 + (c_custkey - {sum(26**j for j in range(1, k + 1))}) // {26**k} % 26 AS INTEGER)) ELSE '' END" for k in range(6, 0, -1))
+
+
+@query(f"SELECT c_custkey, {_LETTERS} || chr(CAST(65 + c_custkey % 26 AS INTEGER)) AS letters, c_custkey AS back FROM (SELECT c_custkey * 1009 AS c_custkey FROM customer)")
 def spreadsheet_columns(spark, sf_dir):
     letters = strings.column_letters(F.col("c_custkey"))
-    return table(spark, sf_dir, "customer").filter("c_custkey < 18278").select("c_custkey", letters.alias("letters"), strings.column_number(letters).alias("back"))
+    return table(spark, sf_dir, "customer").select((F.col("c_custkey") * 1009).alias("c_custkey")).select("c_custkey", letters.alias("letters"), strings.column_number(letters).alias("back"))
 
 
 @query("SELECT o_orderkey, '''' || replace(o_orderpriority, '''', '''''') || '''' AS text, '''' || strftime(o_orderdate, '%Y-%m-%d') || '''' AS day FROM orders")

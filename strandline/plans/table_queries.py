@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from strandline.operators import lookup, sqlops, vocab
+from strandline.operators import columns, lookup, sqlops, vocab
 from strandline.operators.duplicates import exact_duplicates
 from strandline.plans.registry import query, table
 
@@ -27,7 +27,7 @@ def exists_flag(spark, sf_dir):
 
 @query("SELECT DISTINCT o_orderpriority AS value FROM orders")
 def first_values(spark, sf_dir):
-    return table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("value")).distinct()
+    return sqlops.first_column(table(spark, sf_dir, "orders").select("o_orderpriority")).distinct()
 
 
 @query("SELECT l_returnflag, l_linestatus, count(*) AS n, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DECIMAL(28,2)) AS quantity FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
@@ -192,7 +192,7 @@ def params_around_centre(spark, sf_dir):
     return lookup.params_around_centre(spark, a=[1, 2, 3], b=[5, 10, 20], c=[0.1, 0.5, 0.9])
 
 
-@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY array_to_string([CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(x, 20, '0') ELSE x END for x in regexp_extract_all(p_name, '[0-9]+|[^0-9]+')], ''), p_partkey) AS place FROM part")
+@query("SELECT p_partkey, p_name, row_number() OVER (ORDER BY array_to_string([CASE WHEN regexp_matches(x, '^[0-9]') THEN lpad(CAST(length(regexp_replace(x, '^0+([0-9])', '\\1')) AS VARCHAR), 9, '0') || regexp_replace(x, '^0+([0-9])', '\\1') ELSE x END for x in regexp_extract_all(p_name, '[0-9]+|[^0-9]+')], ''), p_partkey) AS place FROM part")
 def natural_sort_rank(spark, sf_dir):
     parts = table(spark, sf_dir, "part").select("p_partkey", "p_name", lookup.natural_key(F.col("p_name")).alias("k"))
     ranked = sqlops.new_keys(parts.select(F.struct("k", "p_partkey").alias("k")), "k", 0)
@@ -213,3 +213,62 @@ def inconsistent_attributes(spark, sf_dir):
 def pending_jobs(spark, sf_dir):
     jobs = table(spark, sf_dir, "orders").filter("o_orderstatus = 'O'").select("o_orderkey")
     return vocab.semi_anti(jobs, "o_orderkey", drop=table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_orderkey"))
+
+
+@query("SELECT * FROM (VALUES (0, 'c_custkey', 'bigint', true), (1, 'c_name', 'string', true), (2, 'c_nationkey', 'int', true), (3, 'c_acctbal', 'double', true), (4, 'c_mktsegment', 'string', true)) t(place, name, type, nullable)")
+def column_list(spark, sf_dir):
+    return columns.described(table(spark, sf_dir, "customer"))
+
+
+@query("""SELECT * FROM (VALUES ('region', true, 'CREATE TABLE `region` (`r_regionkey` INT, `r_name` STRING)'), ('nation', false, 'CREATE TABLE `nation` (`n_nationkey` INT, `n_name` STRING, `n_regionkey` INT)')) t(name, same, statement)""")
+def create_statements(spark, sf_dir):
+    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
+    same = lambda t: columns.same_columns(t, region.withColumnRenamed("r_name", "R_NAME"))
+    rows = [(name, same(t), columns.create_statement(t, name)) for name, t in (("region", region), ("nation", nation))]
+    return spark.createDataFrame(rows, "name string, same boolean, statement string")
+
+
+@query("SELECT * FROM (VALUES (0, 'nation'), (0, 'part'), (1, 'customer'), (1, 'supplier'), (2, 'orders'), (3, 'lineitem')) t(layer, name)")
+def table_layers(spark, sf_dir):
+    layers = sqlops.table_order({"lineitem": ["orders", "part", "supplier"], "orders": ["customer", "orders"], "customer": ["nation"], "supplier": ["nation"], "nation": [], "part": []})
+    return spark.createDataFrame([(k, name) for k, layer in enumerate(layers) for name in layer], "layer int, name string")
+
+
+@query("SELECT p_partkey FROM part WHERE p_size > 20 AND NOT contains(p_type, 'SMALL')")
+def attribute_criteria(spark, sf_dir):
+    drugs = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_size") > 20).alias("large"), F.col("p_type").contains("SMALL").alias("small"))
+    return columns.where_all(drugs, large=True, small=False).select("p_partkey")
+
+
+@query("""SELECT CAST(n_nationkey AS INTEGER) AS key, CASE WHEN n_nationkey % 3 = 0 THEN upper(n_name) || '!' ELSE n_name END AS value FROM nation UNION ALL SELECT 100, 'new'""")
+def merged_maps(spark, sf_dir):
+    old = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_name").alias("value"))
+    new = old.filter("key % 3 = 0").select("key", F.concat(F.upper("value"), F.lit("!")).alias("value"))
+    return columns.merged_maps("key", "value", old, new, spark.createDataFrame([(100, "new")], "key int, value string"))
+
+
+@query("SELECT n_regionkey AS key, max(n_nationkey) AS value FROM nation GROUP BY n_regionkey")
+def reversed_map(spark, sf_dir):
+    return columns.reversed_map(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("key"), F.col("n_regionkey").alias("value")), "key", "value")
+
+
+@query("""SELECT DISTINCT 'b' || a.p_partkey AS source_code, 'c' || b.p_partkey AS target_code, b.p_name AS target_name FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 AND b.p_partkey % 2 = 1 WHERE a.p_partkey % 2 = 0 AND a.p_partkey IN (2, 4, 6, 8, 50)""")
+def equivalent_codes(spark, sf_dir):
+    key = F.col("p_partkey").cast("int")
+    vocabulary = F.when(key % 2 == 0, "old").otherwise("new")
+    concepts = table(spark, sf_dir, "part").select(key.alias("concept_id"), F.col("p_name").alias("concept_name"), vocabulary.alias("vocabulary_id"), F.concat(F.when(key % 2 == 0, "b").otherwise("c"), key.cast("string")).alias("concept_code"))
+    relationships = concepts.select(F.col("concept_id").alias("concept_id_1"), (F.col("concept_id") + 1).alias("concept_id_2"), F.lit(vocab.MAPS_TO).alias("relationship_id"))
+    return vocab.equivalents(concepts, relationships, "old", ["b2", "b4", "b6", "b8", "b50"], "new")
+
+
+@query("""WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS a FROM conversations WHERE text IS NOT NULL)
+    SELECT conv_id, array_to_string(list_sort(list_distinct(flatten(list(a)))), ' ') AS words, CAST(len(flatten(list(a))) AS INTEGER) AS n FROM w GROUP BY conv_id""")
+def flattened_lists(spark, sf_dir):
+    words = table(spark, sf_dir, "conversations").filter("text is not null").select("conv_id", F.explode(F.split("text", " ")).alias("word"))
+    return words.groupBy("conv_id").agg(F.array_join(F.array_sort(F.collect_set("word")), " ").alias("words"), F.count(F.lit(1)).cast("int").alias("n"))
+
+
+@query("""SELECT count(*) AS n, min(c_custkey) AS least, max(c_name) AS last FROM customer WHERE c_nationkey = 3""")
+def raw_statement(spark, sf_dir):
+    rows, names = sqlops.rows_and_names(spark, "SELECT count(*) AS n, min(c_custkey) AS least, max(c_name) AS last FROM parquet.`" + f"{sf_dir}/customer.parquet" + "` WHERE c_nationkey = :nation", nation=3)
+    return spark.createDataFrame(rows, "n bigint, least bigint, last string").toDF(*names)

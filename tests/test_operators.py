@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandline.functions import convert, dates, dsp, hashing, rounding, rpm, strings
-from strandline.operators import intervals, lookup, sqlops, vocab
+from strandline.operators import columns, intervals, lookup, sqlops, vocab
 from strandline.operators.episodes import two_drug_episodes
 from strandline.operators.timeline import cumulative_time
 from strandline.sources import delimited, documents
@@ -264,3 +264,66 @@ def test_ancestors_of_deep_hierarchies(spark):
     start = spark.createDataFrame([("n0",)], "child string")
     assert sorted((r.generation, r.ancestor) for r in vocab.ancestors(edges, start).collect()) == [(k, f"n{k}") for k in range(1, 26)]
     assert vocab.ancestors(edges, start, most=2).count() == 2
+
+
+def test_more_strings(spark):
+    df = spark.createDataFrame([("1.5 K",), ("2 kibi",), ("3 k",), ("7 B",), ("1 Q",)], "t string")
+    assert [r[0] for r in df.select(strings.bytes_from_text(F.col("t"))).collect()] == [1536, 2048, 3072, 7, None]
+    one = spark.range(1)
+    text = lambda c: one.select(c).first()[0]
+    assert text(strings.wrapped(10)(F.lit("the quick brown\nfox jumps"))) == "the quick\nbrown fox\njumps" and text(strings.wrapped(0)(F.lit("a  b"))) == "a  b"
+    assert [text(strings.column_letters(F.lit(n))) for n in (0, 25, 26, 51, 52, 701, 702, 18277, 18278, 475254)] == ["A", "Z", "AA", "AZ", "BA", "ZZ", "AAA", "ZZZ", "AAAA", "AAAAA"]
+    assert text(strings.column_letters(F.lit(-1))) is None
+    assert text(strings.bytes_text(F.lit(9856), "customary_ext")) == "9.6 kilo" and text(strings.bytes_text(F.lit(1.9))) == "1.0 B"
+
+
+def test_natural_keys_of_long_numbers(spark):
+    names = ["a2", "a10", "a" + "9" * 25, "a1" + "0" * 25, "a007", "b"]
+    df = spark.createDataFrame([(x,) for x in names], "t string")
+    got = [r.t for r in df.orderBy(lookup.natural_key(F.col("t"))).collect()]
+    assert got == ["a2", "a007", "a10", "a" + "9" * 25, "a1" + "0" * 25, "b"]
+
+
+def test_upsert_with_repeated_keys(spark):
+    old = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    new = spark.createDataFrame([(2, "c"), (2, "d"), (3, "e"), (3, "e")], "id int, name string")
+    assert sorted(map(tuple, sqlops.upsert(old, new, ["id"]).collect())) == [(1, "a"), (2, "d"), (3, "e")]
+
+
+def test_ranges_that_overlap(spark):
+    ranges = spark.createDataFrame([(1, 0, 30, "wide"), (0, 10, 20, "first"), (2, 25, 60, "late"), (3, 70, 70, "none")], "ordinal int, low int, high int, label string")
+    assert sorted(map(tuple, lookup.disjoint(ranges).collect())) == [(0, 10, "wide"), (10, 20, "first"), (20, 25, "wide"), (25, 30, "wide"), (30, 60, "late")]
+    df = spark.createDataFrame([(x, "own") for x in (0, 10, 19, 20, 59, 60, None)], "low int, label string")
+    assert [r.low for r in lookup.range_lookup(df.drop("label"), "low", ranges, "semi").orderBy("low").collect()] == [0, 10, 19, 20, 59]
+    got = lookup.range_lookup(df.withColumnRenamed("label", "found"), "low", ranges).collect()
+    assert {r.low: r.label for r in got} == {0: "wide", 10: "first", 19: "first", 20: "wide", 59: "late", 60: None, None: None}
+
+
+def test_running_sums_cross_ranges(spark):
+    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), F.col("id").alias("v"))
+    got = sqlops.running_sum(df, ["k"], F.col("v"), "s").orderBy("k").collect()
+    total = 0
+    for r in got:
+        total += r.v
+        assert r.s == total
+    assert len(got) == 1000 and sqlops.running_sum(df.limit(0), ["k"], F.col("v"), "s").count() == 0
+
+
+def test_whole_columns(spark):
+    df = spark.createDataFrame([(1, "a", True), (2, None, False)], "n int, t string, b boolean")
+    assert columns.renamed(df, {"n": "m", "t": None}).columns == ["m", "b"] and columns.prefixed(df, "x").columns == ["xn", "xt", "xb"]
+    assert [tuple(r) for r in columns.null_values(df, [1, "a", False]).collect()] == [(None, None, True), (2, None, None)]
+    assert [r.t for r in columns.replaced(df, "t", None, "z").collect()] == ["a", "z"]
+    try:
+        columns.renamed(df, {"q": "m"})
+    except KeyError:
+        pass
+    else:
+        raise AssertionError
+    assert not columns.same_columns(df, df.drop("b")) and columns.same_columns(df, df.toDF("x", "y", "z"), with_names=False)
+
+
+def test_versions_sort(spark):
+    texts = ["1.10.0", "1.2.0-rc.1", "1.2.0", None, "0.9.9", "1.2"]
+    df = spark.createDataFrame([(x,) for x in texts], "t string").withColumn("v", convert.version(F.col("t")))
+    assert [r.t for r in df.filter("v is not null").orderBy("v").collect()] == [None, "0.9.9", "1.2.0-rc.1", "1.2.0", "1.10.0"]
