@@ -14,11 +14,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import forget, parts, stored
-from strandline.llm.vectors import best, by_blocks, one_each, search_groups, usable
+from strandline.llm.vectors import best, by_blocks, distinct_rows, one_each, search_groups, usable
 
 TABLES = 12
 WIDTH = 3.0
@@ -164,18 +164,6 @@ def _visited(k: int):
     return work
 
 
-def _distinct(vectors: DataFrame, k: int) -> DataFrame:
-    """``vectors`` without those that no list of k can hold, with a number ``row`` for each.
-
-    Equal vectors have equal scores, and of ties the smaller ids win: k + 1 ids of each vector are enough (one may be the
-    query's own), and k copies of each id.
-    """
-    each = vectors.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
-    ranked = each.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
-    copy = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
-    return ranked.select("vec_id", "v", copy.alias("copy")).select("vec_id", "v", F.xxhash64("vec_id", "v", "copy").alias("row"))
-
-
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = TABLES, hashes: int | None = None, width: float = WIDTH, most: int = PROBES, seed: int = SEED, lot_rows: int = LOT_ROWS, lot_visits: int = LOT_VISITS) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): for each query the k largest inner products found, in double precision.
 
@@ -189,7 +177,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, tables: int = T
     total, largest = vectors.agg(F.count(F.lit(1)), F.max(norm)).first()
     lots, largest = parts(total, lot_rows), largest or 1.0
     shape = tables, hashes or max(4, total.bit_length()), width, seed
-    data = stored(_distinct(vectors, k), "vectors")
+    data = stored(distinct_rows(vectors, k), "vectors")
     place, kind = "dim int, tab int, lot int", data.schema["v"].dataType.simpleString()
     asked = stored(queries.select("vec_id", "v").mapInArrow(_asked(most, lots, *shape), f"{place}, buckets array<int>, vec_id long, v {kind}"), "probes")
     keys = ["dim", "tab", "lot"]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from strandline.llm.common import parts
@@ -25,24 +25,44 @@ def usable(vector: Column) -> Column:
     return vector.isNotNull() & (F.size(vector) > 0) & ~bad
 
 
-def search_groups(data: DataFrame, queries: DataFrame, search, k: int, score: str, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
-    """Rows (query_id, vec_id, score): the k best of each query in each group of vectors.
+def met(data: DataFrame, queries: DataFrame, key: str, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS) -> tuple[GroupedData, GroupedData]:
+    """Both tables (with a column dim) grouped so that every query meets every row of its dimension in one group.
 
-    Both tables have vec_id and v (an array); only vectors of a query's dimension count. A vector goes to one group by a
-    hash of its id and is copied once for each lot of queries; a query is copied once for each group. Both are of bounded
-    size. ``search(ids, vectors, query_ids, queries)`` returns arrays of query ids, vector ids and scores of one block.
+    A row goes to one group by a hash of its key and is copied once for each lot of queries; a query (vec_id) is copied once
+    for each group. Both are of bounded size.
     """
     groups, asked = parts(data.count(), group_rows), queries.count()
     spread = parts(2 * data.sparkSession.sparkContext.defaultParallelism, groups)
     lots = max(parts(asked, query_rows), min(spread, parts(asked, LEAST_QUERIES)))
-    own = lambda n, salt: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n)).cast("int")
+    own = lambda name, n, salt: F.pmod(F.xxhash64(name, F.lit(salt)), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    dim = F.size("v").alias("dim")
-    left = data.select(dim, own(groups, 1).alias("part"), every(lots).alias("lot"), "vec_id", "v")
-    right = queries.select(dim, own(lots, 2).alias("lot"), every(groups).alias("part"), "vec_id", "v")
+    left = data.select("*", own(key, groups, 1).alias("part"), every(lots).alias("lot"))
+    right = queries.select("*", own("vec_id", lots, 2).alias("lot"), every(groups).alias("part"))
     keys = ("dim", "part", "lot")
-    work = _block_by_block(search, k, score, block_rows)
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(work, f"query_id long, vec_id long, score {score}")
+    return left.groupBy(*keys), right.groupBy(*keys)
+
+
+def search_groups(data: DataFrame, queries: DataFrame, search, k: int, score: str, block_rows: int = BLOCK_ROWS, group_rows: int = GROUP_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+    """Rows (query_id, vec_id, score): the k best of each query in each group of vectors.
+
+    Both tables have vec_id and v (an array); only vectors of a query's dimension count.
+    ``search(ids, vectors, query_ids, queries)`` returns arrays of query ids, vector ids and scores of one block.
+    """
+    sized = lambda df: df.select(F.size("v").alias("dim"), "vec_id", "v")
+    left, right = met(sized(data), sized(queries), "vec_id", group_rows, query_rows)
+    return left.cogroup(right).applyInArrow(_block_by_block(search, k, score, block_rows), f"query_id long, vec_id long, score {score}")
+
+
+def distinct_rows(vectors: DataFrame, k: int) -> DataFrame:
+    """``vectors`` without those that no list of k can hold, with a number ``row`` for each.
+
+    Equal vectors have equal scores, and of ties the smaller ids win: k + 1 ids of each vector are enough (one may be the
+    query's own), and k copies of each id.
+    """
+    each = vectors.groupBy("v", "vec_id").agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("copies"))
+    ranked = each.withColumn("place", F.dense_rank().over(Window.partitionBy("v").orderBy("vec_id"))).filter(F.col("place") <= k + 1)
+    copy = F.explode(F.sequence(F.lit(1).cast("long"), "copies"))
+    return ranked.select("vec_id", "v", copy.alias("copy")).select("vec_id", "v", F.xxhash64("vec_id", "v", "copy").alias("row"))
 
 
 def _block_by_block(search, k: int, score: str, block_rows: int):

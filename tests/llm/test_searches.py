@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.llm import multiprobe, queries, va_file
 from strandline.llm.multiprobe import Hashes, probes
-from strandline.llm.va_file import approximation, upper_bounds
+from strandline.llm.va_file import approximation, cell_scores
 
 SF = "/root/testdata/sf0.001"
 INF = float("inf")
@@ -33,10 +33,26 @@ def brute(rows, nth, k):
 def test_bounds_hold():
     rng = np.random.default_rng(0)
     x, q = rng.integers(-300, 300, (200, 9)), rng.integers(-300, 300, (20, 9))
+    gaps = []
     for bits in (1, 3, 6):
-        bound = upper_bounds(q, *approximation(x, bits))
-        assert (bound >= q @ x.T).all()
-    assert bound.mean() < (np.abs(q) @ np.abs(x).T).mean()
+        low = x.min(axis=0)
+        width = np.maximum(1, -(-(x.max(axis=0) - low + 1) >> bits))
+        cells = approximation(x, low, width)
+        assert cells.max() < 1 << bits
+        corner, under, over = cell_scores(q, cells, low, width)
+        assert (corner + under[:, None] <= q @ x.T).all() and (corner + over[:, None] >= q @ x.T).all()
+        gaps.append((over - under).mean())
+    assert gaps[0] > 4 * gaps[1] > 16 * gaps[2]
+
+
+def test_few_exact_vectors_are_read(spark, monkeypatch):
+    """The scan leaves a small part of the vectors, and the limit of the first lot all but a few of those."""
+    read = []
+    monkeypatch.setattr(va_file, "stored", lambda df, name, keep=va_file.stored: read.append((name, out := keep(df, name))) or out)
+    df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding")
+    assert va_file.search_every(df).count() == 40 * 5
+    tables = dict(read)
+    assert tables["bounds"].count() < 0.1 * 40 * 2000 and tables["first"].count() <= 40 * 5 * va_file.FIRST
 
 
 @pytest.mark.parametrize("rows", [1, 40, 700])
@@ -44,7 +60,7 @@ def test_va_file(spark, rows):
     rng = np.random.default_rng(rows)
     data = [(i, (rng.standard_normal(5) if i % 3 else np.eye(5)[0]).tolist()) for i in range(rows)]
     df = spark.createDataFrame(data, "vec_id long, embedding array<double>")
-    got = va_file.top_k(va_file.scaled(df), va_file.scaled(df).filter("vec_id % 50 = 0"), 5, block_rows=64, group_rows=200, query_rows=4)
+    got = va_file.top_k(va_file.scaled(df), va_file.scaled(df).filter("vec_id % 50 = 0"), 5, group_rows=200, query_rows=4)
     want = brute([(i, [int(np.floor(256 * x)) for x in v]) for i, v in data], 50, 5)
     assert sorted(map(tuple, got.collect())) == want
 
