@@ -5,7 +5,7 @@ import hashlib
 import json
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
@@ -32,6 +32,40 @@ def test_model_adds_up():
     assert (model.log2(code) > -np.log2(langid._SYMBOLS)).mean() > 0.9
 
 
+def test_model_equals_plain_kneser_ney():
+    """Against the textbook's formula over dictionaries: counts at the highest order, below it how many symbols stand before."""
+    texts = ["the cat sat on the mat", "a dog and the other dog sat", "mat of the cat"]
+    grams = Counter()
+    for t in texts:
+        symbols = [0, 0, 0, 0, *(0 if c == " " else 1 + ord(c) for c in t), 0]
+        grams.update(tuple(symbols[i - 3 : i + 1]) for i in range(4, len(symbols)))
+    orders = {4: grams}
+    for n in (3, 2, 1):
+        orders[n] = Counter(g[1:] for g in orders[n + 1])
+    discount = {}
+    for n, own in orders.items():
+        ones, twos = (sum(c == k for c in own.values()) for k in (1, 2))
+        discount[n] = min(0.95, max(0.1, ones / (ones + 2 * twos))) if ones else 0.5
+
+    def probability(gram):
+        if not gram:
+            return 1 / langid._SYMBOLS
+        own, d = orders[len(gram)], discount[len(gram)]
+        after = [c for g, c in own.items() if g[:-1] == gram[:-1]]
+        if not after:
+            return probability(gram[1:])
+        return max(own[gram] - d, 0) / sum(after) + d * len(after) / sum(after) * probability(gram[1:])
+
+    packed = lambda g: sum(x << langid.BITS * (3 - k) for k, x in enumerate(g))
+    code, n = np.unique(np.concatenate([langid.codes([t])[0] for t in texts]), return_counts=True)
+    assert dict(zip(code.tolist(), n.tolist())) == {packed(g): c for g, c in grams.items()}
+    rng = random.Random(5)
+    letters = sorted({x for g in grams for x in g})
+    asked = [*grams, *(tuple(rng.choice([*letters, 1 + ord("z")]) for _ in range(4)) for _ in range(300))]
+    got = langid.Model(code, n).log2(np.array([packed(g) for g in asked]))
+    assert np.allclose(got, [np.log2(probability(g)) for g in asked], atol=1e-9)
+
+
 def test_codes():
     code, first = langid.codes(["Ab!! c", "", "d"])
     a, b, c, d = (1 + ord(x) for x in "abcd")
