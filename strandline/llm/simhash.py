@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, local_components, parts, row_keys, stored, text_arrays, whole_group
+from strandline.llm.common import components, forget, local_components, parts, row_keys, stored, text_arrays, whole_group
 
 SHINGLE = 3
 SEED = 42
@@ -32,6 +32,8 @@ STAGE_SHINGLE, STAGE_DISTANCE, STAGE_SEGMENTS, STAGE_LEAST = 5, 7, 8, 0.8
 GROUP_ROWS = 20_000
 #: Fingerprints that may share one segment before their keys are dealt on by the next segment.
 HOT_SEGMENT = 50_000
+#: Bytes of texts in a block of a group of near copies; a task compares two blocks at most.
+BLOCK_BYTES = 16_000_000
 _PAIRS = 1_000_000
 
 
@@ -225,31 +227,56 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
     return both >= least * (len(a) + len(b) - both)
 
 
-def _checked(shingle: int, distance: int, least: float):
+def _checked(distance: int, least: float, shingle: int):
     def work(table: pa.Table) -> pa.Table:
-        """Of the texts (h, fp, _text) of one group: h and the smallest h that it is linked to by similar pairs."""
-        order = np.argsort(whole_group(table, "h").to_numpy(), kind="stable")
-        table = table.take(pa.array(order))
+        """Of the texts (h, fp, _text) of one group, or of two blocks of it: stars (a, b) around the smallest hash of those
+        that similar pairs connect."""
+        table = table.take(pa.array(np.argsort(whole_group(table, "h").to_numpy(), kind="stable")))
         h, fp = whole_group(table, "h").to_numpy(), whole_group(table, "fp").to_numpy().view(np.uint64)
         data, offsets = text_arrays(table.column("_text"))
         raw, at = memoryview(data), offsets.tolist()
         sets = [_shingles(raw[a:b].tobytes(), shingle) for a, b in zip(at, at[1:])]
-        label = np.arange(len(h))
+        label, apart = np.arange(len(h)), len(h)
         for i in range(len(h)):
+            if apart == 1:
+                break
             for j in (np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= distance) & (label[i + 1 :] != label[i])) + i + 1).tolist():
                 if label[i] != label[j] and _alike(sets[i], sets[j], least):
                     low, high = sorted((label[i], label[j]))
                     label[label == high] = low
-        return pa.table({"h2": h, "group": h[label]})
+                    apart -= 1
+        moved = np.flatnonzero(label != np.arange(len(h)))
+        return pa.table({"a": h[label[moved]], "b": h[moved]})
 
     return work
 
 
-def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, segments: int = STAGE_SEGMENTS, least: float = STAGE_LEAST) -> DataFrame:
+def _in_blocks(texts: DataFrame, block_bytes: int, block_rows: int) -> DataFrame:
+    """``texts`` (root, h, fp, _text) with the columns i and j: what is equal in root, i and j is to be compared.
+
+    A group of more bytes or rows than a block holds is cut into blocks by hash, and each of its rows goes to every pair of
+    blocks that has its own. So a task sees two blocks at most, and any two texts of a group meet.
+    """
+    size = F.sum(F.octet_length("_text").cast("long"))
+    blocks = F.greatest(F.ceil(size / block_bytes), F.ceil(F.count(F.lit(1)) / block_rows)).cast("int").alias("blocks")
+    large = texts.groupBy("root").agg(blocks).filter("blocks > 1").select(F.col("root").alias("root2"), "blocks")
+    own = F.pmod(F.col("h"), F.col("blocks")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: k != own)
+    pairs = F.transform(others, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
+    alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
+    met = texts.join(large, F.col("root") == F.col("root2"), "left")
+    return met.select("root", "h", "fp", "_text", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("p")).select("root", "p.i", "p.j", "h", "fp", "_text")
+
+
+def similar(
+    docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, segments: int = STAGE_SEGMENTS, least: float = STAGE_LEAST,
+    block_bytes: int = BLOCK_BYTES, block_rows: int = GROUP_ROWS,
+) -> DataFrame:
     """One row (doc_id, h, root) for each of ``docs``: equal root for texts linked by pairs that are within ``distance``
     bits and whose sets of shingles have a Jaccard similarity of at least ``least``.
 
-    Only texts that their bits connect to another text are read again, one of each; those of one such group meet in a task.
+    Only texts that their bits connect to another text are read again, one of each; they meet by groups, and of large groups
+    by pairs of blocks. What the tasks find linked is connected by components.
     """
     found = stored(near_duplicates(docs, text, doc_id, shingle=shingle, distance=distance, segments=segments), "near")
     one = found.groupBy("root", "fp", "h").agg(F.min("doc_id").alias("_id"))
@@ -258,8 +285,12 @@ def similar(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle
     one, meant = row_keys(one, docs, doc_id, text)
     _, h, fp, root = (one[c] for c in one.columns)
     texts = docs.join(one, meant).select(root.alias("root"), h.alias("h"), fp.alias("fp"), docs[f"`{text}`"].alias("_text")).dropDuplicates(["root", "h"])
-    groups = stored(texts.groupBy("root").applyInArrow(_checked(shingle, distance, least), "h2 long, group long"), "groups")
-    return found.join(groups, F.col("h") == F.col("h2"), "left").select("doc_id", "h", F.coalesce("group", "h").alias("root"))
+    texts = stored(texts, "texts")
+    met = _in_blocks(texts, block_bytes, block_rows)
+    alike = stored(met.groupBy("root", "i", "j").applyInArrow(_checked(distance, least, shingle), "a long, b long"), "alike")
+    forget(texts)
+    groups = components(alike)
+    return found.join(groups, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("component", "h").alias("root"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:

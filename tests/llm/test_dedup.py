@@ -130,6 +130,22 @@ def test_one_of_each_finds_similar_texts(spark):
     assert simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).count() == 8
 
 
+def test_large_groups_are_compared_in_blocks(spark):
+    rng = np.random.default_rng(11)
+    base = [f"w{k}" for k in rng.integers(0, 3000, 300)]
+    rows = []
+    for k in range(120):  # a chain: each text changes one more word, so the ends aren't similar but all are linked
+        base[(7 * k) % 300] = f"x{k}"
+        rows.append((k, " ".join(base)))
+    rows += [(200 + k, " ".join(f"y{j}" for j in rng.integers(0, 3000, 300))) for k in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    groups = lambda found: sorted(sorted(r.doc_id for r in found if r.root == root) for root in {r.root for r in found})
+    whole = groups(simhash.similar(df).collect())
+    assert max(map(len, whole)) > 50
+    for limits in ({"block_rows": 40}, {"block_bytes": 50_000}):
+        assert groups(simhash.similar(df, **limits).collect()) == whole
+
+
 def test_wide_links_lose_none(spark):
     rng = np.random.default_rng(4)
     prints = np.unique(np.array([b ^ np.uint64(sum(1 << int(k) for k in rng.choice(64, rng.integers(0, 8), replace=False))) for b in rng.integers(0, 1 << 63, 40, dtype=np.uint64) for _ in range(12)], np.uint64))
