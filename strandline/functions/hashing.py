@@ -76,6 +76,58 @@ def murmur32(seed: int = 0):
     return F.pandas_udf(work, "int")
 
 
+def _rotated64(x: np.ndarray, n: int) -> np.ndarray:
+    return x << np.uint64(n) | x >> np.uint64(64 - n)
+
+
+def _finished64(x: np.ndarray) -> np.ndarray:
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        x = (x ^ x >> np.uint64(33)) * np.uint64(factor)
+    return x ^ x >> np.uint64(33)
+
+
+def murmur3_128_many(values: list[bytes], seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """MurmurHash3 (x64, 128 bits) of many values at once, as low and high halves: block k of all that have one, then all
+    tails (an empty tail mixes in nothing)."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    width = int(max([0, *sizes.tolist()])) // 16 + 1
+    words = np.frombuffer(b"".join(v.ljust(16 * width, b"\0") for v in values), "<u8").reshape(len(values), width, 2)
+    low, high = np.full(len(values), seed, np.uint64), np.full(len(values), seed, np.uint64)
+    c, d = np.uint64(0x87C37B91114253D5), np.uint64(0x4CF5AD432745937F)
+    first, second = lambda k: _rotated64(k * c, 31) * d, lambda k: _rotated64(k * d, 33) * c
+    for block in range(width):
+        own = np.flatnonzero(sizes >= 16 * (block + 1))
+        if not len(own):
+            break
+        a, b = low[own], high[own]
+        a = (_rotated64(a ^ first(words[own, block, 0]), 27) + b) * np.uint64(5) + np.uint64(0x52DCE729)
+        b = (_rotated64(b ^ second(words[own, block, 1]), 31) + a) * np.uint64(5) + np.uint64(0x38495AB5)
+        low[own], high[own] = a, b
+    tail = words[np.arange(len(values)), sizes // 16]
+    low ^= first(tail[:, 0])
+    high ^= second(tail[:, 1])
+    low ^= sizes.astype(np.uint64)
+    high ^= sizes.astype(np.uint64)
+    low = low + high
+    high = high + low
+    low, high = _finished64(low), _finished64(high)
+    low = low + high
+    return low, high + low
+
+
+def murmur64(seed: int = 0):
+    """Arrow UDF: signed low half of the 128-bit MurmurHash3 (x64) of the text in UTF-8."""
+
+    def work(texts: pd.Series) -> pd.Series:
+        out = pd.Series(np.zeros(len(texts), np.int64))
+        known = texts.notna().to_numpy()
+        if known.any():
+            out[known] = murmur3_128_many([s.encode() for s in texts[known]], seed)[0].view(np.int64)
+        return out.astype("Int64").where(known)
+
+    return F.pandas_udf(work, "bigint")
+
+
 def file_digest(content: Column) -> Column:
     """MD5 of bytes."""
     return F.md5(content)

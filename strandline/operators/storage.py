@@ -5,18 +5,22 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def ended(df: DataFrame) -> DataFrame:
-    """``df`` without its lineage, by a checkpoint in the folder that ``spark.checkpoint.dir`` names.
-
-    In local mode a folder of the driver's serves where none is named; on a cluster that is an error.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names. In local mode a folder of the driver's serves where none is named; on
+    a cluster that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = context.getConf().get("spark.checkpoint.dir")
         if named is None and not re.match(r"local(\[|$)", context.master):
             raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandline-"))
+    return context.getCheckpointDir().rstrip("/")
+
+
+def ended(df: DataFrame) -> DataFrame:
+    """``df`` without its lineage, by a checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()

@@ -142,6 +142,23 @@ def rpm_two_choice(spark, sf_dir):
     return rpm.choice_probabilities(counts, "arm_set", "arm", "won", "lost")
 
 
+def _hmac_sql(digest: str) -> str:
+    """HMAC of c_name under the key of the query, by its definition."""
+    blob = lambda mask: "".join(f"\\x{b ^ mask:02X}" for b in b"secret".ljust(64, b"\0"))
+    return f"{digest}('{blob(0x5C)}'::BLOB || unhex({digest}('{blob(0x36)}'::BLOB || encode(c_name))))"
+
+
+@query(f"SELECT c_custkey, {_hmac_sql('sha256')} AS by_sha256, {_hmac_sql('md5')} AS by_md5 FROM customer")
+def keyed_hashes(spark, sf_dir):
+    name = F.col("c_name")
+    return table(spark, sf_dir, "customer").select("c_custkey", hashing.make_hasher("HMAC_SHA256", "secret")(name).alias("by_sha256"), hashing.make_hasher("HMAC_MD5", "secret")(name).alias("by_md5"))
+
+
+@query()
+def long_murmur_hashes(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", hashing.murmur64()(F.col("c_name")).alias("murmur"))
+
+
 @query()
 def keyed_and_murmur_hashes(spark, sf_dir):
     name = F.col("c_name")

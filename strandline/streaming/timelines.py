@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from strandline.operators.storage import ended, shared_folder
+
 
 def sessions(events: DataFrame, key: str, when: str, lasts: str, late: str = "1 hour") -> DataFrame:
     """Rows (key, start, end, n): events that last for ``lasts``, merged where they overlap, each final once ``late`` has passed.
@@ -20,7 +25,29 @@ def first_of_each(rows: DataFrame, content: str, when: str, within: str = "1 hou
     return rows.withColumn("_digest", F.sha2(F.col(content), 256)).withWatermark(when, within).dropDuplicatesWithinWatermark(["_digest"]).drop("_digest")
 
 
-def windowed_counts(events: DataFrame, when: str, kind: str, value: str, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Count and sum by kind in windows of time."""
+def windowed_counts(events: DataFrame, when: str, kind: str, value: str, width: str = "1 hour", late: str = "1 hour", aggregates: Sequence[Column] | None = None) -> DataFrame:
+    """By kind in windows of time: n and total of the value, or other aggregates."""
     windows = events.withWatermark(when, late).groupBy(F.window(when, width), kind)
-    return windows.agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(F.col("window.start").alias("start"), kind, "n", "total")
+    found = windows.agg(*(aggregates or [F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")]))
+    return found.select(F.col("window.start").alias("start"), kind, *found.columns[2:])
+
+
+def finished(stream: DataFrame, mode: str = "complete") -> DataFrame:
+    """What a stream's result is once all that its source holds now is read, as a table.
+
+    In complete mode that is the last batch; in append mode batches are added up. Each batch and the stream's state are kept in
+    the shared folder. A source without rows gives an empty table.
+    """
+    batches = []
+
+    def keep(batch: DataFrame, _: int) -> None:
+        if mode == "complete":
+            batches.clear()
+        batches.append(ended(batch))
+
+    where = f"{shared_folder(stream.sparkSession)}/stream-{uuid.uuid4().hex}"
+    stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", where).foreachBatch(keep).start().awaitTermination()
+    out = stream.sparkSession.createDataFrame([], stream.schema) if not batches else batches[0]
+    for batch in batches[1:]:
+        out = out.unionByName(batch)
+    return out

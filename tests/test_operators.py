@@ -157,6 +157,9 @@ def test_dates(spark):
 
 def test_hashes(spark):
     assert hashing.murmur3_many([b"", b"a", b"abcd", b"hello, world"], 0).tolist() == [0, 0x3C2569B2, 0x43ED676A, 0x149BBB7F]
+    halves = hashing.murmur3_128_many([b"", b"foo", b"The quick brown fox jumps over the lazy dog"])
+    assert [f"{a:016x}{b:016x}" for a, b in zip(*map(np.ndarray.tolist, halves))] == ["0" * 32, "e271865701f545617eaf87e42bba7d87", "e34bbc7bbc071b6c7a433ca9c49a9347"]
+    assert one(spark, hashing.murmur64()(F.lit("foo"))) == 0xE271865701F54561 - (1 << 64) and one(spark, hashing.murmur64()(F.lit(None).cast("string"))) is None
     assert one(spark, hashing.make_hasher("", "k")(F.lit("x"))) == one(spark, hashing.keyed("k")(F.lit("x")))
     with pytest.raises(ValueError):
         hashing.make_hasher("MD5", "k")
