@@ -9,6 +9,7 @@ from strandline.llm import mixing, multiprobe, va_file
 from strandline.llm.chat import REPLY, as_calls, link_calls
 from strandline.llm.langid import identify
 from strandline.llm.line_dedup import line_dedup
+from strandline.llm.main_text import extract
 from strandline.llm.packing import pack
 from strandline.llm.simhash import near_duplicates
 from strandline.llm.suffix_dedup import suffix_dedup
@@ -67,6 +68,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 QUERIES = {
     "op1_va_file_top_k": op1_va_file_top_k,
     "op5_multiprobe_neighbours": op5_multiprobe_neighbours,
@@ -78,6 +83,7 @@ QUERIES = {
     "op8_tool_call_linking": op8_tool_call_linking,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op13_main_text": op13_main_text,
 }
 
 _WORDS = r"[^\x20\x09-\x0D]+"
