@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandline.llm import mixing, multiprobe, va_file
+from strandline.llm import interactions, mixing, multiprobe, va_file
 from strandline.llm.chat import REPLY, as_calls, link_calls
 from strandline.llm.langid import identify
 from strandline.llm.line_dedup import line_dedup
@@ -14,6 +14,7 @@ from strandline.llm.packing import pack
 from strandline.llm.simhash import near_duplicates
 from strandline.llm.suffix_dedup import suffix_dedup
 from strandline.llm.warc import resolve_revisits
+from strandline.llm.whitening import whiten
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +69,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score", "rejected")
 
 
+def op11_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.col("lang").alias("part"))
+    return interactions.audit(interactions.mask_counts(docs, _table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic")))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(_table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
@@ -83,6 +93,8 @@ QUERIES = {
     "op8_tool_call_linking": op8_tool_call_linking,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op11_filter_interactions": op11_filter_interactions,
+    "op12_embedding_whitening": op12_embedding_whitening,
     "op13_main_text": op13_main_text,
 }
 
@@ -138,6 +150,22 @@ ORACLE_SQL: dict[str, str] = {
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS h FROM pages),
         r AS (SELECT *, CASE WHEN page_id IS DISTINCT FROM max(page_id) OVER (PARTITION BY h, n) THEN max(page_id) OVER (PARTITION BY h, n) END AS refers_to FROM p)
         SELECT page_id, n AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r""",
+    "op11_filter_interactions": f"""
+        WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, min(doc_id) OVER (PARTITION BY coalesce(text, '')) AS first FROM documents),
+        w AS (SELECT *, regexp_extract_all(text, '{_WORDS}') AS words FROM d),
+        l AS (SELECT doc_id, coalesce(max(quality = 1), false) AS good, coalesce(max(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+        m AS (SELECT part, [len(words) < 200, 100 * len(list_distinct(words)) < 50 * len(words), 100 * len(regexp_extract_all(text, '[A-Z]')) > 3 * length(text),
+                            regexp_matches(text, '[#$%&*|]'), coalesce(first < w.doc_id, false)] AS bad, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+              FROM w LEFT JOIN l USING (doc_id)),
+        c AS (SELECT part, bad, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic, len(list_filter(bad, lambda x: x)) AS fails FROM m GROUP BY ALL),
+        f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+        o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+        s AS (SELECT filter_order, step, ascii(substr(filter_order, step, 1)) - 64 AS i, [ascii(x) - 64 for x in string_split(substr(filter_order, 1, step - 1), '') if x <> ''] AS before FROM o, generate_series(1, 5) g(step))
+        SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(coalesce(sum(n) FILTER (NOT bad[i] AND NOT earlier), 0) AS BIGINT) AS kept,
+               CAST(coalesce(sum(n) FILTER (bad[i] AND NOT earlier), 0) AS BIGINT) AS removed, CAST(coalesce(sum(n) FILTER (bad[i] AND earlier), 0) AS BIGINT) AS redundant,
+               CAST(coalesce(sum(n) FILTER (bad[i] AND fails = 1), 0) AS BIGINT) AS unique_fails, CAST(coalesce(sum(good) FILTER (bad[i] AND NOT earlier), 0) AS BIGINT) AS good_lost,
+               CAST(coalesce(sum(toxic) FILTER (bad[i] AND NOT earlier), 0) AS BIGINT) AS toxic_lost, CAST(coalesce(sum(n * (120 // greatest(fails, 1))) FILTER (bad[i]), 0) AS BIGINT) AS shapley
+        FROM (SELECT *, len([1 for b in before if bad[b]]) > 0 AS earlier FROM c, s) GROUP BY part, filter_order, step""",
     "op1_va_file_top_k": """
         WITH v AS (SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT) for x in embedding] AS v FROM embeddings
                    WHERE embedding IS NOT NULL AND len([1 for x in embedding if x IS NULL OR NOT isfinite(x)]) = 0),
