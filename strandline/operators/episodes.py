@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.ordered import as_of
+from strandline.operators.storage import ended
+
 
 def two_drug_episodes(mentions: DataFrame, patient: str, drug: str, date: str, course_days: int = 28, response_days: int = 56, symptom_days: int = 180, first_only: bool = True) -> DataFrame:
     """Each patient's first A-to-B episode (or one A for every B).
@@ -24,14 +27,19 @@ def two_drug_episodes(mentions: DataFrame, patient: str, drug: str, date: str, c
         "*",
         (F.row_number().over(everyone.orderBy("date", "drug")) - 1).alias("rank"),
         F.count(F.lit(1)).over(everyone).alias("n"),
-        F.min("d").over(own.orderBy("d").rangeBetween(span, Window.unboundedFollowing)).alias("second"),
         (F.count(F.lit(1)).over(upto(everyone)) - F.count(F.lit(1)).over(upto(own))).alias("others"),
-    ).filter("n >= 4 and second is not null")
+        (F.col("d") + span).alias("ends"),
+    ).filter("n >= 4")
+    seen = rows.select("p", "drug", "d")
+    ranked = as_of(ranked, seen, "ends", "d", ["p", "drug"], "forward", cut=False).filter("met is not null")
+    ranked = ended(ranked.select("p", "drug", "d", "rank", "others", F.col("met.d").alias("second")))  # read three times below
     b = ranked.filter("rank >= 1 and others >= 2").select("p", F.col("drug").alias("b"), F.col("d").alias("b1"), F.col("second").alias("b2"), F.col("rank").alias("b_rank"), "others")
     a = ranked.select("p", F.col("drug").alias("a"), F.col("d").alias("a1"), F.col("second").alias("a2"), F.col("rank").alias("a_rank"))
-    pairs = b.join(a, "p").filter((F.col("a_rank") <= F.col("others") - 2) & (F.col("a1") + span <= F.col("b1")) & (F.col("a") != F.col("b")))
-    seen = rows.select(F.col("p").alias("p2"), F.col("drug").alias("drug2"), F.col("d").alias("d2"))
-    clear = pairs.join(seen, (F.col("p") == F.col("p2")) & (F.col("b") == F.col("drug2")) & (F.col("d2") >= F.col("a1")) & (F.col("d2") < F.col("a2")), "left_anti")
+    # for each drug that may be B the first A without a mention of it: if that A is too late for a B, so are all later ones
+    beside = a.join(b.select("p", "b").distinct(), "p").filter("a <> b")
+    beside = as_of(beside, seen.withColumnRenamed("drug", "b"), "a1", "d", ["p", "b"], "forward", cut=False).filter("met is null or met.d >= a2")
+    earliest = beside.groupBy("p", "b").agg(F.min(F.struct("a_rank", "a", "a1", "a2")).alias("first")).select("p", "b", "first.*")
+    clear = b.join(earliest, ["p", "b"]).filter((F.col("a_rank") <= F.col("others") - 2) & (F.col("a1") + span <= F.col("b1")))
     one = ["p"] if first_only else ["p", "b_rank"]
     first = clear.groupBy(*one).agg(F.min(F.struct("b_rank", "a_rank", "a", "a1", "a2", "b", "b1", "b2")).alias("m")).select("p", "m.*")
     when = lambda c: F.date_from_unix_date(F.col(c) if isinstance(c, str) else c)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators import ordered
+
 #: Rows and bytes of a lookup table that may be broadcast; a larger one is joined as Spark sees fit.
 BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16_000_000
 
@@ -31,30 +33,35 @@ def map_value(value: Column, rules: Sequence[tuple[Sequence, object]], default=N
     return out.otherwise(missing)
 
 
-def range_lookup(df: DataFrame, value: str, ranges: DataFrame, how: str = "left") -> DataFrame:
+def range_lookup(df: DataFrame, value: str, ranges: DataFrame, how: str = "left", few: int = BROADCAST_ROWS) -> DataFrame:
     """Rows of ``df`` with the label of the first range (by ordinal) with low <= value < high.
 
-    ``ranges`` has ordinal, low, high and label. how: left keeps rows without a range, inner doesn't, semi only tests.
+    ``ranges`` has ordinal, low, high and label. how: left keeps rows without a range, inner doesn't, semi only tests. Up to
+    ``few`` ranges are searched in place, as one sorted array; more are merged with the rows in order.
     """
-    parts = disjoint(ranges).withColumnsRenamed({c: f"_{c}_of_range" for c in ("low", "high", "label")})
-    test = (F.col(value) >= F.col("_low_of_range")) & (F.col(value) < F.col("_high_of_range"))
-    if how == "semi":
-        return df.join(small(parts), test, "left_semi")
-    return df.join(small(parts), test, how).select(*[df[f"`{c}`"] for c in df.columns], F.col("_label_of_range").alias("label"))
+    own = ranges.select("ordinal", "low", "high", "label")
+    held = _few(own, few)
+    if held is None:
+        found = ordered.from_many(df, value, ordered.pieces(own))
+    else:
+        found = ordered.from_few(df, value, held, own.schema["low"].dataType, own.schema["label"].dataType)
+    if how != "left":
+        found = found.filter("met IS NOT NULL")
+    return found.select("row.*", *([] if how == "semi" else [F.col("met.label").alias("label")]))
+
+
+def _few(ranges: DataFrame, few: int) -> list[tuple] | None:
+    """The ranges, or None if there are more than ``few`` or their labels are long."""
+    size = F.coalesce(F.octet_length(F.col("label").cast("string")), F.lit(0))
+    rows = ranges.withColumn("_size", size).limit(few + 1).collect()
+    if len(rows) > few or sum(r["_size"] for r in rows) > BROADCAST_BYTES:
+        return None
+    return [(r.ordinal, r.low, r.high, r.label) for r in rows]
 
 
 def disjoint(ranges: DataFrame) -> DataFrame:
-    """Rows (low, high, label) without overlaps: each piece between two ends has the label of its first range by ordinal.
-
-    Pieces are made on the table of ranges alone, each range meeting the ends inside it.
-    """
-    ends = ranges.select(F.explode(F.array("low", "high")).alias("_at")).distinct()
-    own = ranges.select("ordinal", "low", "high", "label").join(ends, (F.col("_at") >= F.col("low")) & (F.col("_at") < F.col("high")))
-    first = own.groupBy("_at").agg(F.min(F.struct("ordinal", "label")).alias("_first"))
-    until = own.groupBy("ordinal", "low", "high", "label").agg(F.sort_array(F.collect_set("_at")).alias("_ats"))
-    stop = until.select("high", F.explode(F.arrays_zip("_ats", F.slice("_ats", F.lit(2), F.size("_ats")).alias("_next"))).alias("_p"))
-    stop = stop.select(F.col("_p._ats").alias("_at2"), F.coalesce(F.col("_p._next"), F.col("high")).alias("_to")).groupBy("_at2").agg(F.min("_to").alias("high"))
-    return first.join(stop, F.col("_at") == F.col("_at2")).select(F.col("_at").alias("low"), "high", F.col("_first.label").alias("label"))
+    """Rows (low, high, label) without overlaps: each piece between two ends has the label of its first range by ordinal."""
+    return ordered.pieces(ranges).drop("rank")
 
 
 def ci_lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str) -> DataFrame:
