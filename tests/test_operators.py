@@ -197,6 +197,12 @@ def test_vocabulary(spark):
     start = spark.createDataFrame([("a",)], "n string")
     assert sorted((r.ancestor, r.generation) for r in vocab.ancestors(edges, start, ["is a"]).collect()) == [("b", 1), ("c", 2)]
     assert vocab.ancestors(edges, start, ["none"]).count() == 0
+    chain = spark.range(1000).selectExpr("id AS child", "id + 1 AS parent", "'is a' AS relationship")
+    links = spark.createDataFrame([(7, 500, "is a"), (1000, 990, "is a")], "child long, parent long, relationship string")  # a short cut, a ring
+    up = vocab.ancestors(chain.union(links), spark.createDataFrame([(0,), (998,)], "n long"))
+    assert up.filter("start = 0").selectExpr("count(*)", "max(generation)", "max(if(ancestor = 1000, generation, 0))").first()[:] == (1000, 508, 508)
+    assert sorted((r.ancestor, r.generation) for r in up.filter("start = 998").collect()) == [(990, 3), (991, 4), (992, 5), (993, 6), (994, 7), (995, 8), (996, 9), (997, 10), (999, 1), (1000, 2)]
+    assert vocab.ancestors(chain, spark.createDataFrame([(0,)], "n long"), most=5).count() == 5
     concepts = spark.createDataFrame([(1, "one", "A", "a1"), (2, "two", "B", "b2"), (3, "three", "A", "a3")], "concept_id int, concept_name string, vocabulary_id string, concept_code string")
     links = spark.createDataFrame([(3, 1, "Is a"), (3, 2, "Maps to")], "concept_id_1 int, concept_id_2 int, relationship_id string")
     assert vocab.equivalents(concepts, links, "A", ["a1"], "B").count() == 0
