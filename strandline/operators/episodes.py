@@ -27,17 +27,17 @@ def two_drug_episodes(mentions: DataFrame, patient: str, drug: str, date: str, c
         "*",
         (F.row_number().over(everyone.orderBy("date", "drug")) - 1).alias("rank"),
         F.count(F.lit(1)).over(everyone).alias("n"),
+        F.min("d").over(own.orderBy(F.desc("d")).rangeBetween(Window.unboundedPreceding, -span)).alias("second"),  # a frame that only grows
         (F.count(F.lit(1)).over(upto(everyone)) - F.count(F.lit(1)).over(upto(own))).alias("others"),
-        (F.col("d") + span).alias("ends"),
     ).filter("n >= 4")
-    seen = rows.select("p", "drug", "d")
-    ranked = as_of(ranked, seen, "ends", "d", ["p", "drug"], "forward", cut=False).filter("met is not null")
-    ranked = ended(ranked.select("p", "drug", "d", "rank", "others", F.col("met.d").alias("second")))  # read three times below
-    b = ranked.filter("rank >= 1 and others >= 2").select("p", F.col("drug").alias("b"), F.col("d").alias("b1"), F.col("second").alias("b2"), F.col("rank").alias("b_rank"), "others")
-    a = ranked.select("p", F.col("drug").alias("a"), F.col("d").alias("a1"), F.col("second").alias("a2"), F.col("rank").alias("a_rank"))
+    may_be_b = (F.col("rank") >= 1) & (F.col("others") >= 2) & F.col("second").isNotNull()
+    ranked = ranked.withColumn("bs", F.collect_set(F.when(may_be_b, F.col("drug"))).over(everyone)).filter("second is not null")
+    ranked = ended(ranked.select("p", "drug", "d", "rank", "others", "second", "bs"), "episodes")
+    b = ranked.filter(may_be_b).select("p", F.col("drug").alias("b"), F.col("d").alias("b1"), F.col("second").alias("b2"), F.col("rank").alias("b_rank"), "others")
     # for each drug that may be B the first A without a mention of it: if that A is too late for a B, so are all later ones
-    beside = a.join(b.select("p", "b").distinct(), "p").filter("a <> b")
-    beside = as_of(beside, seen.withColumnRenamed("drug", "b"), "a1", "d", ["p", "b"], "forward", cut=False).filter("met is null or met.d >= a2")
+    beside = ranked.select("p", F.col("drug").alias("a"), F.col("d").alias("a1"), F.col("second").alias("a2"), F.col("rank").alias("a_rank"), F.explode("bs").alias("b")).filter("a <> b")
+    seen = rows.select("p", F.col("drug").alias("b"), "d")
+    beside = as_of(beside, seen, "a1", "d", ["p", "b"], "forward", cut=False).filter("met is null or met.d >= a2")
     earliest = beside.groupBy("p", "b").agg(F.min(F.struct("a_rank", "a", "a1", "a2")).alias("first")).select("p", "b", "first.*")
     clear = b.join(earliest, ["p", "b"]).filter((F.col("a_rank") <= F.col("others") - 2) & (F.col("a1") + span <= F.col("b1")))
     one = ["p"] if first_only else ["p", "b_rank"]

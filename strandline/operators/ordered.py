@@ -163,21 +163,21 @@ def as_of(left: DataFrame, right: DataFrame, left_at: str, right_at: str, by: Se
     rest = [c for c in right.columns if c not in by]
     present = " AND ".join(f"{k} IS NOT NULL" for k in [*keys, "_at"])
     known = right.select(*named(right, right_at), F.struct(*(F.col(f"`{c}`") for c in rest)).alias("_met")).filter(present)
-    known = known.groupBy(*keys, "_at").agg(F.max("_met").alias("_met"))
     rows = left.select(*named(left, left_at), F.struct(*(F.col(f"`{c}`") for c in left.columns)).alias("row"))
     asked, without = rows.filter(present), rows.filter(f"NOT ({present})")
-    place = [*keys, "_slice", "_share"]
-    hot = _hot(asked, known, keys) if cut else None
-    asked, known = (_whole(asked), _whole(known)) if hot is None else _cut(asked, known, keys, hot, direction, _row_hash(left))
+    place, hot = keys, _hot(asked, known, keys) if cut else None
+    if hot is not None:
+        place = [*keys, "_slice", "_share"]
+        asked, known = _cut(asked, known, keys, hot, direction, _row_hash(left))
     nothing = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
     both = asked.select(*place, "_at", F.lit(True).alias("_asks"), "row", nothing(known, "_met")).union(known.select(*place, "_at", F.lit(False), nothing(asked, "row"), "_met"))
     marked = F.when(~F.col("_asks"), F.struct("_at", "_met"))
     over = Window.partitionBy(*place).rowsBetween(Window.unboundedPreceding, 0)
     first = F.col("_asks") if exact else ~F.col("_asks")
     if direction != "forward":
-        both = both.withColumn("_before", F.last(marked, ignorenulls=True).over(over.orderBy("_at", first)))
+        both = both.withColumn("_before", F.last(marked, ignorenulls=True).over(over.orderBy("_at", first, "_met")))
     if direction != "backward":
-        both = both.withColumn("_after", F.last(marked, ignorenulls=True).over(over.orderBy(F.desc("_at"), first)))
+        both = both.withColumn("_after", F.last(marked, ignorenulls=True).over(over.orderBy(F.desc("_at"), first, "_met")))
     if direction == "nearest":
         closer = F.col("_after._at") - F.col("_at") < F.col("_at") - F.col("_before._at")
         near = F.when(F.col("_before").isNull() | closer, F.col("_after")).otherwise(F.col("_before"))
@@ -211,7 +211,8 @@ def _cut(asked: DataFrame, known: DataFrame, keys: list[str], hot: DataFrame, di
     bounds = is_hot(known, "left_semi").groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_at", parts, 10 * HOT_SLICES)).alias("_bounds"))
     bounds = F.broadcast(ended(bounds))
     slices = lambda df: with_count_upto(df.join(bounds, keys), "_slice", "_bounds", "_at", HOT_SLICES).drop("_bounds")
-    hot_asked, hot_known = slices(is_hot(asked, "left_semi")), slices(is_hot(known, "left_semi"))
+    one = is_hot(known, "left_semi").groupBy(*keys, "_at").agg(F.max("_met").alias("_met"))
+    hot_asked, hot_known = slices(is_hot(asked, "left_semi")), slices(one)
     of_slice = hot_asked.groupBy(*keys, "_slice").agg((F.floor((F.count(F.lit(1)) - 1) / SHARE_ROWS) + 1).cast("int").alias("_shares"))
     of_slice = F.broadcast(ended(of_slice))
     slices_met = hot_asked.select(*keys, "_slice").distinct()
