@@ -5,8 +5,10 @@ segment starts a chain whose first 1, 2, 3 and 4 segments differ in at most 0, 1
 stays within its share of the budget. So candidates agree in one segment and differ in at most one bit of the next, are
 dropped as soon as a longer chain is over its share, and meet the full Hamming check as the chain of length four.
 
-The pipeline's stage looks wider: seven bits in eight segments, on shingles of five words. What those links connect is then
-checked pair by pair: only texts whose sets of shingles have a Jaccard similarity of at least 0.8 stay linked.
+The pipeline's stage looks wider: ten fingerprints a text, made of differently mixed hashes of its shingles of five words,
+and seven bits in eight segments for each. Texts with a Jaccard similarity of 0.8 are expected to differ in nine or ten bits,
+so one fingerprint meets about a quarter of such pairs, ten meet over nine tenths. What those links connect is then checked
+pair by pair: only texts whose sets of shingles have a similarity of at least 0.8 stay linked.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ DISTANCE = 3
 SEGMENTS = 4
 #: The pipeline's stage: words of a shingle, bits, segments, least Jaccard similarity of the shingles of two near copies.
 STAGE_SHINGLE, STAGE_DISTANCE, STAGE_SEGMENTS, STAGE_LEAST = 5, 7, 8, 0.8
+#: Fingerprints of a text in the stage, and how many of all texts' may share one segment before it is dealt on.
+STAGE_PRINTS, STAGE_HOT_SEGMENT = 10, 500_000
 #: Keys dealt to one group of the candidate search.
 GROUP_ROWS = 20_000
 #: Fingerprints that may share one segment before their keys are dealt on by the next segment.
@@ -71,6 +75,37 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", sh
     return named.mapInArrow(_fingerprints(shingle), "doc_id long, h long, fp long")
 
 
+def several_prints(text: bytes, shingle: int = STAGE_SHINGLE, prints: int = STAGE_PRINTS) -> np.ndarray:
+    """Fingerprints of a text's set of shingles, each by hashes mixed in another way; the first by the hashes themselves."""
+    h = _shingles(text, shingle)
+    salts = np.arange(prints, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    counts = np.zeros((prints, 64), np.int64)
+    for at in range(0, len(h), 255):  # sums of up to 255 bits fit a byte
+        mixed = _mixed(h[at : at + 255, None] ^ salts)
+        mixed[:, 0] = h[at : at + 255]
+        bits = np.unpackbits(mixed.view(np.uint8).reshape(len(mixed), -1), axis=1, bitorder="little")
+        counts += np.add.reduce(bits, axis=0, dtype=np.uint8).reshape(prints, 64)
+    return np.packbits(2 * counts > len(h), axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Every bit of 64 depends on every other."""
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ x >> np.uint64(shift)) * np.uint64(factor)
+    return x ^ x >> np.uint64(31)
+
+
+def _several(shingle: int, prints: int):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_arrays(batch.column("_text"))
+            raw, cut = memoryview(data), offsets.tolist()
+            found = [several_prints(raw[a:b].tobytes(), shingle, prints).view(np.int64) for a, b in zip(cut, cut[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("h"), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "h", "fps"])
+
+    return work
+
+
 def _turned(fp: np.ndarray, start: np.ndarray, bits: int) -> np.ndarray:
     """Fingerprints with the ring turned so that segment ``start`` comes first, the others after it."""
     shift = (np.uint64(bits) * start.astype(np.uint64)) & np.uint64(63)
@@ -229,10 +264,10 @@ def _alike(a: np.ndarray, b: np.ndarray, least: float) -> bool:
 
 def _checked(distance: int, least: float, shingle: int):
     def work(table: pa.Table) -> pa.Table:
-        """Of the texts (h, fp, _text) of one group, or of two blocks of it: stars (a, b) around the smallest hash of those
+        """Of the texts (h, fps, _text) of one group, or of two blocks of it: stars (a, b) around the smallest hash of those
         that similar pairs connect."""
         table = table.take(pa.array(np.argsort(whole_group(table, "h").to_numpy(), kind="stable")))
-        h, fp = whole_group(table, "h").to_numpy(), whole_group(table, "fp").to_numpy().view(np.uint64)
+        h, fps = whole_group(table, "h").to_numpy(), whole_group(table, "fps").flatten().to_numpy().view(np.uint64).reshape(len(table), -1)
         data, offsets = text_arrays(table.column("_text"))
         raw, at = memoryview(data), offsets.tolist()
         sets = [_shingles(raw[a:b].tobytes(), shingle) for a, b in zip(at, at[1:])]
@@ -240,7 +275,8 @@ def _checked(distance: int, least: float, shingle: int):
         for i in range(len(h)):
             if apart == 1:
                 break
-            for j in (np.flatnonzero((np.bitwise_count(fp[i + 1 :] ^ fp[i]) <= distance) & (label[i + 1 :] != label[i])) + i + 1).tolist():
+            open_ = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+            for j in open_[(np.bitwise_count(fps[open_] ^ fps[i]) <= distance).any(axis=1)].tolist():
                 if label[i] != label[j] and _alike(sets[i], sets[j], least):
                     low, high = sorted((label[i], label[j]))
                     label[label == high] = low
@@ -252,7 +288,7 @@ def _checked(distance: int, least: float, shingle: int):
 
 
 def _in_blocks(texts: DataFrame, block_bytes: int, block_rows: int) -> DataFrame:
-    """``texts`` (root, h, fp, _text) with the columns i and j: what is equal in root, i and j is to be compared.
+    """``texts`` (root, h, fps, _text) with the columns i and j: what is equal in root, i and j is to be compared.
 
     A group of more bytes or rows than a block holds is cut into blocks by hash, and each of its rows goes to every pair of
     blocks that has its own. So a task sees two blocks at most, and any two texts of a group meet.
@@ -265,32 +301,40 @@ def _in_blocks(texts: DataFrame, block_bytes: int, block_rows: int) -> DataFrame
     pairs = F.transform(others, lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
     alone = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j")))
     met = texts.join(large, F.col("root") == F.col("root2"), "left")
-    return met.select("root", "h", "fp", "_text", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("p")).select("root", "p.i", "p.j", "h", "fp", "_text")
+    return met.select("root", "h", "fps", "_text", F.explode(F.when(F.col("blocks").isNull(), alone).otherwise(pairs)).alias("p")).select("root", "p.i", "p.j", "h", "fps", "_text")
 
 
 def similar(
     docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = STAGE_SHINGLE, distance: int = STAGE_DISTANCE, segments: int = STAGE_SEGMENTS, least: float = STAGE_LEAST,
-    block_bytes: int = BLOCK_BYTES, block_rows: int = GROUP_ROWS,
+    block_bytes: int = BLOCK_BYTES, block_rows: int = GROUP_ROWS, prints: int = STAGE_PRINTS, hot_segment: int = STAGE_HOT_SEGMENT,
 ) -> DataFrame:
     """One row (doc_id, h, root) for each of ``docs``: equal root for texts linked by pairs that are within ``distance``
-    bits and whose sets of shingles have a Jaccard similarity of at least ``least``.
+    bits in one of ``prints`` fingerprints and whose sets of shingles have a Jaccard similarity of at least ``least``.
 
+    All fingerprints go through the same search; two that belong to different mixings are as far apart as any two texts'.
     Only texts that their bits connect to another text are read again, one of each; they meet by groups, and of large groups
-    by pairs of blocks. What the tasks find linked is connected by components.
+    by pairs of blocks. What the tasks find linked is connected by components. A null text is empty; equal rows stay.
     """
-    found = stored(near_duplicates(docs, text, doc_id, shingle=shingle, distance=distance, segments=segments), "near")
-    one = found.groupBy("root", "fp", "h").agg(F.min("doc_id").alias("_id"))
-    several = one.groupBy("root").count().filter("count > 1").select(F.col("root").alias("root2"))
-    one = stored(one.join(several, F.col("root") == F.col("root2")).select("_id", F.col("h").alias("_h"), "fp", "root"), "candidates")
+    named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("_text"))
+    narrow = stored(named.mapInArrow(_several(shingle, prints), "doc_id long, h long, fps array<long>"), "prints")
+    texts = narrow.groupBy("h").agg(F.min("doc_id").alias("_id"), F.min("fps").alias("fps"))
+    texts = stored(texts, "distinct")
+    each = texts.select("h", F.explode("fps").alias("fp"))
+    pairs = stored(links(stored(each.select("fp").distinct(), "fps"), hot_segment, GROUP_ROWS, distance, segments), "pairs")
+    reached = components(pairs)
+    placed = each.join(reached, F.col("fp") == F.col("node"), "left").select("h", F.coalesce("component", "fp").alias("at")).distinct()
+    several = placed.groupBy("at").count().filter("count > 1").select(F.col("at").alias("at2"))
+    met = stored(placed.join(several, F.col("at") == F.col("at2")).select(F.col("h").alias("a"), F.col("at").alias("b")), "met")
+    roots = components(met).withColumnRenamed("component", "root")
+    one = stored(texts.join(roots, F.col("h") == F.col("node")).select("_id", F.col("h").alias("_h"), "fps", "root"), "candidates")
     one, meant = row_keys(one, docs, doc_id, text)
-    _, h, fp, root = (one[c] for c in one.columns)
-    texts = docs.join(one, meant).select(root.alias("root"), h.alias("h"), fp.alias("fp"), docs[f"`{text}`"].alias("_text")).dropDuplicates(["root", "h"])
-    texts = stored(texts, "texts")
-    met = _in_blocks(texts, block_bytes, block_rows)
-    alike = stored(met.groupBy("root", "i", "j").applyInArrow(_checked(distance, least, shingle), "a long, b long"), "alike")
-    forget(texts)
+    _, h, fps, root = (one[c] for c in one.columns)
+    found = docs.join(one, meant).select(root.alias("root"), h.alias("h"), fps.alias("fps"), docs[f"`{text}`"].alias("_text")).dropDuplicates(["root", "h"])
+    found = stored(found, "texts")
+    alike = stored(_in_blocks(found, block_bytes, block_rows).groupBy("root", "i", "j").applyInArrow(_checked(distance, least, shingle), "a long, b long"), "alike")
+    forget(found)
     groups = components(alike)
-    return found.join(groups, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("component", "h").alias("root"))
+    return narrow.join(groups, F.col("h") == F.col("node"), "left").select("doc_id", "h", F.coalesce("component", "h").alias("root"))
 
 
 def one_of_each(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
