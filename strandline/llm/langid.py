@@ -280,15 +280,24 @@ def _scored(docs: DataFrame, counts: Counts) -> DataFrame:
     return met.mapInArrow(judged, out)
 
 
-def _monotone(right: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Non-decreasing fit of right/n by pooling neighbours that go down."""
+def _monotone(right: np.ndarray, n: np.ndarray, prior: float) -> np.ndarray:
+    """Non-decreasing fit of right/n: neighbours that go down are pooled, and ``prior`` counts as two more rows of each pool.
+
+    A step has its pool's share of right rows as far as the pool's rows up to that step bear it out: where a pool begins, on few
+    rows, it is nearer to ``prior``.
+    """
     pools: list[list[float]] = []
     for a, b in zip(right, n):
         pools.append([a, b, 1])
         while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
             a, b, k = pools.pop()
             pools[-1] = [pools[-1][0] + a, pools[-1][1] + b, pools[-1][2] + k]
-    return np.concatenate([np.full(int(k), a / b) for a, b, k in pools])
+    out, at = [], 0
+    for a, b, k in pools:
+        seen = np.cumsum(n[at : at + int(k)])
+        out.append((seen * a / b + 2 * prior) / (seen + 2))
+        at += int(k)
+    return np.maximum.accumulate(np.concatenate(out))  # a pool may begin lower than the one before it ends
 
 
 def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", share_types: int = SHARE_TYPES) -> DataFrame:
@@ -296,7 +305,8 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
 
     Only rows that aren't held out and have text and label teach; neither label nor id is an input of a prediction.
     Texts that are null or have no letter are ``und`` with score 0 and rejected, as is all if nothing teaches. score is
-    the calibrated chance of being right. Equal rows are judged alike. An empty table gives an empty table.
+    the calibrated chance of being right. What stands between letters isn't judged: a text that is mostly signs goes by the
+    letters it has. Equal rows are judged alike. An empty table gives an empty table.
     """
     label = F.col(lang).cast("string")
     teach = ~held_out(doc_id) & F.col(doc_id).isNotNull() & label.isNotNull() & F.col(text).isNotNull()
@@ -309,7 +319,7 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: st
     right = (F.col("_lang") == F.col("lang_pred")).cast("int")
     steps = known.groupBy("step").agg(F.sum(right).alias("right"), F.count(F.lit(1)).alias("n")).orderBy("step").collect()  # 161 at most
     chance = 1 / max(1, len(counts.langs))
-    fit = np.interp(np.arange(161), [-1, *(r["step"] for r in steps)], _monotone(np.array([chance, *(r["right"] + 1 for r in steps)]), np.array([1, *(r["n"] + 2 for r in steps)])))
+    fit = np.interp(np.arange(161), [-1, *(r["step"] for r in steps)], _monotone(np.array([chance, *(r["right"] for r in steps)]), np.array([1, *(r["n"] for r in steps)]), chance))
     least = chance + LEAST_OVER_CHANCE * (1 - chance) if len(counts.langs) > 1 else 0.0
     usual = known.filter("_lang = lang_pred").groupBy("lang_pred").agg((F.percentile(F.round("entropy", 3), F.lit(QUANTILE)) + MOST_BITS).alias("most"))
     ceiling = {r["lang_pred"]: r["most"] for r in usual.collect()}  # one for each language

@@ -429,3 +429,20 @@ def test_depths(spark):
     df = spark.createDataFrame([(c, str(i), [str(w) for w in ws]) for c in (1, 2) for i, ws in after.items()], "conv_id long, call_id string, after array<string>")
     got = chat._depths(df).collect()
     assert sorted((r.conv_id, int(r.call_id), r.depth) for r in got) == sorted((c, i, d) for c in (1, 2) for i, d in depth.items())
+
+
+def test_scores_are_right_as_often_as_they_say(spark):
+    """On documents that nothing was learned from, by buckets of the score."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    found = langid.identify(docs).filter("held_out").select("doc_id", "lang_pred", "score").join(docs.select("doc_id", "lang"), "doc_id").filter("lang IS NOT NULL AND lang_pred <> 'und'").toPandas()
+    found["right"], found["bucket"] = found.lang == found.lang_pred, found.score.round(2)
+    for bucket, own in found.groupby("bucket"):
+        if len(own) >= 200:
+            assert abs(own.right.mean() - own.score.mean()) < 0.01, (bucket, len(own), own.right.mean())
+    assert abs(found.right.mean() - found.score.mean()) < 0.01 and found.score.max() > 0.99
+
+
+def test_a_prior_counts_once_a_pool():
+    fit = langid._monotone(np.array([1, 0, 5, 60, 30, 3]), np.array([2, 2, 10, 60, 30, 3]), 0.25)
+    assert np.allclose(fit, [1 / 4, 1.5 / 6, 5.5 / 12, 60.5 / 62, 90.5 / 92, 93.5 / 95])
+    assert (np.diff(langid._monotone(np.array([99, 1]), np.array([100, 1]), 0.25)) >= 0).all()
