@@ -6,8 +6,7 @@ import subprocess
 import sys
 from pathlib import Path
 
-import numpy as np
-from test_dedup import plain_prints, removed_by_hand
+from test_dedup import removed_by_hand, stage_groups
 from test_texts import packed_right
 
 import __spark_entry__
@@ -19,11 +18,6 @@ ROOT = Path(corpus_pipeline.__file__).parent
 ASCII_WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def shingles(text, size):
-    words = ASCII_WORD.findall(text.lower())
-    return {tuple(words[i : i + size]) for i in range(len(words) - size + 1)} or {tuple(words)}
-
-
 def test_stages(spark, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     columns, inputs = docs.columns, {}
@@ -39,13 +33,7 @@ def test_stages(spark, tmp_path):
     assert {r.doc_id for r in read(names[0])} == {r.doc_id for r in inputs[names[0]]} - rejected
 
     rows = sorted(inputs[names[1]], key=lambda r: r.doc_id)
-    prints = np.array([plain_prints(r.text) for r in rows], np.uint64)
-    grams = [shingles(r.text, 5) for r in rows]
-    first = list(range(len(rows)))
-    for i, j in ((i, int(j)) for i in range(len(rows)) for j in np.flatnonzero((np.bitwise_count(prints ^ prints[i]) <= 7).any(axis=1)) if j > i):
-        if len(grams[i] & grams[j]) >= 0.8 * len(grams[i] | grams[j]) and first[i] != first[j]:
-            low, high = sorted((first[i], first[j]))
-            first = [low if x == high else x for x in first]
+    first = stage_groups([r.text for r in rows])
     assert sorted(r.doc_id for r in read(names[1])) == [rows[i].doc_id for i in sorted(set(first))]
 
     rows = [(r.doc_id, r.text) for r in inputs[names[2]]]
