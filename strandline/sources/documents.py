@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import email
+import email.message
 import email.policy
 import io
 import os
@@ -12,6 +13,7 @@ from collections.abc import Iterator
 from fnmatch import fnmatch
 from html.parser import HTMLParser
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
 import pandas as pd
 import pyarrow as pa
@@ -123,6 +125,42 @@ def _printable(raw: bytes) -> str:
 READERS = {".docx": _docx, ".odt": _odt, ".html": lambda b: visible_text(_plain(b)), ".htm": lambda b: visible_text(_plain(b)), ".xml": _xml, ".eml": _eml, ".txt": _plain, ".log": _plain, ".csv": _plain, ".tsv": _plain}
 
 
+def _zipped(member: str, content: str) -> bytes:
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr(member, content)
+    return out.getvalue()
+
+
+def _as_docx(text: str) -> bytes:
+    lines = "".join(f"<w:p><w:r><w:t xml:space='preserve'>{escape(x)}</w:t></w:r></w:p>" for x in text.split("\n"))
+    return _zipped("word/document.xml", f"<w:document xmlns:w='{_W[1:-1]}'><w:body>{lines}</w:body></w:document>")
+
+
+def _as_odt(text: str) -> bytes:
+    lines = "".join(f"<text:p>{escape(x)}</text:p>" for x in text.split("\n"))
+    return _zipped("content.xml", f"<office:document-content xmlns:office='urn:oasis:names:tc:opendocument:xmlns:office:1.0' xmlns:text='urn:oasis:names:tc:opendocument:xmlns:text:1.0'>{lines}</office:document-content>")
+
+
+def _as_eml(text: str) -> bytes:
+    message = email.message.EmailMessage()
+    message.set_content(text)
+    return message.as_bytes()
+
+
+WRITERS = {
+    "docx": _as_docx, "odt": _as_odt, "eml": _as_eml, "html": lambda t: "".join(f"<p>{escape(x)}</p>" for x in t.split("\n")).encode(),
+    "xml": lambda t: ("<d>" + "".join(f"<l>{escape(x)}</l>" for x in t.split("\n")) + "</d>").encode(),
+}
+
+
+def written(text: Column, kind: Column) -> Column:
+    """The bytes of a document of a kind (docx, odt, eml, html, xml; else plain UTF-8) with a paragraph for each line."""
+    work = lambda texts, kinds: pd.Series([None if t is None else WRITERS.get(k, str.encode)(t) for t, k in zip(texts, kinds)])
+    work.__annotations__ = {"texts": pd.Series, "kinds": pd.Series, "return": pd.Series}
+    return F.pandas_udf(work, "binary")(text, kind)
+
+
 def can_read(extension: str) -> bool:
     return extension.lower() in READERS
 
