@@ -219,10 +219,10 @@ def links(fps: DataFrame, hot_segment: int = HOT_SEGMENT, group_rows: int = GROU
     groups = parts(segments * total, group_rows)
     dealt = F.pmod(F.xxhash64("start", "segment"), F.lit(groups)).alias("lot")
     none, yes = F.lit(None).cast("long").alias("near"), F.lit(True).alias("own")
-    if total <= hot_segment:
+    full = stored(keys.groupBy("start", "segment").count().filter(F.col("count") > hot_segment).select("start", "segment", F.lit(True).alias("is_hot")), "hot")
+    if full.isEmpty():
         rows = keys.select("fp", "start", none, yes, dealt)
     else:
-        full = keys.groupBy("start", "segment").count().filter(F.col("count") > hot_segment).select("start", "segment", F.lit(True).alias("is_hot"))
         marked = keys.join(full, ["start", "segment"], "left").withColumn("following", following)
         flips = F.array(*[F.lit(k).cast("long") for k in (0, *(1 << b for b in range(bits)))])
         spread = marked.filter("is_hot").select("fp", "start", "segment", "following", F.explode(flips).alias("flip"))
