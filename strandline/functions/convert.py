@@ -225,3 +225,12 @@ def spark_type(sql_type: str) -> str:
     if name in ("DECIMAL", "NUMERIC", "DEC"):
         return f"decimal({rest.rstrip(')').replace(' ', '') or '10,0'})"
     return _SPARK_TYPES.get(name, "string")
+
+
+def spark_types(text: Column) -> Column:
+    """``spark_type`` of a column of SQL types."""
+    name = F.upper(split_sql_type(without_collation(text))["name"])
+    known = F.create_map(*(F.lit(x) for pair in _SPARK_TYPES.items() for x in pair))
+    digits = F.regexp_replace(F.regexp_extract(text, r"\(([^)]*)\)", 1), " ", "")
+    exact = F.concat(F.lit("decimal("), F.when(digits == "", "10,0").otherwise(digits), F.lit(")"))
+    return F.when(name.isin("DECIMAL", "NUMERIC", "DEC"), exact).otherwise(F.coalesce(F.try_element_at(known, name), F.lit("string")))

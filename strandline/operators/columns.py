@@ -52,6 +52,16 @@ def described(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, "place int, name string, type string, nullable boolean")
 
 
+def profiled(df: DataFrame) -> DataFrame:
+    """Rows (place, name, type, n, nulls, values) of the columns: how many rows, nulls and values each has, in one pass."""
+    each = [
+        F.struct(F.lit(k).alias("place"), F.lit(f.name).alias("name"), F.lit(f.dataType.simpleString()).alias("type"), F.count(F.lit(1)).alias("n"),
+                 F.count_if(F.col(f"`{f.name}`").isNull()).alias("nulls"), F.count_distinct(F.col(f"`{f.name}`")).alias("values"))
+        for k, f in enumerate(df.schema)
+    ]
+    return df.agg(F.array(*each).alias("_c")).select(F.inline("_c"))
+
+
 def same_columns(a: DataFrame, b: DataFrame, with_names: bool = True) -> bool:
     """Whether two tables have columns of equal types, in order, and of equal names in any case."""
     key = lambda df: [(n.lower() if with_names else "", t) for n, t in df.dtypes]

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.columns import create_statement
 from strandline.operators.storage import ended
 
 
@@ -55,6 +56,13 @@ def rows_and_names(spark: SparkSession, sql: str, **args) -> tuple[list, list[st
     return df.collect(), df.columns
 
 
+def statement(spark: SparkSession, sql: str, tables: dict[str, DataFrame] | None = None, **args) -> DataFrame:
+    """A statement's rows, under its names, as a table: nothing passes the driver. ``tables`` stand in it as {name}, ``args`` as :name."""
+    if not isinstance(sql, str):
+        raise ValueError("SQL must be text")
+    return spark.sql(sql, args=args or None, **(tables or {}))
+
+
 def upsert(old: DataFrame, new: DataFrame, key: Sequence[str]) -> DataFrame:
     """Rows of ``new`` replace those of ``old`` with equal keys or are added; columns that ``new`` lacks stay.
 
@@ -141,11 +149,21 @@ def union_checked(*tables: DataFrame) -> DataFrame:
 
 def insert_statements(df: DataFrame, table: str) -> DataFrame:
     """Each row as an INSERT statement: a column ``statement``."""
+    return df.select(_insert(df, table).alias("statement"))
+
+
+def _insert(df: DataFrame, table: str) -> Column:
     quoted = lambda c: F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("''")), F.lit("'"))
     plain = {"tinyint", "smallint", "int", "bigint", "float", "double", "boolean"}
-    values = [F.coalesce(F.col(c).cast("string") if t in plain or t.startswith("decimal") else quoted(F.col(c).cast("string")), F.lit("NULL")) for c, t in df.dtypes]
+    values = [F.coalesce(F.col(f"`{c}`").cast("string") if t in plain or t.startswith("decimal") else quoted(F.col(f"`{c}`").cast("string")), F.lit("NULL")) for c, t in df.dtypes]
     names = ", ".join(f"`{c}`" for c in df.columns)
-    return df.select(F.concat(F.lit(f"INSERT INTO `{table}` ({names}) VALUES ("), F.concat_ws(", ", *values), F.lit(");")).alias("statement"))
+    return F.concat(F.lit(f"INSERT INTO `{table}` ({names}) VALUES ("), F.concat_ws(", ", *values), F.lit(");"))
+
+
+def dump_script(df: DataFrame, table: str, order: Sequence[str]) -> DataFrame:
+    """Rows (place, statement) of a script that makes the table and its rows, in order: place 0 is the CREATE statement."""
+    first = df.sparkSession.range(1).select(F.lit(0).cast("long").alias("place"), F.lit(create_statement(df, table) + ";").alias("statement"))
+    return first.union(running_sum(df, order, F.lit(1), "_place").select(F.col("_place").cast("long"), _insert(df, table)))
 
 
 def require_same(df: DataFrame, key: Sequence[str], columns: Sequence[str], ignore_null: bool = False) -> DataFrame:

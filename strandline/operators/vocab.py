@@ -80,6 +80,23 @@ def ancestors(edges: DataFrame, starts: DataFrame, relationships: Sequence[str]
     return found if most is None else found.filter(F.col("generation") <= most)
 
 
+def dependencies_in_layers(edges: DataFrame) -> DataFrame:
+    """Rows (name, layer) over edges (child, parent) without rings: one more than the largest layer of what a name depends on, 0
+    for names without a parent. Longest paths double as ``ancestors``' shortest do; a ring is an error."""
+    own = edges.filter("child IS NOT NULL AND parent IS NOT NULL").select("child", "parent", F.lit(1).alias("steps")).distinct()
+    pairs, reach = ended(own, "layers"), 1
+    while (pairs.agg(F.max("steps")).first()[0] or 0) >= reach:
+        if not pairs.filter("child = parent").isEmpty():
+            raise ValueError("names depend on each other in a ring")
+        above = pairs.select(F.col("child").alias("parent"), F.col("parent").alias("_up"), F.col("steps").alias("_more"))
+        step = pairs.join(above, "parent").select("child", F.col("_up").alias("parent"), (F.col("steps") + F.col("_more")).alias("steps"))
+        before, pairs = pairs, ended(pairs.union(step).groupBy("child", "parent").agg(F.max("steps").alias("steps")), "layers")
+        forget(before)
+        reach *= 2
+    named = pairs.select(F.col("child").alias("name"), "steps").union(pairs.select("parent", F.lit(0)))
+    return named.groupBy("name").agg(F.max("steps").alias("layer"))
+
+
 def category(entities: DataFrame, edges: DataFrame, categories: DataFrame, manual: DataFrame | None = None) -> DataFrame:
     """Rows (entity, category): set by hand (entity, category), else itself or an ancestor, the first by ordinal.
 

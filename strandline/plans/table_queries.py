@@ -272,3 +272,34 @@ def flattened_lists(spark, sf_dir):
 def raw_statement(spark, sf_dir):
     rows, names = sqlops.rows_and_names(spark, "SELECT count(*) AS n, min(c_custkey) AS least, max(c_name) AS last FROM parquet.`" + f"{sf_dir}/customer.parquet" + "` WHERE c_nationkey = :nation", nation=3)
     return spark.createDataFrame(rows, "n bigint, least bigint, last string").toDF(*names)
+
+
+@query("""SELECT c_custkey, c_name, c_acctbal * 2 AS twice FROM customer WHERE c_nationkey = 3 AND c_acctbal > 10.5""")
+def statement_rows(spark, sf_dir):
+    """A statement with values and a table put in; its rows stay a table."""
+    return sqlops.statement(spark, "SELECT c_custkey, c_name, c_acctbal * 2 AS twice FROM {people} WHERE c_nationkey = :nation AND c_acctbal > :least", {"people": table(spark, sf_dir, "customer")}, nation=3, least=10.5)
+
+
+@query("""SELECT 0 AS place, 'o_orderkey' AS name, 'bigint' AS type, count(*) AS n, count(*) FILTER (o_orderkey IS NULL) AS nulls, count(DISTINCT o_orderkey) AS "values" FROM orders
+    UNION ALL SELECT 1, 'o_orderpriority', 'string', count(*), count(*) FILTER (o_orderpriority IS NULL), count(DISTINCT o_orderpriority) FROM orders
+    UNION ALL SELECT 2, 'late', 'date', count(*), count(*) FILTER (o_custkey % 3 <> 0), count(DISTINCT CASE WHEN o_custkey % 3 = 0 THEN CAST(o_orderdate AS DATE) END) FROM orders""")
+def column_profile(spark, sf_dir):
+    """Columns with their types, nulls and values."""
+    orders = table(spark, sf_dir, "orders")
+    return columns.profiled(orders.select("o_orderkey", "o_orderpriority", F.when(F.col("o_custkey") % 3 == 0, F.to_date("o_orderdate")).alias("late")))
+
+
+@query("""SELECT 0 AS place, 'CREATE TABLE `people` (`c_custkey` BIGINT, `c_name` STRING, `c_nationkey` INT);' AS statement UNION ALL
+    SELECT row_number() OVER (ORDER BY c_custkey), 'INSERT INTO `people` (`c_custkey`, `c_name`, `c_nationkey`) VALUES (' || c_custkey || ', ''' || replace(c_name, '''', '''''') || ''', ' || coalesce(CAST(c_nationkey AS VARCHAR), 'NULL') || ');' FROM customer""")
+def dumped_script(spark, sf_dir):
+    """A script that makes a table and all its rows, in order."""
+    return sqlops.dump_script(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey"), "people", ["c_custkey"])
+
+
+@query("""WITH RECURSIVE e(child, parent) AS (SELECT DISTINCT 'orders' || o_orderkey % 5, 'customer' || o_custkey % 4 FROM orders UNION SELECT DISTINCT 'customer' || c_custkey % 4, 'nation' || c_nationkey % 3 FROM customer),
+    d AS (SELECT child AS name, 0 AS depth FROM e UNION SELECT parent, 0 FROM e UNION SELECT e.child, d.depth + 1 FROM d JOIN e ON d.name = e.parent) SELECT name, max(depth) AS layer FROM d GROUP BY name""")
+def dependency_layers(spark, sf_dir):
+    """Names that depend on each other as rows of tables do, in layers."""
+    child = lambda t, c, n: F.concat(F.lit(t), (F.col(c) % n).cast("string"))
+    pairs = table(spark, sf_dir, "orders").select(child("orders", "o_orderkey", 5), child("customer", "o_custkey", 4)).union(table(spark, sf_dir, "customer").select(child("customer", "c_custkey", 4), child("nation", "c_nationkey", 3)))
+    return vocab.dependencies_in_layers(pairs.toDF("child", "parent"))

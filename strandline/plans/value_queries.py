@@ -9,7 +9,7 @@ from strandline.operators import columns
 from strandline.plans.registry import query, table
 from strandline.sources.delimited import cell
 
-#: SQL type, name, length, date, text, text of 1000, binary, numeric, whole number, known, Spark type.
+#: SQL type, name, length, date, text, text of 1000, binary, numeric, whole number, known, Spark type.
 _TYPES = [
     ("BIGINT", "BIGINT", None, False, False, False, False, True, True, True, "bigint"),
     ("NVARCHAR(32)", "NVARCHAR", 32, False, True, False, False, False, False, True, "string"),
@@ -30,15 +30,39 @@ _sql = lambda v: "NULL" if v is None else repr(v).upper() if isinstance(v, bool)
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"({', '.join(map(_sql, [*r, r[0].split(' COLLATE')[0]]))})" for r in _TYPES) + ") t(sql_type, name, length, is_date, is_text, is_long_text, is_binary, is_numeric, is_integer, is_known, spark_type, bare)")
 def sql_types(spark, sf_dir):
+    return _read_types(spark.createDataFrame([(r[0], convert.spark_type(r[0])) for r in _TYPES], "sql_type string, spark_type string"))
+
+
+def _read_types(kinds, *keys):
     t = F.col("sql_type")
-    kinds = spark.createDataFrame([(r[0], convert.spark_type(r[0])) for r in _TYPES], "sql_type string, spark_type string")
     own, within = convert.split_sql_type(t), convert.sql_type_is
     return kinds.select(
-        t, own["name"].alias("name"), own["length"].alias("length"), within(t, convert.SQL_DATE).alias("is_date"), within(t, convert.SQL_TEXT).alias("is_text"), convert.merits_fulltext(t).alias("is_long_text"), within(t, convert.SQL_BINARY).alias("is_binary"),
+        *keys, t, own["name"].alias("name"), own["length"].alias("length"), within(t, convert.SQL_DATE).alias("is_date"), within(t, convert.SQL_TEXT).alias("is_text"), convert.merits_fulltext(t).alias("is_long_text"), within(t, convert.SQL_BINARY).alias("is_binary"),
         within(t, convert.SQL_NUMBER).alias("is_numeric"), within(t, convert.SQL_INTEGER).alias("is_integer"), convert.is_sql_type(t).alias("is_known"), "spark_type", convert.without_collation(t).alias("bare"),
     )
 
 
+#: Families of types as SQL lists.
+_in = lambda family: "(" + ", ".join(f"'{x}'" for x in family) + ")"
+
+
+@query(rf"""WITH n AS (SELECT c_custkey, ['CHAR(' || n || ')', 'VARCHAR(' || n || ')', 'TEXT', 'DECIMAL(' || (1 + n % 38) || ', 2)', 'BIGINT', 'DATE', 'VARBINARY(' || n || ')', 'unknown', 'NVARCHAR(' || n || ') COLLATE x', 'DOUBLE'][1 + c_custkey % 10] AS sql_type
+        FROM (SELECT c_custkey, c_custkey * 7 % 3000 + 1 AS n FROM customer)),
+    s AS (SELECT *, trim(split_part(sql_type, '(', 1)) AS name, TRY_CAST(regexp_extract(sql_type, '^[^(]*\((\d+)\)', 1) AS INTEGER) AS length FROM n)
+    SELECT c_custkey, sql_type, name, length, name IN {_in(convert.SQL_DATE)} AS is_date, name IN {_in(convert.SQL_TEXT)} AS is_text, name IN {_in(convert.SQL_TEXT)} AND (length IS NULL OR length >= 1000) AS is_long_text,
+        name IN {_in(convert.SQL_BINARY)} AS is_binary, name IN {_in(convert.SQL_NUMBER)} AS is_numeric, name IN {_in(convert.SQL_INTEGER)} AS is_integer, name <> 'unknown' AS is_known,
+        CASE name WHEN 'DECIMAL' THEN 'decimal(' || regexp_extract(sql_type, '\((\d+), 2', 1) || ',2)' WHEN 'BIGINT' THEN 'bigint' WHEN 'DATE' THEN 'date' WHEN 'VARBINARY' THEN 'binary' WHEN 'DOUBLE' THEN 'double' ELSE 'string' END AS spark_type,
+        split_part(sql_type, ' COLLATE', 1) AS bare FROM s""")
+def sql_types_by_row(spark, sf_dir):
+    """A type of each customer's own, with lengths and digits that vary."""
+    n = F.expr("CAST(c_custkey * 7 % 3000 + 1 AS STRING)")
+    with_n = lambda name, rest=")": F.concat(F.lit(f"{name}("), n, F.lit(rest))
+    digits = F.concat(F.lit("DECIMAL("), F.expr("CAST(1 + (c_custkey * 7 % 3000 + 1) % 38 AS STRING)"), F.lit(", 2)"))
+    forms = F.array(with_n("CHAR"), with_n("VARCHAR"), F.lit("TEXT"), digits, F.lit("BIGINT"), F.lit("DATE"), with_n("VARBINARY"), F.lit("unknown"), with_n("NVARCHAR", ") COLLATE x"), F.lit("DOUBLE"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.get(forms, (F.col("c_custkey") % 10).cast("int")).alias("sql_type"))
+    return _read_types(rows.withColumn("spark_type", convert.spark_types(F.col("sql_type"))), "c_custkey")
+
+
 @query("""SELECT o_orderkey, '''' || strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') || '''' AS at, '-- ' || o_orderpriority AS note, o_orderpriority AS plain, '`' || replace(o_orderstatus || '`', '`', '``') || '`' AS identifier,
     true AS is_name, [o_orderpriority, o_orderstatus || ',x'] AS items FROM orders""")
 def sql_texts(spark, sf_dir):

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from strandline.operators import merging, patterns
+from strandline.operators import merging, patterns, vocab
 
 
 def test_rings_and_references_to_itself(spark):
@@ -65,3 +65,13 @@ def test_first_rule_wins(spark):
     assert {r.found for r in patterns.classify(df.filter("label = 'zzz'"), "label", [("", "any")], label="found").collect()} == {"any"}
     with pytest.raises(ValueError):
         patterns.classify(df, "label", [("a", 1)])
+
+
+def test_dependencies_in_layers(spark):
+    edges = lambda rows: spark.createDataFrame(rows, "child string, parent string")
+    found = vocab.dependencies_in_layers(edges([("d", "c"), ("c", "b"), ("b", "a"), ("d", "a"), ("e", "d"), ("x", "a"), ("d", "c"), (None, "a")]))
+    assert {r.name: r.layer for r in found.collect()} == {"a": 0, "b": 1, "c": 2, "d": 3, "e": 4, "x": 1}
+    assert vocab.dependencies_in_layers(edges([])).collect() == []
+    for ring in ([("a", "a")], [("a", "b"), ("b", "c"), ("c", "a")]):
+        with pytest.raises(ValueError, match="ring"):
+            vocab.dependencies_in_layers(edges(ring))
