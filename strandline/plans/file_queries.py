@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.operators.storage import new_folder
 from strandline.plans.registry import query, table
-from strandline.sources import archives, delimited, documents
+from strandline.sources import archives, delimited, documents, encodings
 
 
 @query("SELECT page_id, strlen(html) AS size, md5(html) AS digest FROM pages WHERE html IS NOT NULL AND page_id IS NOT NULL")
@@ -99,3 +99,15 @@ def listed_files(spark, sf_dir):
     files = delimited.list_files(spark, folder, "*.csv").select(F.regexp_extract("path", "c_mktsegment=([^/]*)/", 1).alias("segment"), documents.extension(F.col("path")).alias("extension")).distinct()
     rows = spark.read.csv(folder).groupBy(F.col("c_mktsegment").alias("segment")).agg(F.count(F.lit(1)).alias("n"))
     return files.join(rows, "segment").select("segment", "n", "extension")
+
+
+_CHARSETS = ("utf-8", "utf-16-le", "cp1252", "mac-roman", "cp850")
+
+
+@query(f"""SELECT page_id, charset, md5(html) AS digest FROM pages, (VALUES {", ".join(f"('{c}')" for c in _CHARSETS)}) c(charset) WHERE html IS NOT NULL""")
+def pages_of_unknown_encoding(spark, sf_dir):
+    """Pages as bytes of five encodings, decoded again without being told which; pairs are counted in another table."""
+    bits = encodings.pair_bits(F.col("text"), table(spark, sf_dir, "documents"))
+    pages = table(spark, sf_dir, "pages").filter("html IS NOT NULL").select("page_id", "html", F.explode(F.array(*map(F.lit, _CHARSETS))).alias("charset"))
+    raw = pages.select("page_id", "charset", encodings.encoded(F.col("html"), F.col("charset")).alias("content"))
+    return raw.select("page_id", "charset", F.md5(encodings.texts(F.col("content"), bits).cast("binary")).alias("digest"))
