@@ -72,3 +72,13 @@ def iso_to_utc(text: Column) -> Column:
 def excel_datetime(serial: Column) -> Column:
     """A spreadsheet's day number as a time."""
     return F.lit("1899-12-30").cast("timestamp_ntz") + F.make_dt_interval(F.floor(serial).cast("int"), secs=F.round((serial - F.floor(serial)) * 86400, 6).cast("decimal(18,6)"))
+
+
+def utc_micros(local: Column, zone: str) -> Column:
+    """A time of a zone as it is kept: UTC, without a zone, to the microsecond."""
+    return F.convert_timezone(F.lit(zone), F.lit("UTC"), local.cast("timestamp_ntz"))
+
+
+def from_utc_micros(kept: Column, zone: str) -> Column:
+    """A time that is kept so, in a zone."""
+    return F.convert_timezone(F.lit("UTC"), F.lit(zone), kept)

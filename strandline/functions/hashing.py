@@ -151,3 +151,48 @@ def to_signed(value: Column, bits: int) -> Column:
 def to_unsigned(value: Column, bits: int) -> Column:
     v = value.cast("decimal(20,0)")
     return F.when(v < 0, v + F.lit(1 << bits).cast("decimal(20,0)")).otherwise(v)
+
+
+#: Factors, rotations and summands of MurmurHash3 (x86, 128 bits), a lane each.
+_FACTORS = (0x239B961B, 0xAB0E9789, 0x38B34AE5, 0xA1E38B93)
+_TURNS, _LANE_TURNS = (15, 16, 17, 18), (19, 17, 15, 13)
+_SUMMANDS = (0x561CCD1B, 0x0BCAA747, 0x96CD1C35, 0x32AC3B17)
+
+
+def murmur3_x86_128_many(values: list[bytes], seed: int = 0) -> np.ndarray:
+    """MurmurHash3 (x86, 128 bits) of many values at once: four lanes of 32 bits each, the lowest first."""
+    sizes = np.array([len(v) for v in values], np.int64)
+    width = int(max([0, *sizes.tolist()])) // 16 + 1
+    words = np.frombuffer(b"".join(v.ljust(16 * width, b"\0") for v in values), "<u4").reshape(len(values), width, 4)
+    lanes = np.full((4, len(values)), seed, np.uint32)
+    turned = lambda x, n: x << np.uint32(n) | x >> np.uint32(32 - n)
+    mixed = lambda k, j: turned(k * np.uint32(_FACTORS[j]), _TURNS[j]) * np.uint32(_FACTORS[(j + 1) % 4])
+    for block in range(width):
+        own = np.flatnonzero(sizes >= 16 * (block + 1))
+        if not len(own):
+            break
+        for j in range(4):
+            h = turned(lanes[j, own] ^ mixed(words[own, block, j], j), _LANE_TURNS[j])
+            lanes[j, own] = (h + lanes[(j + 1) % 4, own]) * np.uint32(5) + np.uint32(_SUMMANDS[j])
+    tail = words[np.arange(len(values)), sizes // 16]  # an empty tail mixes in nothing
+    for j in range(4):
+        lanes[j] ^= mixed(tail[:, j], j) ^ sizes.astype(np.uint32)
+    for finish in (True, False):
+        lanes[0] += lanes[1] + lanes[2] + lanes[3]
+        lanes[1:] += lanes[0]
+        if finish:
+            for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+                lanes = (lanes ^ lanes >> np.uint32(shift)) * np.uint32(factor)
+            lanes ^= lanes >> np.uint32(16)
+    return lanes.T
+
+
+def murmur128_x86(seed: int = 0):
+    """Arrow UDF: the 128-bit MurmurHash3 (x86) of the text in UTF-8, as 32 hex digits, the highest lane first."""
+
+    def work(texts: pd.Series) -> pd.Series:
+        known = texts.dropna()
+        found = murmur3_x86_128_many([s.encode() for s in known], seed)[:, ::-1] if len(known) else []
+        return pd.Series(["".join(f"{x:08x}" for x in row) for row in found], known.index, dtype=object).reindex(texts.index).where(texts.notna(), None)
+
+    return F.pandas_udf(work, "string")

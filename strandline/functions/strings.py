@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import unicodedata
 from collections.abc import Sequence
 
@@ -241,3 +242,33 @@ def multiple_replace(replacements: dict[str, str]):
         return texts.str.replace(pattern, lambda m: replacements[m.group()], regex=True)
 
     return F.pandas_udf(work, "string")
+
+
+def line_added(text: Column, line: str) -> Column:
+    """The text with a line at its end, unless it has that line already; null counts as empty."""
+    own = F.coalesce(text, F.lit(""))
+    gap = F.when((own == "") | own.endswith("\n"), "").otherwise("\n")
+    return F.when(F.array_contains(F.split(own, "\n"), line), own).otherwise(F.concat(own, gap, F.lit(line + "\n")))
+
+
+def concatenated(df: DataFrame, key: str, order: str, text: str) -> DataFrame:
+    """Rows (key, text): each key's texts one behind the other, in order (of equal ones the smaller first)."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(text).alias("t")))), lambda x: x["t"])
+    return df.groupBy(key).agg(F.array_join(parts, "").alias(text))
+
+
+def random_text(length: int, *key: Column, characters: str = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", seed: int = 0) -> Column:
+    """Characters drawn by a hash of the key: the same for the same key and seed."""
+    letters = F.array(*map(F.lit, characters))
+    draw = lambda k: F.get(letters, F.pmod(F.xxhash64(*key, F.lit(seed), k), F.lit(len(characters))).cast("int"))
+    return F.array_join(F.transform(F.sequence(F.lit(1), F.lit(length)), draw), "") if length else F.lit("")
+
+
+def gzipped():
+    """Arrow UDF: the text in UTF-8, compressed; equal texts give equal bytes."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else gzip.compress(x.encode(), mtime=0)), "binary")
+
+
+def gunzipped():
+    """Arrow UDF: the text that was compressed."""
+    return F.pandas_udf(lambda s: s.map(lambda x: None if x is None else gzip.decompress(x).decode()), "string")

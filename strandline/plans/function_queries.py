@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from strandline.functions import tables
+from pyspark.sql import functions as F
+
+from strandline.functions import dates, expressions, hashing, strings, tables
 from strandline.plans.registry import query, table
 
 
@@ -43,3 +45,47 @@ def sql_functions(spark, sf_dir):
     return spark.sql("""SELECT c_custkey, blank_to_null(CASE WHEN c_custkey % 3 = 0 THEN '  ' ELSE c_name END) AS name, first_of_month(date_add(DATE'2024-03-01', CAST(c_custkey % 27 AS INT))) AS month,
         age_at(date_add(DATE'1980-01-01', CAST(c_custkey % 300 AS INT)), DATE'2020-06-14') AS age, overlap_days(DATE'2024-01-01', DATE'2024-01-11', date_add(DATE'2024-01-01', CAST(c_custkey % 20 AS INT)), DATE'2024-03-01') AS shared,
         round(logit((c_custkey % 10) / 10D), 9) AS odds FROM {customer}""", customer=table(spark, sf_dir, "customer"))
+
+
+@query("""WITH c AS (SELECT c_custkey, c_custkey + 100000 AS id, c_name, c_nationkey, c_acctbal FROM customer)
+    SELECT c_custkey AS id, id || ' |' || c_name || '| + ' || (id + 7) || CASE WHEN c_nationkey % 3 = 0 THEN '' ELSE ' : 363698007 |Finding site| = "a \\"' || c_name || '\\"\\t"' || CASE WHEN c_nationkey % 3 = 1 THEN '' ELSE ', 246112005 |Severity| = #' || c_nationkey END
+        || ', { 408729009 |Context| = ( ' || (id + 9) || ' ) }' END AS expression FROM c""")
+def concept_expressions(spark, sf_dir):
+    """An expression for each customer: two concepts, attributes with a text and a number, and a group with an expression in it."""
+    c = table(spark, sf_dir, "customer").withColumn("concept", F.col("c_custkey") + 100000)
+    focus = c.select(F.col("c_custkey").alias("id"), F.lit(1).alias("place"), expressions.concept_reference(F.col("concept"), F.col("c_name")).alias("concept"))
+    focus = focus.union(c.select("c_custkey", F.lit(2), expressions.concept_reference(F.col("concept") + 7)))
+    name = lambda number, term: expressions.concept_reference(F.lit(number), F.lit(term)).alias("name")
+    own = lambda k, group, place, names, value: c.filter(F.col("c_nationkey") % 3 >= k).select(F.col("c_custkey").alias("id"), F.lit(group).cast("int").alias("group"), F.lit(place).alias("place"), names, value.alias("value"))
+    texts = own(1, None, 1, name(363698007, "Finding site"), expressions.value_text(text=F.concat(F.lit('a "'), "c_name", F.lit('"\t'))))
+    numbers = own(2, None, 2, name(246112005, "Severity"), expressions.value_text(number=F.col("c_nationkey")))
+    nested = own(1, 1, 1, name(408729009, "Context"), expressions.value_text(expression=expressions.concept_reference(F.col("concept") + 9)))
+    return expressions.expressions(focus, texts.union(numbers).union(nested))
+
+
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'a' || chr(10) || 'fixed' || chr(10) || 'z' ELSE 'a' || chr(10) || c_mktsegment || chr(10) || 'fixed' || chr(10) END AS text, true AS same FROM customer""")
+def lines_added_and_compressed(spark, sf_dir):
+    """A line added where it is absent; the texts are compressed and read again."""
+    own = F.when(F.col("c_custkey") % 2 == 0, F.lit("a\nfixed\nz")).otherwise(F.concat(F.lit("a\n"), "c_mktsegment"))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", strings.line_added(own, "fixed").alias("text"))
+    packed = rows.withColumn("packed", strings.gzipped()(F.col("text")))
+    return packed.select("c_custkey", strings.gunzipped()(F.col("packed")).alias("text"), (F.hex(F.substring("packed", 1, 2)) == "1F8B").alias("same"))
+
+
+@query("SELECT c_nationkey, string_agg(c_name || ';', '' ORDER BY c_custkey) AS text FROM customer GROUP BY 1")
+def concatenated_texts(spark, sf_dir):
+    return strings.concatenated(table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", F.concat("c_name", F.lit(";")).alias("text")), "c_nationkey", "c_custkey", "text")
+
+
+@query("SELECT event_id, ts AS back, ts + INTERVAL 5 HOUR AS kept FROM events WHERE ts < TIMESTAMP '2024-03-01'")
+def kept_times(spark, sf_dir):
+    """Times of a zone, before its summer time, kept in UTC to the microsecond, and read again."""
+    rows = table(spark, sf_dir, "events").filter("ts < TIMESTAMP_NTZ'2024-03-01'").select("event_id", dates.utc_micros(F.col("ts"), "America/New_York").alias("kept"))
+    return rows.select("event_id", dates.from_utc_micros(F.col("kept"), "America/New_York").alias("back"), "kept")
+
+
+@query()
+def x86_hashes(spark, sf_dir):
+    """128-bit hashes and random texts, which a test holds against a plain version."""
+    customer = table(spark, sf_dir, "customer")
+    return customer.select("c_custkey", hashing.murmur128_x86()(F.col("c_name")).alias("hash"), strings.random_text(12, F.col("c_custkey"), seed=4).alias("drawn"))
