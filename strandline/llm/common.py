@@ -77,6 +77,23 @@ def row_keys(table: DataFrame, docs: DataFrame, doc_id: str, text: str) -> tuple
     return table, own.eqNullSafe(table[free["_id"]]) & (F.xxhash64(docs[f"`{text}`"]) == table[free["_h"]])
 
 
+def join_hot(left: DataFrame, right: DataFrame, key: str, salt: list[str], count: str) -> DataFrame:
+    """``left`` joined with ``right`` (stored, a row for each key, ``count`` rows of ``left`` have it) where no task gets much more
+    than a thousandth of all rows for one key.
+
+    A key with more than that (a thousand keys at most, so they are broadcast) is dealt over shares: its rows of ``left`` by a hash
+    of the columns ``salt``, its row of ``right`` to each. ``count`` is not returned.
+    """
+    least = max(1000, (right.agg(F.sum(count)).first()[0] or 0) // 1000)
+    hot = stored(right.filter(F.col(count) > least).select(key, F.ceil(F.col(count) / least).cast("int").alias("_shares")), "hot")
+    if hot.isEmpty():
+        return left.join(right.drop(count), key)
+    one, hot = F.coalesce("_shares", F.lit(1)), F.broadcast(hot)
+    dealt = left.join(hot, key, "left").withColumn("_share", F.pmod(F.xxhash64(*salt), one).cast("int")).drop("_shares")
+    copied = right.drop(count).join(hot, key, "left").withColumn("_share", F.explode(F.sequence(F.lit(0), one - 1))).drop("_shares")
+    return dealt.join(copied, [key, "_share"]).drop("_share")
+
+
 def parts(rows: int, each: int, least: int = 1) -> int:
     """How many groups of about ``each`` rows hold ``rows``."""
     return max(least, -(-rows // each))

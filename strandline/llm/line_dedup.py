@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import stored
+from strandline.llm.common import join_hot, stored
 
 #: Units of fewer words stay wherever they are: only blank ones.
 LEAST_WORDS = 1
@@ -78,8 +78,8 @@ def line_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rank
     key = [F.coalesce(F.col(rank or doc_id).cast("long"), F.lit((1 << 63) - 1)).alias("rank"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("_id"), F.xxhash64(doc_id, text).alias("_h")]
     found = stored(hashed(docs.select(*key, F.col(text).alias("_text")).filter("_text is not null"), pattern, least_words), "units")
     first = F.min(F.struct("rank", "_id", "_h", "unit")).alias("first")
-    several = found.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    later = found.join(several, "digest").filter(F.struct("rank", "_id", "_h", "unit") != F.col("first"))
+    several = stored(found.groupBy("digest").agg(first, F.count(F.lit(1)).alias("n")).filter("n > 1"), "several")
+    later = join_hot(found, several, "digest", ["_id", "_h", "unit"], "n").filter(F.struct("rank", "_id", "_h", "unit") != F.col("first"))
     gone = later.groupBy("_id", "_h").agg(F.collect_set("unit").alias("gone")).withColumnsRenamed({"_id": "_id2", "_h": "_h2"})
     named = docs.select(*key[1:], F.col(text).alias("_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]).alias("row"))
     joined = named.join(gone, (F.col("_id") == F.col("_id2")) & (F.col("_h") == F.col("_h2")), "left").select("row", "_text", "gone")

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import components, forget, local_components, parts, row_keys, stored, text_arrays, whole_group
+from strandline.llm.common import components, forget, join_hot, local_components, parts, row_keys, stored, text_arrays, whole_group
 
 SHINGLE = 3
 SEED = 42
@@ -240,12 +240,12 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     unless all ids of a component are null. An empty table gives an empty table.
     """
     narrow = stored(fingerprints(docs, text, doc_id, shingle), "fingerprints")
-    fps = stored(narrow.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    fps = stored(narrow.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct")
     reached = components(stored(links(fps.select("fp"), hot_segment, group_rows, distance, segments), "pairs"))
-    grouped = fps.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    grouped = fps.join(reached, F.col("fp") == F.col("node"), "left").select("fp", "least", "n", F.coalesce("component", "fp").alias("root"))
     smallest = grouped.groupBy("root").agg(F.min("least").alias("component_id")).withColumnRenamed("root", "root2")
-    named = grouped.join(smallest, F.col("root") == F.col("root2")).select(F.col("fp").alias("fp2"), "component_id", "root")
-    return narrow.join(named, F.col("fp") == F.col("fp2")).select("doc_id", "h", "fp", "component_id", "root")
+    named = stored(grouped.join(smallest, F.col("root") == F.col("root2")).select("fp", "n", "component_id", "root"), "named")
+    return join_hot(narrow, named, "fp", ["doc_id", "h"], "n").select("doc_id", "h", "fp", "component_id", "root")
 
 
 def _shingles(text: bytes, shingle: int) -> np.ndarray:

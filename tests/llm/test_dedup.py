@@ -10,7 +10,7 @@ import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
-from strandline.llm import line_dedup, queries, simhash, suffix_dedup
+from strandline.llm import common, line_dedup, queries, simhash, suffix_dedup
 from strandline.llm.common import components
 
 SF = "/root/testdata/sf0.001"
@@ -315,3 +315,15 @@ def test_line_dedup_query_equals_sql(spark):
     assert sorted(map(tuple, got)) == sorted(con.execute(f"SELECT {columns} FROM ({queries.ORACLE_SQL['op3_line_dedup']})").fetchall())
     con.execute("CREATE OR REPLACE VIEW documents AS SELECT * FROM (VALUES (1, NULL), (2, ''), (3, 'a'), (4, 'A')) t(doc_id, text)")
     assert con.execute("SELECT count(*) FROM (" + queries.ORACLE_SQL["op3_line_dedup"] + ")").fetchone() == (4,)
+
+
+def test_hot_keys_are_dealt_over_shares(spark):
+    left = spark.range(30_000).selectExpr("id", "if(id % 3 = 0, 0, id % 5000) AS k")
+    right = left.groupBy("k").count().withColumn("name", F.col("k") * 2)
+    found = common.join_hot(left, common.stored(right, "right"), "k", ["id"], "count")
+    assert found.columns == ["k", "id", "name"] and found.count() == 30_000
+    assert found.filter("name <> k * 2 OR k <> if(id % 3 = 0, 0, id % 5000)").count() == 0
+    assert "_share" in found._jdf.queryExecution().optimizedPlan().toString()
+    few = left.filter("id < 900")
+    assert common.join_hot(few, common.stored(few.groupBy("k").count(), "right"), "k", ["id"], "count").count() == 900
+    assert common.join_hot(left.limit(0), common.stored(right.limit(0), "right"), "k", ["id"], "count").collect() == []
