@@ -59,6 +59,8 @@ _ENDS_PARAGRAPH = frozenset(
 _SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 _CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert form menu menubar toolbar".split())
 
+#: What a class name says of a page's settings, not of what stands in the element: no-sidebar, comments-open.
+_SETTING = re.compile(r"(?<![a-z])(?:no|has|with|without|show|hide)-[a-z]+|(?<![a-z])[a-z]+-(?:open|closed|enabled|disabled|on|off)(?![a-z])")
 #: Parts of class names and ids. Readers' comments stay out even where they are marked up as articles.
 _COMMENTS = re.compile(r"comments?(?![a-z]*ar)|disqus|(?<![a-z])(?:repl(?:y|ies)|respond|reactions|discussion|guestbook)(?![a-z])")
 _PARTS = re.compile(
@@ -122,6 +124,7 @@ def _kind(tag: str, attributes: str) -> _Kind:
         return _Kind()
     unseen = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search(found.get("style", "").lower()))
     names = " ".join(_CAMEL.sub("-", found.get(n, "")) for n in ("class", "id", "itemprop", "aria-label")).lower().replace("_", "-")
+    names = _SETTING.sub(" ", names)
     if _COMMENTS.search(names):
         return _Kind(chrome=True, by_name=True, comments=True)
     if unseen:

@@ -42,6 +42,9 @@ PAGES = {
     "upper case": (f"<ARTICLE><P>{LONG}</P><NAV>{LINKS}</NAV></ARTICLE>", LONG),
     "hidden": (f"<article><p>{LONG}</p><div style='display: none'>{ALSO}</div><p hidden>x</p></article>", LONG),
     "two breaks": (f"<article>{LONG}<br><br>{ALSO}<br>more</article>", f"{LONG}\n{ALSO} more"),
+    "settings in class names": (f"<body class='has-sidebar'><div class='wrap no-ads with-sidebar'><article class='post comments-open'><p>{LONG}</p></article><div class='comments'><p>{ALSO}</p></div></div></body>", LONG),
+    "advert in a paragraph": (f"<article><p>{LONG} <span class='ad'>Buy it now</span></p><aside>{ALSO}</aside><p class='promo'>{ALSO}<p>End.</article>", f"{LONG}\nEnd."),
+    "camel case names": (f"<div id='mainContent'><h2>Head</h2><p>{LONG}</p></div><div id='rightSideBar'>{ALSO}</div><div class='userComments'>{ALSO}</div>", f"Head\n{LONG}"),
     "empty": ("", ""),
     "white": (" \n ", ""),
 }
