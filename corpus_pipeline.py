@@ -36,7 +36,11 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in the target mix: a row for each pass that takes one, and none where no budget is left for it."""
+    """Documents in the target mix: a row for each pass that takes one, and none where no budget is left for it.
+
+    Repeats that the stages before have removed come back here on purpose: a source with too little text for its budget is passed
+    over up to ``mixing.EPOCHS`` times, so a document, and every line of it, may stand in that many rows.
+    """
     return remixed(docs)
 
 
