@@ -10,8 +10,8 @@ from strandline.plans.registry import query, table
 
 
 @query("""WITH r AS (SELECT o_orderkey AS ordinal, o_totalprice AS low, o_totalprice + 20 AS high, o_orderpriority AS label FROM orders),
-    m AS (SELECT l_orderkey, l_linenumber, l_partkey, min(ordinal) AS ordinal FROM lineitem JOIN r ON l_extendedprice >= low AND l_extendedprice < high GROUP BY ALL)
-    SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, label FROM lineitem l LEFT JOIN m USING (l_orderkey, l_linenumber, l_partkey) LEFT JOIN r USING (ordinal)""")
+    m AS (SELECT l_extendedprice, min(ordinal) AS ordinal FROM (SELECT DISTINCT l_extendedprice FROM lineitem) JOIN r ON l_extendedprice >= low AND l_extendedprice < high GROUP BY ALL)
+    SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, label FROM lineitem l LEFT JOIN m USING (l_extendedprice) LEFT JOIN r USING (ordinal)""")
 def range_lookup_many(spark, sf_dir):
     """A range for each order: overlapping ones by the thousand, of which the first by key counts."""
     ranges = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ordinal"), F.col("o_totalprice").alias("low"), (F.col("o_totalprice") + 20).alias("high"), F.col("o_orderpriority").alias("label"))

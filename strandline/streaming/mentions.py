@@ -15,50 +15,54 @@ STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Second(StatefulProcessor):
-    """Keeps the two earliest mentions of a key; the second is final, and comes out, when the watermark has passed it."""
-
-    def __init__(self, keys: Sequence[str], forget_ms: int | None):
-        self.keys, self.forget_ms = list(keys), forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        # micros and id of the first and second mention; done once the second is out
-        self.earliest = handle.getValueState("earliest", "at1 long, id1 long, at2 long, id2 long, done boolean")
-        self.handle = handle
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state = self.earliest.get() or (None, None, None, None, False)
-        if not state[4]:
-            held = [p for p in ((state[0], state[1]), (state[2], state[3])) if p[0] is not None]
-            for part in rows:
-                for pair in part[["mention_micros", "mention_id"]].drop_duplicates().nsmallest(2, ["mention_micros", "mention_id"]).itertuples(index=False):
-                    held.append((int(pair[0]), int(pair[1])))
-            held = sorted(set(held))[:2]
-            first, second = held[0], held[1] if len(held) > 1 else (None, None)
-            if second[0] != state[2]:
-                if state[2] is not None:
-                    self.handle.deleteTimer(_after(state[2]))
-                self.handle.registerTimer(_after(second[0]))
-            self.earliest.update((*first, *second, False))
-        yield pd.DataFrame()
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        at1, id1, at2, id2, done = self.earliest.get()
-        if done:
-            self.earliest.clear()
+def _second(keys: Sequence[str], forget_ms: int | None) -> StatefulProcessor:
+    """A processor that carries its code with it: the worker that sets it up has the packages of Spark only."""
+
+    def after(micros: int) -> int:
+        return micros // 1000 + 1
+
+    class Second(StatefulProcessor):
+        """Keeps the two earliest mentions of a key; the second is final, and comes out, when the watermark has passed it."""
+
+        def __init__(self, keys: Sequence[str], forget_ms: int | None):
+            self.keys, self.forget_ms = list(keys), forget_ms
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            # micros and id of the first and second mention; done once the second is out
+            self.earliest = handle.getValueState("earliest", "at1 long, id1 long, at2 long, id2 long, done boolean")
+            self.handle = handle
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            state = self.earliest.get() or (None, None, None, None, False)
+            if not state[4]:
+                held = [p for p in ((state[0], state[1]), (state[2], state[3])) if p[0] is not None]
+                for part in rows:
+                    for pair in part[["mention_micros", "mention_id"]].drop_duplicates().nsmallest(2, ["mention_micros", "mention_id"]).itertuples(index=False):
+                        held.append((int(pair[0]), int(pair[1])))
+                held = sorted(set(held))[:2]
+                first, second = held[0], held[1] if len(held) > 1 else (None, None)
+                if second[0] != state[2]:
+                    if state[2] is not None:
+                        self.handle.deleteTimer(after(state[2]))
+                    self.handle.registerTimer(after(second[0]))
+                self.earliest.update((*first, *second, False))
             yield pd.DataFrame()
-            return
-        self.earliest.update((at1, id1, at2, id2, True))
-        if self.forget_ms is not None:
-            self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
-        yield pd.DataFrame([(*key, id1, id2, pd.Timestamp(at2, unit="us"))], columns=[*self.keys, "first_id", "second_id", "second_at"])
 
-    def close(self) -> None:
-        pass
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            at1, id1, at2, id2, done = self.earliest.get()
+            if done:
+                self.earliest.clear()
+                yield pd.DataFrame()
+                return
+            self.earliest.update((at1, id1, at2, id2, True))
+            if self.forget_ms is not None:
+                self.handle.registerTimer(expiredTimerInfo.getExpiryTimeInMs() + self.forget_ms)
+            yield pd.DataFrame([(*key, id1, id2, pd.Timestamp(at2, unit="us"))], columns=[*self.keys, "first_id", "second_id", "second_at"])
 
+        def close(self) -> None:
+            pass
 
-def _after(micros: int) -> int:
-    return micros // 1000 + 1
+    return Second(keys, forget_ms)
 
 
 def second_mentions(events: DataFrame, keys: Sequence[str], when: str, event_id: str, late: str = "1 hour", forget_ms: int | None = None) -> DataFrame:
@@ -72,4 +76,4 @@ def second_mentions(events: DataFrame, keys: Sequence[str], when: str, event_id:
     known = " AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, when, event_id))
     rows = events.filter(known).withWatermark(when, late).select(*keys, when, F.col(event_id).cast("long").alias("mention_id"), F.unix_micros(when).alias("mention_micros"))
     out = T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in keys), T.StructField("first_id", T.LongType()), T.StructField("second_id", T.LongType()), T.StructField("second_at", T.TimestampType())])
-    return rows.groupBy(*keys).transformWithStateInPandas(_Second(keys, forget_ms), out, "append", "EventTime")
+    return rows.groupBy(*keys).transformWithStateInPandas(_second(keys, forget_ms), out, "append", "EventTime")
