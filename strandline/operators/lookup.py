@@ -13,8 +13,17 @@ from strandline.operators import ordered
 BROADCAST_ROWS, BROADCAST_BYTES = 10_000, 16_000_000
 
 
+#: Bytes up to which the plan's own estimate is taken for proof: files may be compressed, so this is well under the bound.
+SURE_BYTES = BROADCAST_BYTES // 8
+
+
 def small(table: DataFrame) -> DataFrame:
-    """The table with a broadcast hint, if it is counted and measured to be small."""
+    """The table with a broadcast hint, if it is known to be small: by the plan's estimate, where that is an upper bound (nothing in
+    the plan makes rows of arrays or joins) and far under the limit, else by counting and measuring."""
+    plan = table._jdf.queryExecution().optimizedPlan()
+    grows = any(word in plan.toString() for word in ("Generate", "Join", "Expand", "Range"))
+    if not grows and int(str(plan.stats().sizeInBytes())) <= SURE_BYTES:
+        return F.broadcast(table)
     width = F.octet_length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in table.columns]))) if table.columns else F.lit(0)
     rows, size = table.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(width)).first()
     return F.broadcast(table) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else table

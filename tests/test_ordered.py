@@ -136,3 +136,18 @@ def test_episodes_by_brute_force(spark, seed):
     assert sorted(map(tuple, got.collect())) == sorted(want) and want
 
 
+
+
+def test_small_tables_are_known_by_their_plan(spark):
+    """No job for a small file; a table that may grow is counted; a large one isn't broadcast."""
+    nation = spark.read.parquet("/root/testdata/sf0.001/nation.parquet")
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("planned", "lookup.small")
+    hinted = lookup.small(nation.filter("n_nationkey > 3").select("n_name"))
+    assert not tracker.getJobIdsForGroup("planned")
+    lookup.small(nation.select(F.explode(F.array("n_name", "n_name")).alias("n_name")))
+    assert tracker.getJobIdsForGroup("planned")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
+    large = lookup.small(spark.range(20_000).toDF("k"))
+    assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
