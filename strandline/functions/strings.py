@@ -155,10 +155,10 @@ def wrapped(width: int):
 def csv_block(lines: DataFrame, key: str, header: str, quote: str = '"') -> DataFrame:
     """Rows (key, line_no, row) of a block of comma-separated lines inside a text: from the line that is the header (its
     fields name the struct's) to the next blank line."""
-    start = lines.filter(F.col("line").startswith(header)).groupBy(key).agg(F.min("line_no").alias("_from"))
-    met = lines.join(start, key).filter("line_no > _from")
-    stop = met.filter(F.trim("line") == "").groupBy(key).agg(F.min("line_no").alias("_to"))
-    inside = met.join(stop, key, "left").filter("_to is null or line_no < _to")
+    text = Window.partitionBy(key)
+    met = lines.withColumn("_from", F.min(F.when(F.col("line").startswith(header), F.col("line_no"))).over(text)).filter("line_no > _from")
+    met = met.withColumn("_to", F.min(F.when(F.trim("line") == "", F.col("line_no"))).over(text))
+    inside = met.filter((F.col("_to").isNull() | (F.col("line_no") < F.col("_to"))) & F.col(key).isNotNull())
     schema = ", ".join(f"`{name}` string" for name in header.split(","))
     return inside.select(key, "line_no", F.from_csv("line", schema, {"quote": quote, "escape": quote}).alias("row"))
 
@@ -197,30 +197,50 @@ def lines_of(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
 
 
+def following(prefix: str, line: str = "line", other: str | None = None, there: str | None = None) -> Column:
+    """Aggregate over a key's lines: what follows the prefix in its first line that starts with it; with ``other``, what follows
+    that in column ``there`` of the first line where both start so. Null if there is none."""
+    met = F.col(line).startswith(prefix)
+    if other is not None:
+        met = met & F.col(there).startswith(other)
+    return F.min_by(what_follows(F.col(there or line), other or prefix), F.when(met, F.col("line_no")))
+
+
+def shifted_line(key: str, delta: int) -> Column:
+    """The line ``delta`` lines after each, within its key."""
+    there = F.lead("line", delta) if delta >= 0 else F.lag("line", -delta)
+    return there.over(Window.partitionBy(key).orderBy("line_no"))
+
+
 def first_following(lines: DataFrame, key: str, prefix: str, preceding: str | None = None) -> DataFrame:
     """Of each key what follows the prefix in its first line that starts with it (after a line starting with ``preceding``)."""
     if preceding is not None:
         lines = lines.withColumn("_before", F.lag("line").over(Window.partitionBy(key).orderBy("line_no"))).filter(F.col("_before").startswith(preceding))
-    met = lines.filter(F.col("line").startswith(prefix))
-    return met.groupBy(key).agg(F.min_by(what_follows(F.col("line"), prefix), "line_no").alias("found"))
+    return lines.groupBy(key).agg(following(prefix).alias("found")).filter("found IS NOT NULL")
 
 
 def relative_line(lines: DataFrame, key: str, prefix: str, delta: int, other: str) -> DataFrame:
     """What follows ``other`` in the line ``delta`` lines after the first that starts with the prefix, where it does."""
-    there = F.lead("line", delta) if delta >= 0 else F.lag("line", -delta)
-    met = lines.withColumn("_there", there.over(Window.partitionBy(key).orderBy("line_no"))).filter(F.col("line").startswith(prefix) & F.col("_there").startswith(other))
-    return met.groupBy(key).agg(F.min_by(what_follows(F.col("_there"), other), "line_no").alias("found"))
+    met = lines.withColumn("_there", shifted_line(key, delta))
+    return met.groupBy(key).agg(following(prefix, other=other, there="_there").alias("found")).filter("found IS NOT NULL")
 
 
-def lines_between(lines: DataFrame, key: str, first: str, last: Sequence[str]) -> DataFrame:
-    """Lines from the first that starts with ``first`` up to, without it, the next that starts with one of ``last``."""
-    start = lines.filter(F.col("line").startswith(first)).groupBy(key).agg(F.min("line_no").alias("_from"))
-    met = lines.join(start, key).filter("line_no >= _from")
+def between_lines(lines: DataFrame, key: str, name: str, first: str, last: Sequence[str]) -> DataFrame:
+    """``lines`` with a column that says whether each stands from the key's first that starts with ``first`` up to, without it,
+    the next that starts with one of ``last``. A key's lines are one window: no table is joined, whatever the plan takes it for."""
+    text = Window.partitionBy(key)
     ends = F.lit(False)
     for x in last:
         ends = ends | F.col("line").startswith(x)
-    stop = met.filter(ends & (F.col("line_no") > F.col("_from"))).groupBy(key).agg(F.min("line_no").alias("_to"))
-    return met.join(stop, key, "left").filter("_to is null or line_no < _to").select(key, "line_no", "line")
+    met = lines.withColumn("_from", F.min(F.when(F.col("line").startswith(first), F.col("line_no"))).over(text))
+    met = met.withColumn("_to", F.min(F.when(ends & (F.col("line_no") > F.col("_from")), F.col("line_no"))).over(text))
+    inside = F.coalesce(F.col("line_no") >= F.col("_from"), F.lit(False)) & (F.col("_to").isNull() | (F.col("line_no") < F.col("_to")))
+    return met.withColumn(name, inside).drop("_from", "_to")
+
+
+def lines_between(lines: DataFrame, key: str, first: str, last: Sequence[str]) -> DataFrame:
+    """Lines from the first that starts with ``first`` up to, without it, the next that starts with one of ``last``."""
+    return between_lines(lines, key, "_inside", first, last).filter(F.col("_inside") & F.col(key).isNotNull()).select(key, "line_no", "line")
 
 
 def ascii_mangle():

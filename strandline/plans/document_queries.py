@@ -46,14 +46,15 @@ def _records(spark, sf_dir):
 
 @query(f"SELECT c_custkey, {_NAME} AS name, c_custkey AS key, c_acctbal > 0 AS good, CAST(c_custkey AS VARCHAR) AS after_balance, 4 AS n_between FROM customer")
 def labelled_lines(spark, sf_dir):
-    lines = _records(spark, sf_dir)
-    found = lambda name, df: df.select("c_custkey", F.col("found").alias(name))
-    out = found("name", strings.first_following(lines, "c_custkey", "Name:"))
-    out = out.join(found("key", strings.first_following(lines, "c_custkey", "Key:")), "c_custkey").withColumn("key", convert.to_int(F.col("key")))
-    out = out.join(found("good", strings.first_following(lines, "c_custkey", "Good:")), "c_custkey").withColumn("good", convert.to_bool(F.col("good")))
-    out = out.join(found("after_balance", strings.relative_line(lines, "c_custkey", "  Balance:", 1, "Key:")), "c_custkey")
-    between = strings.lines_between(lines, "c_custkey", "Name:", ["Block"]).groupBy("c_custkey").agg(F.count(F.lit(1)).cast("int").alias("n_between"))
-    return out.join(between, "c_custkey")
+    """Several things found in each text by one pass over its lines."""
+    lines = strings.between_lines(_records(spark, sf_dir), "c_custkey", "inside", "Name:", ["Block"])
+    lines = lines.withColumn("next", strings.shifted_line("c_custkey", 1))
+    out = lines.groupBy("c_custkey").agg(
+        strings.following("Name:").alias("name"), strings.following("Key:").alias("key"), strings.following("Good:").alias("good"),
+        strings.following("  Balance:", other="Key:", there="next").alias("after_balance"), F.count_if("inside").cast("int").alias("n_between"),
+    )
+    out = out.filter("name IS NOT NULL AND key IS NOT NULL AND good IS NOT NULL AND after_balance IS NOT NULL AND n_between > 0")
+    return out.withColumns({"key": convert.to_int(F.col("key")), "good": convert.to_bool(F.col("good"))})
 
 
 @query("""SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS first, c_mktsegment || ', "x"' AS second FROM customer UNION ALL SELECT c_custkey, 'q', CAST(c_nationkey AS VARCHAR) FROM customer""")
