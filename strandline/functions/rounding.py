@@ -37,6 +37,16 @@ def round_sf(x: Column, n: int = 2) -> Column:
     return F.when(x == 0, F.lit(0.0)).otherwise(F.rint(x / unit) * unit)
 
 
+def round_scaled(x: Column, n: int = 0) -> Column:
+    """A double to n places as C's round and most databases do: scaled in binary, halves away from zero, the sign of zero kept.
+
+    Spark's ``round`` goes by the shortest decimal instead: of 11.692320326499999, which times 10**9 is a half exactly, it makes
+    the number below at nine places, and 0.0 of a small negative number.
+    """
+    scaled = F.abs(x) * F.lit(10.0**n)
+    return F.when(scaled < float("inf"), F.signum(x) * F.round(scaled) / F.lit(10.0**n)).otherwise(x)
+
+
 def plain_decimal(x: Column) -> Column:
     """A decimal as text without exponent or needless zeros."""
     text = F.format_string("%s", x.cast("decimal(38,18)").cast("string"))

@@ -13,7 +13,7 @@ _P = "(0.01 + 0.98 * CAST((event_id * 7919) % 1000 AS DOUBLE) / 1000)"
 @query(f"""SELECT event_id, round(p / (1 - p), 8) AS odds, round(p, 9) AS from_odds, round(ln(p / (1 - p)), 8) AS log_odds, round(p, 9) AS from_log_odds, round(ln(p), 8) AS log_p, round(p, 9) AS from_log_p, round(-ln(CAST(event_id % 9 + 2 AS DOUBLE) - 1), 9) AS one_in_n,
     round(0.3 * p / 0.5, 9) AS posterior, round(ln(CAST(0.3 AS DOUBLE)) + ln(p) - ln(CAST(0.5 AS DOUBLE)), 8) AS log_posterior, round(3 * p / (1 - p), 7) AS posterior_odds, round(ln(p) - ln(1 - p), 8) AS log_ratio, round(p * 2, 8) AS logistic_back FROM (SELECT event_id, {_P} AS p FROM events)""")
 def probability_forms(spark, sf_dir):
-    p, r = (F.lit(0.01) + F.lit(0.98) * ((F.col("event_id") * 7919) % 1000).cast("double") / 1000), F.round
+    p, r = (F.lit(0.01) + F.lit(0.98) * ((F.col("event_id") * 7919) % 1000).cast("double") / 1000), rounding.round_scaled
     odds, log_odds = probability.odds_from_probability(p), probability.log_odds_from_probability(p)
     return table(spark, sf_dir, "events").select(
         "event_id", r(odds, 8).alias("odds"), r(probability.probability_from_odds(odds), 9).alias("from_odds"), r(log_odds, 8).alias("log_odds"), r(probability.probability_from_log_odds(log_odds), 9).alias("from_log_odds"),
@@ -28,8 +28,8 @@ def probability_forms(spark, sf_dir):
 def logarithms_and_counts(spark, sf_dir):
     price, n, k = F.col("o_totalprice"), F.col("o_orderkey") % 50 + 2, F.col("o_orderkey") % 3
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", F.round(probability.ln(price), 9).alias("ln"), F.round(probability.log10(price), 9).alias("log10"), probability.ln((F.col("o_orderkey") % 2 != 0).cast("double")).alias("ln_of_bit"),
-        probability.sum_of_range(F.lit(1), n).cast("double").alias("summed"), probability.n_permutations(n, k).alias("permutations"), F.round(rounding.round_sf(price, 3), 6).alias("rounded"),
+        "o_orderkey", rounding.round_scaled(probability.ln(price), 9).alias("ln"), rounding.round_scaled(probability.log10(price), 9).alias("log10"), probability.ln((F.col("o_orderkey") % 2 != 0).cast("double")).alias("ln_of_bit"),
+        probability.sum_of_range(F.lit(1), n).cast("double").alias("summed"), probability.n_permutations(n, k).alias("permutations"), rounding.round_scaled(rounding.round_sf(price, 3), 6).alias("rounded"),
     )
 
 
@@ -58,7 +58,7 @@ _HIGH, _BAND = dsp.highpass(9, 0.2, 1.0), dsp.bandpass(11, 0.1, 0.3, 1.0)
 
 def _filtered(spark, sf_dir, taps):
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    return dsp.filtered(events, ["user_id"], ["ts", "event_id"], "value", taps).select("event_id", F.round("filtered", 6).alias("filtered"))
+    return dsp.filtered(events, ["user_id"], ["ts", "event_id"], "value", taps).select("event_id", rounding.round_scaled(F.col("filtered"), 6).alias("filtered"))
 
 
 @query(_convolved(_HIGH))
@@ -82,7 +82,7 @@ _NUM = lambda x: f"CAST({x!r} AS DOUBLE)"
 def notch_filter(spark, sf_dir):
     events = table(spark, sf_dir, "events").filter("user_id is not null").select("event_id", "user_id", "ts", "value")
     out = dsp.recursive_filtered(events, ["user_id"], ["ts", "event_id"], "value", _AHEAD, _BACK)
-    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("filtered"), 4).alias("total"), F.round(F.max(F.abs("filtered")), 5).alias("largest"))
+    return out.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), rounding.round_scaled(F.sum("filtered"), 4).alias("total"), rounding.round_scaled(F.max(F.abs("filtered")), 5).alias("largest"))
 
 
 @query("SELECT c_custkey, CAST(CASE WHEN c_custkey % 256 >= 128 THEN c_custkey % 256 - 256 ELSE c_custkey % 256 END AS INTEGER) AS signed, CAST(c_custkey % 256 AS INTEGER) AS unsigned, md5(c_name) AS digest FROM customer")

@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions import strings
+from strandline.functions import rounding, strings
 from strandline.plans import catalog
 
 TABLES = "/root/testdata/sf0.001"
@@ -27,3 +27,27 @@ def test_lines_of_texts_with_parts_missing(spark):
     assert rows(strings.first_following(lines.filter("id > 0"), "id", "Name:")) == [(1, "a"), (3, "c")]
     assert rows(strings.relative_line(lines.filter("id > 0"), "id", "  B:", 1, "Key:")) == [(1, "k")]
     assert rows(strings.lines_between(lines, "id", "Name:", ["End"])) == [(1, 1, "Name: a"), (1, 2, "  B: 1"), (1, 3, "Key: k"), (3, 0, "Name: c")]
+
+
+def _against_sql(spark, folder, name, table, rows, schema):
+    """Both results as texts, in which zeros have signs."""
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(folder / f"{table}.parquet"))
+    df = catalog.QUERIES[name](spark, str(folder))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet/*.parquet'")
+    want = con.execute(f"SELECT {', '.join(df.columns)} FROM ({catalog.ORACLE_SQL[name]})").fetchall()
+    assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want))
+
+
+def test_logarithms_that_are_halves_once_scaled(spark, tmp_path):
+    """Of these prices the logarithm times 10**9 is a half in binary, though its decimals are below one."""
+    prices = [119649.31, 142513.29, 278374.36, 394952.25, 1000.0, 500000.0]
+    _against_sql(spark, tmp_path, "logarithms_and_counts", "orders", list(enumerate(prices)), "o_orderkey long, o_totalprice double")
+
+
+def test_rounding_scaled(spark):
+    xs = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 4503599627370495.5, 1e300, -1e300, 1.7e308, float("inf"), float("-inf"), 11.692320326499999, -4e-10, 1.005, None]
+    con = duckdb.connect()
+    for n in (0, 2, 9):
+        got = [r[1] for r in spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", rounding.round_scaled(F.col("x"), n)).orderBy("i").collect()]
+        assert list(map(repr, got)) == [repr(con.execute(f"SELECT round(CAST(? AS DOUBLE), {n})", [x]).fetchone()[0]) for x in xs]
