@@ -42,26 +42,26 @@ def rounding_rules(spark, sf_dir):
     SELECT event_id, round(p / sum(p) OVER (PARTITION BY event_type), 9) AS softmax FROM p""")
 def softmax_by_group(spark, sf_dir):
     events = table(spark, sf_dir, "events").select("event_id", "event_type", (F.col("value") / 100).alias("x"))
-    return probability.softmax(events, ["event_type"], "x").select("event_id", F.round("softmax", 9).alias("softmax"))
+    return probability.softmax(events, ["event_type"], "x").select("event_id", rounding.round_scaled(F.col("softmax"), 9).alias("softmax"))
 
 
 @query("SELECT event_id, round(1 / (1 + exp(-0.05 * (value - 50))), 9) AS y, CASE WHEN value < 0 OR value > 100 THEN NULL WHEN value = 0 THEN CAST('-inf' AS DOUBLE) WHEN value = 100 THEN CAST('inf' AS DOUBLE) ELSE round(ln(value / 100 / (1 - value / 100)), 6) END AS logit FROM events")
 def logistic(spark, sf_dir):
     events = table(spark, sf_dir, "events")
-    return events.select("event_id", F.round(probability.logistic(F.col("value"), 0.05, 50.0), 9).alias("y"), F.round(probability.safe_logit(F.col("value") / 100), 6).alias("logit"))
+    return events.select("event_id", rounding.round_scaled(probability.logistic(F.col("value"), 0.05, 50.0), 9).alias("y"), rounding.round_scaled(probability.safe_logit(F.col("value") / 100), 6).alias("logit"))
 
 
 @query("SELECT doc_id, round(sum(CASE WHEN toxic = 1 THEN ln(CAST(0.8 AS DOUBLE)) - ln(CAST(0.1 AS DOUBLE)) ELSE ln(CAST(0.2 AS DOUBLE)) - ln(CAST(0.9 AS DOUBLE)) END) OVER (ORDER BY doc_id), 6) AS log_odds FROM labels WHERE toxic IS NOT NULL")
 def log_odds_update(spark, sf_dir):
     labels = table(spark, sf_dir, "labels").filter("toxic is not null").select("doc_id", "toxic")
     out = probability.running_log_odds(labels, [], ["doc_id"], F.col("toxic") == 1, 0.8, 0.1)
-    return out.select("doc_id", F.round("log_odds", 6).alias("log_odds"))
+    return out.select("doc_id", rounding.round_scaled(F.col("log_odds"), 6).alias("log_odds"))
 
 
 @query("SELECT event_type, round(avg(CASE WHEN value > 10 THEN value END), 6) AS mean, count(*) FILTER (value > 50) AS n_true, count(*) > count(DISTINCT user_id) AS repeats FROM events GROUP BY event_type")
 def mean_count_repeats(spark, sf_dir):
     v = F.col("value")
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.round(F.avg(F.when(v > 10, v)), 6).alias("mean"), F.count_if(v > 50).alias("n_true"), (F.count(F.lit(1)) > F.count_distinct("user_id")).alias("repeats"))
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(rounding.round_scaled(F.avg(F.when(v > 10, v)), 6).alias("mean"), F.count_if(v > 50).alias("n_true"), (F.count(F.lit(1)) > F.count_distinct("user_id")).alias("repeats"))
 
 
 @query("""WITH w AS (SELECT conv_id, turn, string_split(text, ' ') AS a FROM conversations WHERE text IS NOT NULL)
@@ -131,7 +131,7 @@ _TAPS = dsp.lowpass(9, 0.1, 1.0)
 @query("SELECT event_id, round(" + " + ".join(f"CAST({c!r} AS DOUBLE) * coalesce(lag(value, {k}) OVER w, 0)" for k, c in enumerate(_TAPS)) + ", 6) AS filtered FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)")
 def fir_lowpass(spark, sf_dir):
     out = dsp.filtered(table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value"), ["user_id"], ["ts", "event_id"], "value", _TAPS)
-    return out.select("event_id", F.round("filtered", 6).alias("filtered"))
+    return out.select("event_id", rounding.round_scaled(F.col("filtered"), 6).alias("filtered"))
 
 
 @query()

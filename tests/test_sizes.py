@@ -45,6 +45,11 @@ def test_logarithms_that_are_halves_once_scaled(spark, tmp_path):
     _against_sql(spark, tmp_path, "logarithms_and_counts", "orders", list(enumerate(prices)), "o_orderkey long, o_totalprice double")
 
 
+def test_logits_just_below_zero(spark, tmp_path):
+    values = [49.999999, 50.0, 50.000001, 0.0, 100.0, -1.0, 101.0, None, -5000.0, 5000.0, 33.3, 67.07]
+    _against_sql(spark, tmp_path, "logistic", "events", list(enumerate(values)), "event_id long, value double")
+
+
 def test_rounding_scaled(spark):
     xs = [0.0, -0.0, 0.5, -0.5, 1.5, 2.5, -2.5, 0.49999999999999994, 4503599627370495.5, 1e300, -1e300, 1.7e308, float("inf"), float("-inf"), 11.692320326499999, -4e-10, 1.005, None]
     con = duckdb.connect()
