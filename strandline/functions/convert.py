@@ -46,38 +46,48 @@ def number_to_dp(x: Column, dp: int, default: str = "", en_dash: bool = True) ->
     return F.when(text.startswith("-"), F.concat(F.lit("–"), F.substring(text, 2, 1 << 30))).otherwise(text) if en_dash else text
 
 
+def _once(x: Column, use) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(x), use), F.lit(0))
+
+
 def nhs_check_digit(nine: Column) -> Column:
     """Check digit of the nine digits of a health-service number; 10 means there is none."""
-    total = F.lit(0)
-    for k in range(9):
-        total = total + F.substring(nine, k + 1, 1).cast("int") * (10 - k)
-    digit = 11 - F.pmod(total, F.lit(11))
-    return F.when(digit == 11, 0).otherwise(digit)
+
+    def of(text: Column) -> Column:
+        total = F.lit(0)
+        for k in range(9):
+            total = total + F.substring(text, k + 1, 1).cast("int") * (10 - k)
+        return F.pmod(11 - F.pmod(total, F.lit(11)), F.lit(11))  # 11 stands for 0
+
+    return _once(nine, of)
 
 
 def is_valid_nhs(number: Column) -> Column:
     """Ten digits, the last of which checks the others."""
-    text = F.regexp_replace(number.cast("string"), r"\s", "")
-    shape = text.rlike(r"^[1-9]\d{9}$")
-    safe = F.when(shape, text).otherwise("0000000000")
-    return F.coalesce(shape & (nhs_check_digit(safe) == F.substring(safe, 10, 1).cast("int")), F.lit(False))
+
+    def of(text: Column) -> Column:
+        right = F.when(text.rlike(r"^[1-9]\d{9}$"), nhs_check_digit(text) == F.substring(text, 10, 1).cast("int"))
+        return F.coalesce(right, F.lit(False))
+
+    return _once(F.regexp_replace(number.cast("string"), r"\s", ""), of)
 
 
 def nhs_from_first_nine(nine: Column) -> Column:
-    digit = nhs_check_digit(nine)
-    return F.when(digit < 10, F.concat(nine, digit.cast("string")).cast("bigint"))
+    return _once(nine, lambda text: _once(nhs_check_digit(text), lambda digit: F.when(digit < 10, F.concat(text, digit.cast("string")).cast("bigint"))))
 
 
 def is_test_nhs(number: Column) -> Column:
     """Valid, and of the range that is kept for tests."""
-    return is_valid_nhs(number) & number.cast("string").startswith("999")
+    return _once(number, lambda n: is_valid_nhs(n) & n.cast("string").startswith("999"))
 
 
 def random_nhs(*key: Column, test_range: bool = True, seed: int = 0) -> Column:
-    """A valid number drawn by a hash of the key, of the range kept for tests or of any."""
+    """A valid number drawn by a hash of the key, of the range kept for tests or of any: the first of 40 draws that has a check
+    digit. Draws after that aren't made."""
     low, many = (999 * 10**6, 10**6) if test_range else (10**8, 9 * 10**8)
-    drawn = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: (F.pmod(F.xxhash64(*key, F.lit(seed), k), F.lit(many)) + F.lit(low)).cast("string"))
-    return F.get(F.filter(F.transform(drawn, nhs_from_first_nine), lambda n: n.isNotNull()), F.lit(0))
+    draw = lambda k: (F.pmod(F.xxhash64(*key, F.lit(seed), k), F.lit(many)) + F.lit(low)).cast("string")
+    return F.aggregate(F.sequence(F.lit(0), F.lit(39)), F.lit(None).cast("bigint"), lambda met, k: F.when(met.isNotNull(), met).otherwise(nhs_from_first_nine(draw(k))))
 
 
 def nhs_from_text(text: Column) -> Column:

@@ -86,8 +86,8 @@ def nhs_numbers(spark, sf_dir):
 
 @query("SELECT c_custkey, true AS valid, true AS is_test, true AS other_valid FROM customer")
 def random_nhs_numbers(spark, sf_dir):
-    drawn, other = convert.random_nhs(F.col("c_custkey")), convert.random_nhs(F.col("c_custkey"), test_range=False, seed=5)
-    return table(spark, sf_dir, "customer").select("c_custkey", convert.is_valid_nhs(drawn).alias("valid"), convert.is_test_nhs(drawn).alias("is_test"), convert.is_valid_nhs(other).alias("other_valid"))
+    drawn = table(spark, sf_dir, "customer").select("c_custkey", convert.random_nhs(F.col("c_custkey")).alias("drawn"), convert.random_nhs(F.col("c_custkey"), test_range=False, seed=5).alias("other"))
+    return drawn.select("c_custkey", convert.is_valid_nhs(F.col("drawn")).alias("valid"), convert.is_test_nhs(F.col("drawn")).alias("is_test"), convert.is_valid_nhs(F.col("other")).alias("other_valid"))
 
 
 @query("SELECT c_custkey, 'X''' || lower(hex(encode(c_name))) || '''' AS hexed, '64''' || to_base64(encode(c_name)) || '''' AS coded, c_name AS from_hexed, c_name AS from_coded FROM customer")

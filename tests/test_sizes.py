@@ -4,7 +4,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.functions import rounding, strings
+from strandline.functions import convert, rounding, strings
 from strandline.plans import catalog
 
 TABLES = "/root/testdata/sf0.001"
@@ -56,3 +56,11 @@ def test_rounding_scaled(spark):
     for n in (0, 2, 9):
         got = [r[1] for r in spark.createDataFrame(list(enumerate(xs)), "i int, x double").select("i", rounding.round_scaled(F.col("x"), n)).orderBy("i").collect()]
         assert list(map(repr, got)) == [repr(con.execute(f"SELECT round(CAST(? AS DOUBLE), {n})", [x]).fetchone()[0]) for x in xs]
+
+
+def test_a_drawn_number_is_made_once(spark):
+    """Checks named their number some twenty times, and each of these made forty draws anew."""
+    number = convert.random_nhs(F.col("id"))
+    checked = spark.range(300).select(convert.is_valid_nhs(number).alias("valid"), convert.is_test_nhs(number).alias("is_test"))
+    assert checked._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 2
+    assert checked.filter("valid AND is_test").count() == 300
