@@ -54,7 +54,7 @@ def stream_daily_users(spark, sf_dir):
 @query("""WITH r AS (SELECT *, row_number() OVER w AS k, lag(event_id) OVER w AS first_id FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL WINDOW w AS (PARTITION BY user_id, event_type ORDER BY ts, event_id))
     SELECT user_id, event_type, first_id, event_id AS second_id, ts AS second_at FROM r WHERE k = 2 AND ts < (SELECT max(ts) FROM events) - INTERVAL 1 HOUR""")
 def stream_second_mentions(spark, sf_dir):
-    """Each user's second event of a kind, once an hour has passed since; state for each user and kind, with timers."""
+    """Each user's second event of a kind, once an hour has passed since; state by lots of users and kinds, with timeouts."""
     before = spark.conf.get(mentions.STORE, None)
     spark.conf.set(mentions.STORE, mentions.ROCKS)
     try:

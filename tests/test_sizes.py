@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions import convert, rounding, strings
 from strandline.plans import catalog
+from strandline.streaming import mentions, timelines
 
 TABLES = "/root/testdata/sf0.001"
 
@@ -64,3 +65,16 @@ def test_a_drawn_number_is_made_once(spark):
     checked = spark.range(300).select(convert.is_valid_nhs(number).alias("valid"), convert.is_test_nhs(number).alias("is_test"))
     assert checked._jdf.queryExecution().optimizedPlan().toString().count("xxhash64") == 2
     assert checked.filter("valid AND is_test").count() == 300
+
+
+def test_second_mentions_have_a_state_a_lot(spark, tmp_path, monkeypatch):
+    """Keys were a call of Python each and several of the state store."""
+    monkeypatch.setattr(mentions, "LOTS", 4)
+    events = spark.readStream.schema(spark.read.parquet(f"{TABLES}/events.parquet").schema).parquet(f"{TABLES}/events.parque[t]").withColumn("at", F.col("ts").cast("timestamp"))
+    found = mentions.second_mentions(events, ["user_id", "event_type"], "at", "event_id")
+    query = timelines.drained(found, str(tmp_path))
+    assert 0 < max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 4
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{TABLES}/events.parquet'")
+    rows = timelines.results(spark, str(tmp_path), found.schema).withColumn("second_at", F.col("second_at").cast("timestamp_ntz"))
+    assert sorted(map(tuple, rows.collect())) == sorted(con.execute(f"SELECT {', '.join(found.columns)} FROM ({catalog.ORACLE_SQL['stream_second_mentions']})").fetchall())
