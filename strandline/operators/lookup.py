@@ -70,7 +70,7 @@ def _few(ranges: DataFrame, few: int) -> list[tuple] | None:
 
 def disjoint(ranges: DataFrame) -> DataFrame:
     """Rows (low, high, label) without overlaps: each piece between two ends has the label of its first range by ordinal."""
-    return ordered.pieces(ranges).drop("rank")
+    return ordered.pieces(ranges).drop("slice")
 
 
 def ci_lookup(df: DataFrame, key: str, table: DataFrame, table_key: str, value: str) -> DataFrame:

@@ -9,14 +9,15 @@ from __future__ import annotations
 import heapq
 from collections.abc import Sequence
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from strandline.operators.sqlops import running_sum
 from strandline.operators.storage import ended
 
-#: Cut points in a slice, and rows that meet a slice in one share of it.
+#: Ends of ranges in a slice, and rows that meet a slice in one share of it.
 SLICE_CUTS, SHARE_ROWS = 100_000, 1_000_000
 #: Rows of a key from which it is cut by time (more, where that would be more than ``HOT_KEYS`` keys), and into how many slices.
 HOT_ROWS, HOT_KEYS, HOT_SLICES = 1_000_000, 10_000, 200
@@ -52,19 +53,55 @@ def sweep(ranges: Sequence[tuple]) -> list[tuple]:
 
 
 def pieces(ranges: DataFrame) -> DataFrame:
-    """``sweep`` for any number of ranges: rows (rank, low, high, label); rank is the number of cut points up to low.
+    """``sweep`` for any number of ranges: rows (slice, low, high, label).
 
-    All ends are numbered in order. A range of numbers [a, b) is a few aligned blocks of a power of two, one for most ranges
-    of a list without overlaps; each block keeps its first range, and blocks hand theirs down to what they are made of, several
-    levels at a time. Work grows with the ends and blocks, not with how many ends a range covers.
+    Slices of about ``SLICE_CUTS`` ends each follow each other in order. A range that leaves its slice is one part in the slice of
+    its low, one in that of its high, and covers those between whole; of equal parts the first by ordinal stays, so a slice has
+    few more parts than ends. Each slice is swept by itself: work grows with the ranges, not with what they cover.
     """
-    first = F.min(F.struct("ordinal", "label"))
-    own = ranges.filter("ordinal IS NOT NULL AND low < high").groupBy("low", "high").agg(first.alias("first"))
-    cuts = own.select(F.explode(F.array("low", "high")).alias("at")).distinct()
-    cuts = ended(running_sum(cuts, ["at"], F.lit(1), "n").select("at", (F.col("n") - 1).cast("long").alias("rank")))
-    count = cuts.count()
-    numbered = own.join(cuts.select(F.col("at").alias("low"), F.col("rank").alias("a")), "low").join(cuts.select(F.col("at").alias("high"), F.col("rank").alias("b")), "high")
-    blocks = numbered.select("first", F.explode(F.expr(_BLOCKS)).alias("block")).groupBy("block.level", "block.node").agg(F.min("first").alias("first"))
+    first = F.min(F.struct("ordinal", "label")).alias("first")
+    own = ranges.filter("ordinal IS NOT NULL AND low IS NOT NULL AND low < high")
+    ends = own.select(F.explode(F.array("low", "high")).alias("at"))
+    kind = ends.schema["at"].dataType
+    own = own.withColumns({c: F.col(c).cast(kind) for c in ("low", "high")})
+    slices = max(1, -(-2 * own.count() // SLICE_CUTS))
+    begins = ends.repartitionByRange(slices, "at").groupBy(F.spark_partition_id()).agg(F.min("at").alias("low"))
+    begins = ended(begins.agg(F.sort_array(F.collect_list("low")).alias("bounds")))
+    count, bounds = begins.select(F.size("bounds")).first()[0], begins.scalar()
+    met = with_count_upto(with_count_upto(own.withColumn("bounds", bounds), "a", "bounds", "low", count), "b", "bounds", "high", count)
+    parts = met.select(F.explode(F.expr(_PARTS)).alias("part"), "ordinal", "label").groupBy("part.slice", "part.low", "part.high").agg(first)
+    crossing = met.filter("b - a > 1").groupBy(F.col("a").cast("long").alias("a"), (F.col("b") - 1).cast("long").alias("b")).agg(first)
+    node = F.col("node").cast("int")  # slice k + 1 begins at bound k, from 0
+    whole = _covered(crossing, count).select((node + 1).alias("slice"), F.get(bounds, node).alias("low"), F.get(bounds, node + 1).alias("high"), "first")
+    parts = parts.unionByName(whole).withColumn("place", F.row_number().over(Window.partitionBy("slice").orderBy("first")))
+    schema = T.StructType([T.StructField("slice", T.IntegerType()), T.StructField("low", kind), T.StructField("high", kind), ranges.schema["label"]])
+    return parts.select("slice", "low", "high", "place", "first.label").groupBy("slice").applyInArrow(_swept, schema)
+
+
+#: The parts of a range in the slices of its ends, a and b (slice k begins at the k-th of the bounds, from 1).
+_PARTS = """if(a = b, array(named_struct('slice', a, 'low', low, 'high', high)), filter(array(
+    named_struct('slice', a, 'low', low, 'high', get(bounds, a)),
+    named_struct('slice', b, 'low', get(bounds, b - 1), 'high', high)), x -> x.low < x.high))"""
+
+
+def _swept(parts: pa.Table) -> pa.Table:
+    """The pieces of one slice, whose parts have numbers in order of their ordinals and labels. Ends are compared by their ranks."""
+    ends = pa.chunked_array([*parts["low"].chunks, *parts["high"].chunks]).combine_chunks()
+    ranks = pc.rank(ends, tiebreaker="dense").to_pylist()
+    at = {rank: i for i, rank in enumerate(ranks)}
+    found = sweep(list(zip(parts["place"].to_pylist(), ranks, ranks[len(parts) :], range(len(parts)))))
+    low, high, label = zip(*found)
+    columns = [parts["slice"].take([0] * len(found)), ends.take([at[x] for x in low]), ends.take([at[x] for x in high]), parts["label"].take(list(label))]
+    return pa.table(columns, ["slice", "low", "high", "label"])
+
+
+def _covered(spans: DataFrame, count: int) -> DataFrame:
+    """Rows (node, first): of each number under ``count`` the first of the spans [a, b) of numbers (a, b, first) that hold it.
+
+    A span is a few aligned blocks of a power of two; each block keeps its first, and blocks hand theirs down to what they are
+    made of, several levels at a time.
+    """
+    blocks = spans.select("first", F.explode(F.expr(_BLOCKS)).alias("block")).groupBy("block.level", "block.node").agg(F.min("first").alias("first"))
     blocks, held = ended(blocks), None
     for base in reversed(range(0, max(1, count.bit_length()), STRIDE)):
         here = blocks.filter((F.col("level") >= base) & (F.col("level") < base + STRIDE))
@@ -72,8 +109,7 @@ def pieces(ranges: DataFrame) -> DataFrame:
         if held is not None:
             below = below.union(_handed_down(held, str(STRIDE)))
         held = below.filter(F.col("node") * (1 << base) < count).groupBy("node").agg(F.min("first").alias("first"))
-    low, high = cuts.select(F.col("rank").alias("node"), F.col("at").alias("low")), cuts.select((F.col("rank") - 1).alias("node"), F.col("at").alias("high"))
-    return held.join(low, "node").join(high, "node").select(F.col("node").alias("rank"), "low", "high", F.col("first.label").alias("label"))
+    return held
 
 
 #: The aligned blocks that [a, b) is made of: at each level its first number where that is odd, its last where that is even.
@@ -111,11 +147,11 @@ def from_few(df: DataFrame, value: str, ranges: Sequence[tuple], low: T.DataType
 def from_many(df: DataFrame, value: str, parts: DataFrame) -> DataFrame:
     """``from_few`` with the rows of ``pieces``, however many: both sides are merged in slices.
 
-    A slice begins at every ``SLICE_CUTS``-th piece; a slice that more than ``SHARE_ROWS`` rows meet is copied to as many shares,
-    over which the rows are dealt by hash.
+    Slices are those of the pieces; one that more than ``SHARE_ROWS`` rows meet is copied to as many shares, over which the rows are
+    dealt by hash.
     """
     spark = df.sparkSession
-    own = ended(parts.withColumn("slice", F.floor(F.col("rank") / SLICE_CUTS).cast("int")))
+    own = ended(parts)
     begins = ended(own.groupBy("slice").agg(F.min("low").alias("low")).agg(F.sort_array(F.collect_list("low")).alias("lows"), F.sort_array(F.collect_list("slice")).alias("slices")))
     begun = begins.first().slices
     bounds = begins.select("lows").scalar()

@@ -151,3 +151,23 @@ def test_small_tables_are_known_by_their_plan(spark):
     assert "broadcast" in hinted._jdf.queryExecution().logical().toString().lower()
     large = lookup.small(spark.range(20_000).toDF("k"))
     assert "broadcast" not in large._jdf.queryExecution().logical().toString().lower()
+
+
+def test_ranges_that_cover_many_ends_are_not_cut_into_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "SLICE_CUTS", 200)
+    handed, handed_down = [], ordered._handed_down
+    monkeypatch.setattr(ordered, "_handed_down", lambda blocks, levels: handed.append(blocks.count()) or handed_down(blocks, levels))
+    rng = random.Random(7)
+    ranges = [(rng.randint(0, 900), low := float(rng.randint(0, 10**6)), low + rng.choice([9, 20_000, 150_000]), f"L{i}") for i in range(1000)]
+    nan = float("nan")
+    ranges += [(950, 2e6, nan, "to NaN"), (951, 1.5e6, float("inf"), "to infinity")]
+    found = ordered.pieces(spark.createDataFrame(ranges, "ordinal long, low double, high double, label string")).orderBy("low").collect()
+    assert sum(handed) < 250  # of a few slices; a thousand ranges were some 4,000 blocks
+    key = lambda x: (x != x, 0.0 if x != x else x)  # noqa: E731  NaN is the largest
+    held = [(o, key(a), key(b), x) for o, a, b, x in ranges]
+    for r in found:
+        assert r.label == min((o, x) for o, a, b, x in held if a <= key(r.low) < b)[1]
+    ends = {a for _, a, _, _ in held} | {b for _, _, b, _ in held}
+    assert {key(r.low) for r in found} == {e for e in ends if any(a <= e < b for _, a, b, _ in held)}
+    after = sorted(ends)
+    assert all(key(r.high) == after[after.index(key(r.low)) + 1] for r in found)
