@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -25,9 +28,19 @@ OPEN = 128
 ARRIVAL = 512
 #: Documents whose pieces are packed together.
 GROUP_DOCS = 16_384
-#: Words whose ids a Python worker keeps.
+#: Words whose ids a Python worker keeps, in two generations.
 KEPT_WORDS = 600_000
-_LOT = 400_000
+#: Bytes of texts whose new words the tokenizer gets together.
+LOT_BYTES = 1_000_000
+#: Words in one text for the tokenizer.
+JOINED = 64
+#: ASCII marks at a word's end, after a letter or digit of ASCII or a letter of Latin-1, which normalising leaves as one.
+_MARKS = re.compile(rb"[!-/:-@\[-`{-~](?:(?<=[0-9a-z].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[!-/:-@\[-`{-~]*+(?!\S)")
+
+
+def _is_letters(word: bytes) -> bool:
+    """Whether all characters are letters of Latin-1."""
+    return word.isalpha() or (text := word.decode()).isalpha() and max(text) <= "ÿ"
 
 
 class WordIds(dict):
@@ -35,27 +48,66 @@ class WordIds(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.tokenizer = Tokenizer.from_file(path)
+        #: The generation before this one: what is met again moves on, the rest goes with it.
+        self.before: dict[bytes, bytes] = {}
+        suffix, vocab = getattr(self.tokenizer.model, "end_of_word_suffix", None), self.tokenizer.get_vocab()
+        self.is_last = np.zeros(max(vocab.values(), default=0) + 1, bool)  # whether an id ends a token run
+        self.is_last[[i for token, i in vocab.items() if suffix and token.endswith(suffix)]] = True
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def __missing__(self, word: bytes) -> bytes:
-        if word[-1:] in b".," and len(word) > 1 and word[-2:-1].isalpha():
-            out = self[word[:-1]] + self[word[-1:]]  # a mark after a letter is a token run of its own
-        else:
-            out = self.whole(word.decode())
-        self[word] = out
-        return out
+    def _encode(self, words: list[bytes]) -> None:
+        """Keep the ids of ``words``, each of letters alone and so one token run, by a few calls for all of them."""
+        texts = [b" ".join(words[k : k + JOINED]).decode() for k in range(0, len(words), JOINED)]
+        ids = np.fromiter(chain.from_iterable(x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)), "<u4")
+        ends = 4 * (np.flatnonzero(self.is_last[ids]) + 1)
+        if len(ends) == len(words):
+            raw, ends = ids.tobytes(), ends.tolist()
+            self.update(zip(words, (raw[a:b] for a, b in zip([0, *ends], ends))))
+        else:  # a tokenizer that doesn't tell where a run ends
+            self.update((word, self.whole(word.decode())) for word in words)
+
+    def learn(self, words: set[bytes]) -> None:
+        """Keep the ids of ``words``, which aren't kept yet."""
+        letters = []
+        for word in words:
+            if (ids := self.before.get(word)) is not None:
+                self[word] = ids
+            elif _is_letters(word):
+                letters.append(word)
+            else:
+                self[word] = self.whole(word.decode())
+        if letters:
+            self._encode(letters)
+
+    def texts(self, raws: list[bytes]) -> list[bytes]:
+        """Ids of whole texts. White space ends words for the tokenizer too, and it folds case itself."""
+        found, unknown, new = [], [], set()
+        for raw in raws:
+            if b"<|" in raw:  # may hold a special token, which is matched before case is folded
+                found.append([self.whole(raw.decode())])
+                continue
+            words = _MARKS.sub(rb" \g<0>", raw.lower()).split()  # such marks are a token run of their own
+            ids = list(map(self.get, words))
+            at = [k for k, x in enumerate(ids) if x is None]
+            found.append(ids)
+            unknown.append((ids, at, [words[k] for k in at]))
+            new.update(unknown[-1][2])
+        self.learn(new)
+        for ids, at, words in unknown:
+            for k, word in zip(at, words):
+                ids[k] = self[word]
+        return list(map(b"".join, found))
 
     def text(self, raw: bytes) -> bytes:
-        """Ids of a whole text. White space ends words for the tokenizer too, and it folds case itself."""
-        if b"<|" in raw:  # may hold a special token, which is matched before case is folded
-            return self.whole(raw.decode())
-        return b"".join(map(self.__getitem__, raw.lower().split()))
+        return self.texts([raw])[0]
 
     def trim(self, most: int) -> None:
-        if len(self) > most:
+        if 2 * len(self) > most:
+            self.before = dict(self)
             self.clear()
 
 
@@ -64,6 +116,20 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+def _with_ids(words: WordIds, raw: memoryview, at: list[int]) -> Iterator[tuple[bytes, bytes]]:
+    """Each text of ``raw`` with its ids; texts are taken in lots of ``LOT_BYTES`` or one longer text."""
+    lot, size = [], 0
+    for a, b in zip(at, at[1:]):
+        if lot and size + b - a > LOT_BYTES:
+            yield from zip(lot, words.texts(lot))
+            words.trim(KEPT_WORDS)
+            lot, size = [], 0
+        lot.append(raw[a:b].tobytes())
+        size += b - a
+    yield from zip(lot, words.texts(lot))
+    words.trim(KEPT_WORDS)
+
+
 def _pieces(path: str, length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, copies, task = word_ids(path), {}, TaskContext.get().partitionId()
@@ -71,9 +137,8 @@ def _pieces(path: str, length: int):
             data, offsets = text_arrays(batch.column("_text"))
             raw, at = memoryview(data), offsets.tolist()
             rows, piece, size, crc, salt = [], [], [], [], []
-            for d, (a, b, doc) in enumerate(zip(at, at[1:], batch.column("doc_id").to_pylist())):
-                own = raw[a:b].tobytes()
-                ids = words.text(own) + END.to_bytes(4, "little")
+            for d, ((own, ids), doc) in enumerate(zip(_with_ids(words, raw, at), batch.column("doc_id").to_pylist())):
+                ids += END.to_bytes(4, "little")
                 key = doc, xxhash.xxh64_intdigest(own)
                 copies[key] = copy = copies.get(key, -1) + 1
                 mixed = xxhash.xxh64_intdigest(f"{key} {copy} {task}") >> 1
@@ -84,7 +149,6 @@ def _pieces(path: str, length: int):
                     size.append(len(part) // 4)
                     crc.append(zlib.crc32(part))
                     salt.append(mixed)
-                words.trim(KEPT_WORDS)
             piece = np.array(piece, np.int64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id").take(pa.array(rows, pa.int64())), pa.array(piece.astype(np.int32)), pa.array(piece * length), pa.array(size, pa.int64()), pa.array(crc, pa.int64()), pa.array(salt, pa.int64())],

@@ -221,6 +221,48 @@ def test_word_ids(text):
     assert WORDS.text(text.encode()) == WORDS.whole(text)
 
 
+NO_ENDS = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+NO_ENDS.is_last[:] = False
+
+
+class Counted:
+    """A tokenizer that counts the calls for texts."""
+
+    def __init__(self, inner):
+        self.inner, self.calls = inner, 0
+
+    def encode(self, *args, **more):
+        self.calls += 1
+        return self.inner.encode(*args, **more)
+
+    def encode_batch_fast(self, *args, **more):
+        self.calls += 1
+        return self.inner.encode_batch_fast(*args, **more)
+
+
+def test_new_words_share_calls():
+    words = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
+    words.tokenizer = counted = Counted(words.tokenizer)
+    text = " ".join(f"w{chr(97 + k % 26)}é{chr(97 + k // 26)}ñ{mark}" for k in range(600) for mark in ("", ".", ",###", "!!"))
+    want = np.array(counted.inner.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    assert words.text(text.encode()) == want and counted.calls <= 10
+    words.trim(0)
+    before = counted.calls
+    assert words.text(text.encode()) == want and counted.calls <= before + 1  # what is met again isn't lost with its generation
+    for other in (b"other", b"another"):
+        words.trim(0)
+        words.text(other)
+    assert {*words, *words.before} == {b"other", b"another"}  # what isn't met for two generations is gone
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=" \n.,'!#<|sStTéÉßÿÞ×÷ªµİǅΣ\u0301\u0338\u00a012²中", max_size=12), max_size=4))
+def test_word_ids_of_several_texts(texts):
+    for words in (WORDS, NO_ENDS):
+        words.clear()
+        assert words.texts([t.encode() for t in texts]) == [words.whole(t) for t in texts]
+
+
 def test_best_fit():
     assert packing.best_fit([6, 5, 4, 5, 3], 10, 9) == ([0, 1, 0, 1, 2], [0, 0, 6, 5, 0])
     assert packing.best_fit([6, 5, 4], 10, 1) == ([0, 1, 1], [0, 0, 5])  # the first is closed
