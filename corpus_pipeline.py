@@ -1,14 +1,15 @@
 """The corpus pipeline: language ID, near-dedup, suffix-array dedup, mixing and packing, one stage after another.
 
 Each stage takes (spark, docs, sf_dir) and the rows that its predecessor kept; all but the last return the columns of
-``documents``. ``sf_dir`` is there for stages that read other tables; none of these does.
+``documents``. ``sf_dir`` is there for stages that read other tables; none of these does. Stages with work in Python have rows sent
+there in small batches, for as long as the session lasts.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandline.llm.common import forget, stored
+from strandline.llm.common import forget, small_batches, stored
 from strandline.llm.langid import accepted
 from strandline.llm.mixing import remixed
 from strandline.llm.packing import pack
@@ -22,16 +23,19 @@ PASSAGE = 240
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; models are trained on this stage's own input."""
+    small_batches(spark)
     return accepted(docs)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    small_batches(spark)
     return one_of_each(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the strings of ``PASSAGE`` bytes that stand in several places."""
+    small_batches(spark)
     return without_repeats(docs, length=PASSAGE)
 
 
@@ -46,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for each piece of each document, with its place in a sequence."""
+    small_batches(spark)
     return pack(docs)
 
 

@@ -28,7 +28,7 @@ OPEN = 128
 ARRIVAL = 512
 #: Documents whose pieces are packed together.
 GROUP_DOCS = 16_384
-#: Words whose ids a Python worker keeps, in two generations.
+#: Words whose ids a task keeps, in two generations.
 KEPT_WORDS = 600_000
 #: Bytes of texts whose new words the tokenizer gets together.
 LOT_BYTES = 1_000_000
@@ -110,6 +110,11 @@ class WordIds(dict):
             self.before = dict(self)
             self.clear()
 
+    def drop(self) -> None:
+        """Keep no ids: a worker outlives its task, and tasks of other steps have its executor's memory then."""
+        self.before = {}
+        self.clear()
+
 
 @lru_cache(1)
 def word_ids(path: str) -> WordIds:
@@ -132,7 +137,14 @@ def _with_ids(words: WordIds, raw: memoryview, at: list[int]) -> Iterator[tuple[
 
 def _pieces(path: str, length: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, copies, task = word_ids(path), {}, TaskContext.get().partitionId()
+        words = word_ids(path)
+        try:
+            yield from with_words(words, batches)
+        finally:
+            words.drop()
+
+    def with_words(words: WordIds, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        copies, task = {}, TaskContext.get().partitionId()
         for batch in batches:
             data, offsets = text_arrays(batch.column("_text"))
             raw, at = memoryview(data), offsets.tolist()

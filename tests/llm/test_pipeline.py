@@ -9,9 +9,13 @@ from pathlib import Path
 from test_dedup import removed_by_hand, stage_groups
 from test_texts import packed_right
 
+import public_tokenizers
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 import __spark_entry__
 import corpus_pipeline
-from strandline.llm import langid, mixing
+from strandline.llm import common, langid, mixing, packing
 
 SF = "/root/testdata/sf0.001"
 ROOT = Path(corpus_pipeline.__file__).parent
@@ -52,6 +56,36 @@ def test_stages(spark, tmp_path):
     assert key(corpus_pipeline.run(spark, SF).collect()) == key(read(names[4]))
 
 
+def test_stages_send_small_batches_to_python(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    docs = spark.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), 1000).alias("text"))
+    spark.conf.unset(common.BATCH_LIMIT)
+    try:
+        corpus_pipeline.pack_sequences(spark, docs, SF)
+        found = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in found) == 4000 and max(r.size for r in found) < 2 * common.BATCH_BYTES
+        spark.conf.set(common.BATCH_LIMIT, "64m")  # the session's own
+        corpus_pipeline.pack_sequences(spark, docs, SF)
+        assert spark.conf.get(common.BATCH_LIMIT) == "64m"
+    finally:
+        spark.conf.unset(common.BATCH_LIMIT)
+
+
+def test_no_words_stay_in_a_worker_after_packing(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def work(batches):
+        pieces = sum(x.num_rows for x in packing._pieces(path, 64)(batches))
+        words = packing.word_ids(path)
+        yield pa.RecordBatch.from_arrays([pa.array([pieces]), pa.array([len(words) + len(words.before)])], names=["pieces", "words"])
+
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.lit("word"), F.col("id")).alias("_text"))
+    assert [tuple(r) for r in docs.mapInArrow(work, "pieces long, words long").collect()] == [(300, 0)]
+
+
 def test_entry_without_this_subpackage(tmp_path):
     assert {"pipeline", "op10_language_id"} <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
     shutil.copytree(ROOT / "strandline", tmp_path / "strandline", ignore=shutil.ignore_patterns("llm", "__pycache__"))
